@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated, decontaminate
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 
 
@@ -14,6 +16,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of thirteen words of ``benchmark`` in ``documents``."""
+    out = decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ten code points and more, in two documents and more, stay in the smallest."""
     out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -21,4 +34,4 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_line_dedup,)}
+    return {f.__name__: f for f in (op4_decontaminate, op7_license_scan, op8_line_dedup)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP8 = f"""
@@ -20,6 +22,55 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+_WORDS = f"""
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents
+"""
+
+OP4 = f"""
+WITH docs AS ({_WORDS}),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM docs),
+items AS ({_WORDS.replace("doc_id", "item_id").replace("documents", "benchmark")}),
+windows AS (
+  SELECT item_id, least(len(ws), 13) AS n, unnest(range(len(ws) - least(len(ws), 13) + 1)) AS s, ws FROM items WHERE len(ws) > 0
+), wanted AS (
+  SELECT item_id, n, ws[s + 1 : s + n] AS win FROM windows
+), lengths AS (SELECT DISTINCT n FROM wanted),
+places AS (
+  SELECT doc_id, ws, n, unnest(range(len(ws) - n + 1)) AS s FROM docs, lengths WHERE len(ws) >= n
+), hits AS (
+  SELECT doc_id, s, wanted.n, item_id FROM places JOIN wanted ON wanted.n = places.n AND wanted.win = places.ws[s + 1 : s + places.n]
+), hit_words AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, s + unnest(range(n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM hits)) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+_TEMPLATE_WORDS = ", ".join(f"({k}, {i}, '{w}', {str(t.key[0] <= i < t.key[1]).lower()})" for k, t in enumerate(TEMPLATES) for i, w in enumerate(t.words))
+_TEMPLATES = ", ".join(f"({k}, '{t.label}', {len(t.words)}, {t.key[1] - t.key[0]}, {t.least}, {str(t.base).lower()})" for k, t in enumerate(TEMPLATES))
+
+OP7 = f"""
+WITH docs AS ({_WORDS}),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM docs),
+tw(k, o, w, is_key) AS (VALUES {_TEMPLATE_WORDS}),
+t(k, label, n, n_key, least, base) AS (VALUES {_TEMPLATES}),
+votes AS (
+  SELECT doc_id, k, p - o AS start, count(*) AS m, count(*) FILTER (is_key) AS m_key FROM words JOIN tw USING (w) GROUP BY doc_id, k, p - o
+), matches AS (
+  SELECT doc_id, label, base, start, m / CAST(n AS DOUBLE) AS share FROM votes JOIN t USING (k) WHERE m_key = n_key AND m >= least * n
+), summed AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM matches GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM docs LEFT JOIN summed USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8}
+    return {"op4_decontaminate": OP4, "op7_license_scan": OP7, "op8_line_dedup": OP8}
