@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated, decontaminate
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
+from .packing import pack
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,5 +34,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 1024 tokens, sources mixed by their share of the corpus."""
+    return pack(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op7_license_scan, op8_line_dedup)}
+    return {f.__name__: f for f in (op4_decontaminate, op7_license_scan, op8_line_dedup, op9_packing)}
