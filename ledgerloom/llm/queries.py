@@ -11,6 +11,7 @@ from .decontaminate import contaminated, decontaminate
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack
+from .toxicity import fit, held_out, score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,5 +40,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from the labels that are not held out."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_toxicity(docs, fit(docs, _read(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op7_license_scan, op8_line_dedup, op9_packing)}
+    return {f.__name__: f for f in (op4_decontaminate, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}

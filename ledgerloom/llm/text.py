@@ -66,6 +66,7 @@ class Words:
     doc: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # first[i]: index of text i's first word; one more entry than texts
+    prefix: dict[int, tuple[np.ndarray, np.ndarray]]  # by length in bytes: (words that are longer, hashes of their beginnings)
 
 
 def text_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,8 +87,8 @@ def text_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, in
         lo = hi
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray, chunk: int = 1 << 20) -> Words:
-    """All words of the texts. Long inputs go through in chunks that end between words, so memory stays bounded."""
+def words(raw: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray, chunk: int = 1 << 20, prefixes: tuple[int, ...] = ()) -> Words:
+    """All words of the texts, and on request hashes of their first so many bytes. Long inputs go through in chunks that end between words, so memory stays bounded."""
     n = len(raw)
     inside = alphabet[raw]
     before = np.empty(n, bool)
@@ -102,6 +103,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray, chunk: int
     after[ends[ends > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
     out = np.empty(len(start), U64)
+    begins: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in prefixes}
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + chunk, "right")))
@@ -111,11 +113,36 @@ def words(raw: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray, chunk: int
         np.cumsum(_BYTE[LOWER[raw[a:b]]] * _Powers.up[: b - a], out=sums[1:])
         s, e = start[i:j] - a, end[i:j] - a
         out[i:j] = mix((sums[e] - sums[s]) * _Powers.down[s])
+        for n in prefixes:
+            k = np.flatnonzero(e - s > n)
+            t = s[k]
+            begins[n].append((k + i, mix((sums[t + n] - sums[t]) * _Powers.down[t] ^ _BYTE[n])))
         i = j
     first = np.searchsorted(start, offsets)
-    return Words(start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), out, first)
+    return Words(start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), out, first, {n: tuple(map(np.concatenate, zip((np.zeros(0, np.int64), np.zeros(0, U64)), *b, strict=True))) for n, b in begins.items()})
 
 
 def word_hash(word: bytes) -> int:
     raw = np.frombuffer(word, np.uint8)
     return int(words(raw, np.array([0, len(raw)]), np.ones(256, bool)).hash[0])
+
+
+class Vocabulary:
+    """Numbers of given word hashes; a small bit table turns most other words away."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self._maybe = np.zeros(1 << 16, bool)
+        self._maybe[self.hashes & U64(0xFFFF)] = True
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in ``hashes`` of known words, their numbers)."""
+        at = np.flatnonzero(self._maybe[hashes & U64(0xFFFF)])
+        if not len(self.hashes) or not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        good = self.hashes[k] == hashes[at]
+        return at[good], k[good]
