@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated, decontaminate
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
+from .ngram_join import ngram_jaccard
 from .packing import pack
 from .toxicity import fit, held_out, score_toxicity
 
@@ -18,6 +19,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of 0.8 and more over shingles of five words."""
+    return ngram_jaccard(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of thirteen words of ``benchmark`` in ``documents``."""
     out = decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
@@ -48,4 +54,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op2_ngram_join, op4_decontaminate, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}
