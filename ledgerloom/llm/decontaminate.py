@@ -247,7 +247,7 @@ def shard_hits(raw: np.ndarray, offsets: np.ndarray, sets: list[TestSet]) -> Ite
         yield b - a, n, sorted(items.get(d, ())), spans
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20, shard_bytes: int = 1 << 21) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items (long), items (sorted strings) and spans (of word positions, merged).
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter one.
@@ -268,7 +268,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         sets = [b.value for b in blocks]
         kinds = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         for batch in batches:
-            for lo, hi, raw, off in text_slices(batch.column(batch.schema.get_field_index(text_col))):
+            for lo, hi, raw, off in text_slices(batch.column(batch.schema.get_field_index(text_col)), shard_bytes):
                 n_words, n_hit, found, spans = zip(*shard_hits(raw, off, sets), strict=True)
                 cols = [n_words, n_hit, [len(x) for x in found], found, [[{"start": a, "end": b} for a, b in s] for s in spans]]
                 part = batch.slice(lo, hi - lo)

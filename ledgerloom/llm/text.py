@@ -69,7 +69,7 @@ class Words:
     prefix: dict[int, tuple[np.ndarray, np.ndarray]]  # by length in bytes: (words that are longer, hashes of their beginnings)
 
 
-def text_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, bytes, offsets) of runs of rows of about ``most`` bytes; a longer text comes alone. Null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import Scratch
 from .text import ALNUM, U64, Vocabulary, text_slices, words
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
@@ -158,7 +159,7 @@ def _each_text(text_col: str, names: list[str], kinds: list[pa.DataType], f):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, off in text_slices(batch.column(batch.schema.get_field_index(text_col))):
+            for lo, hi, raw, off in text_slices(batch.column(batch.schema.get_field_index(text_col)), 1 << 19):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(f(batch.slice(lo, hi - lo), raw, off), kinds, strict=True)], names=names)
 
     return run
@@ -183,7 +184,8 @@ def fit(
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("i"), "i").limit(max_examples)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i")  # max_examples rows of two numbers
-    texts = texts.groupBy("t").agg(F.min("i").alias("i"), F.max("y").alias("y")).cache()
+    texts = texts.groupBy("t").agg(F.min("i").alias("i"), F.max("y").alias("y"))
+    texts = Scratch(docs.sparkSession, "toxicity").table(texts, "examples")
 
     def seen(part: pa.RecordBatch, raw: np.ndarray, off: np.ndarray):
         y = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -231,7 +233,6 @@ def fit(
 
     schema = "i long, y int, term array<long>, n array<long>"
     rows = texts.select("t", F.col("i").cast("long").alias("i"), "y").mapInArrow(_each_text("t", ["i", "y", "term", "n"], [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())], vectors), schema).collect()
-    texts.unpersist()
     rows.sort(key=lambda r: r.i)
     model = ToxicityModel(terms, idf, None, None, None, None, None, base, k, soft)
     full, bare = [r for r in rows if r.term], [r.y for r in rows if not r.term]
