@@ -12,13 +12,22 @@ from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard
 from .packing import pack
+from .scratch import Scratch
 from .toxicity import fit, held_out, score_toxicity
+from .warc import read_warc, write_warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages to WARC archives and back."""
+    path = Scratch(spark, "archives").new("warc")
+    write_warc(_read(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of 0.8 and more over shingles of five words."""
     return ngram_jaccard(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -54,4 +63,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_join, op4_decontaminate, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op4_decontaminate, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}

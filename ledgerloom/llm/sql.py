@@ -22,6 +22,19 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h FROM p),
+b AS (
+  SELECT page_id, n, h, list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS digest
+  FROM d
+), l AS (SELECT h, n, min(page_id) AS lead FROM d GROUP BY h, n)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM b JOIN l USING (h, n)
+"""
+
 _WORDS = f"""
   SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents
 """
@@ -73,4 +86,4 @@ FROM docs LEFT JOIN summed USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4, "op7_license_scan": OP7, "op8_line_dedup": OP8}
+    return {"op1_warc": OP1, "op4_decontaminate": OP4, "op7_license_scan": OP7, "op8_line_dedup": OP8}
