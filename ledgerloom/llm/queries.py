@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard
 from .packing import pack
 from .scratch import Scratch
+from .topk import top_k
 from .toxicity import fit, held_out, score_toxicity
 from .warc import read_warc, write_warc
 
@@ -39,6 +40,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector."""
+    return top_k(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every document."""
     return scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
@@ -63,4 +69,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op4_decontaminate, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op4_decontaminate, op5_topk, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}

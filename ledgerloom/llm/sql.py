@@ -62,6 +62,19 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 _TEMPLATE_WORDS = ", ".join(f"({k}, {i}, '{w}', {str(t.key[0] <= i < t.key[1]).lower()})" for k, t in enumerate(TEMPLATES) for i, w in enumerate(t.words))
 _TEMPLATES = ", ".join(f"({k}, '{t.label}', {len(t.words)}, {t.key[1] - t.key[0]}, {t.least}, {str(t.base).lower()})" for k, t in enumerate(TEMPLATES))
 
@@ -86,4 +99,4 @@ FROM docs LEFT JOIN summed USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op4_decontaminate": OP4, "op7_license_scan": OP7, "op8_line_dedup": OP8}
+    return {"op1_warc": OP1, "op4_decontaminate": OP4, "op5_topk": OP5, "op7_license_scan": OP7, "op8_line_dedup": OP8}
