@@ -12,6 +12,7 @@ from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard
 from .packing import pack
+from .pii import KINDS, find_pii
 from .scratch import Scratch
 from .topk import top_k
 from .toxicity import fit, held_out, score_toxicity
@@ -45,6 +46,15 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and the field's."""
+    out = find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    counts = [F.expr(f"bigint(size(filter(spans, s -> s.base AND s.kind = '{k}')))").alias(f"n_{k}") for k in KINDS]
+    base = F.expr(f"sha2({written.format('filter(spans, s -> s.base)')}, 256)").alias("base_sha256")
+    return out.select("doc_id", *counts, base, F.expr(written.format("spans")).alias("spans"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every document."""
     return scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
@@ -69,4 +79,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op4_decontaminate, op5_topk, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op4_decontaminate, op5_topk, op6_pii, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}
