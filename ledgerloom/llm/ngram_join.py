@@ -13,15 +13,15 @@ Steps:
 2. Each document's set: its size and a 128-bit digest. Equal sets fold into the smallest
    id, so copies cost nothing below.
 3. Postings of the first order's prefixes. Tokens of one posting go; each other token
-   links its postings to its least document (a star, not all pairs).
+   links its postings to one leader (a star, not all pairs).
 4. Candidates are filtered under all orders and verified against the texts' sets. Verified
    links give first components; each document gets the verified leader closest to it as
    centre, at a known distance.
 5. What a star may miss lies in tokens whose documents are in several components. There
    the centres are paired and measured. The Jaccard distance is a metric, so documents a, b
    at distances r, s from centres at distance d are at d - r - s at least: pairs of centres
-   further apart than 1 - t plus both radii need nothing more. For the others, documents of
-   different components that share the token and pass that bound are candidates as in 4.
+   further apart than 1 - t plus both radii need nothing more. For the others, members of
+   different components that pass that bound are candidates as in 4.
 6. Components over all links.
 
 No two documents of one component are ever paired again, so a group of n near copies costs
@@ -215,21 +215,25 @@ def ngram_jaccard(
     sets = described.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), "d1", "d2", "cold", "hot")
     reps = scratch.table(sets.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "reps")
 
-    # Tokens that lie in two sets and more, each with its least document. Hot ones are combined before
-    # they move and joined on their key; the others, of which no token has many, meet in a window.
+    # Tokens that lie in two sets and more. Hot ones are combined before they move and joined on their
+    # key; the others, of which no token has many, meet in a window.
     cold = sets.select(F.explode("cold").alias("k"), "id", "n", "d1")
     w = Window.partitionBy("k")
-    cold = cold.select("k", "id", "n", F.min("d1").over(w).alias("lo"), F.max("d1").over(w).alias("hi"), F.min(F.struct("id", "n")).over(w).alias("lead")).where("lo < hi")
+    cold = cold.select("k", "id", "n", F.min("d1").over(w).alias("lo"), F.max("d1").over(w).alias("hi")).where("lo < hi").select("k", "id", "n")
     hot = sets.select(F.explode("hot").alias("k"), "id", "n", "d1")
-    hot = hot.select("k", "id", "n").join(hot.groupBy("k").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min(F.struct("id", "n")).alias("lead")).where("lo < hi"), "k")
-    shared = scratch.table(cold.union(hot.select(cold.columns)).select("k", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "shared")
+    hot = hot.select("k", "id", "n").join(hot.groupBy("k").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("k"), "k")
+    shared = scratch.table(cold.union(hot), "shared")
     shared = scratch.table(shared.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "postings")
+    # A token's leader is the document that shares most of its tokens, as the source of a family of copies does.
+    share = shared.groupBy("id").agg((F.count("*") / F.first("n")).alias("share"))
+    lead = shared.join(share, "id").groupBy("k").agg(F.max(F.struct(F.col("share"), (-F.col("id")).alias("order"), F.col("id"), F.col("n"))).alias("x"))
+    lead = lead.select("k", F.col("x.id").alias("lead"), F.col("x.n").alias("lead_n"))
     near_texts = scratch.table(texts.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
 
     def measured(pairs: DataFrame, check: bool = True) -> DataFrame:
         return scratch.table(_measure(pairs, near_texts, shingle, percent, order if check else None), "measured")
 
-    tried = scratch.table(shared.where((F.col("id") != F.col("lead")) & _close("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    tried = scratch.table(shared.join(lead, "k").where((F.col("id") != F.col("lead")) & _close("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     star = measured(tried).where(_linked(percent))
     parts = components(star.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
@@ -245,18 +249,20 @@ def ngram_jaccard(
     centres = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.c") != F.col("y.c")) & sizes)
     centres = centres.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.max(F.col("x.most") + F.col("y.most")).alias("reach"))
     centres = scratch.table(centres, "centres")
+    both_ways = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Two lone documents are candidates themselves and must pass all orders; other centres are measured.
-    lone = measured(centres.where("reach = 0").join(tried, ["a", "b"], "left_anti").select("a", "b")).where(_linked(percent))
+    lone = measured(centres.where("reach = 0").join(both_ways, ["a", "b"], "left_anti").select("a", "b")).where(_linked(percent))
     apart = measured(centres.where("reach > 0").select("a", "b"), False)
     loose = 1 - percent / 100 + 1e-9
     hard = apart.select("a", "b", (1 - F.col("both") / F.col("any")).alias("d")).join(centres, ["a", "b"]).where(F.col("d") <= loose + F.col("reach")).select("a", "b", "d")
-    x, y = several.alias("x"), several.alias("y")
+    members = several.select("id", "n", "c", "centre", "r").distinct()
+    x, y = members.alias("x"), members.alias("y")
     rest = (
         hard.join(x, F.col("a") == F.col("x.centre"))
-        .join(y, (F.col("b") == F.col("y.centre")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.r") + F.col("y.r") >= F.col("d") - loose))
-        .where(_close("x.n", "y.n", percent))
+        .join(y, (F.col("b") == F.col("y.centre")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.r") + F.col("y.r") >= F.col("d") - loose))
+        .where(_close("x.n", "y.n", percent) & (F.col("x.id") != F.col("y.id")))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti")
+        .join(both_ways, ["a", "b"], "left_anti")
     )
     late = measured(rest).where(_linked(percent))
 
