@@ -146,7 +146,7 @@ class ToxicityModel:
             return score, evidence
         text, term, count = term_counts(raw, offsets, self.terms)
         cut = np.flatnonzero(np.diff(text, prepend=-1))
-        for a, b in zip(cut, [*cut[1:], len(text)], strict=True):
+        for a, b in zip(cut, np.append(cut, len(text))[1:], strict=True):
             s, e = self.index.top(*self.vector(term[a:b], count[a:b]), self.k)
             if len(s):
                 score[text[a]] = self.calibrated(self.vote(s, e))
