@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, decontaminate
 from .licenses import scan_licenses
+from . import quality
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard
 from .packing import pack
@@ -35,6 +36,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; its source is the host, source and language are the path."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    out = quality.score_quality(docs, model, host=F.col("source"), path=F.concat_ws("/", "source", "lang"))
+    return out.select("doc_id", held_out().alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", "keep", F.col("keep").cast("int").alias("predicted"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of thirteen words of ``benchmark`` in ``documents``."""
     out = decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
@@ -79,4 +88,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op4_decontaminate, op5_topk, op6_pii, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_quality, op4_decontaminate, op5_topk, op6_pii, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}
