@@ -32,10 +32,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the least node reachable, for every node of ``links`` (u, v: no nulls) that isn't its own."""
     links = scratch.table(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
+    old = scratch.last
     while True:
         links = scratch.table(_star(_star(links, True), False), "links")
         # Done when nothing changes: the links are a set, so a count and a sum of hashes tell.
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if old:
+            scratch.drop(old)
+        old = scratch.last
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now

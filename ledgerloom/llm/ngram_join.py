@@ -272,4 +272,7 @@ def ngram_jaccard(
     links = links.union(sets.select("id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).where(F.col("id") != F.col("rep")).select("id", "rep"))
     found = components(links, scratch)
     out = described.join(found, described[id_col] == found["node"], "left")
-    return out.select(*(described[f.name] for f in kept), "n_shingles", F.coalesce(F.col("component"), described[id_col]).alias("component_id"))
+    out = out.select(*(described[f.name] for f in kept), "n_shingles", F.coalesce(F.col("component"), described[id_col]).alias("component_id"))
+    out = Scratch(spark, "ngrams-result").table(out, "components")
+    scratch.drop()  # only the result is needed from here on
+    return out

@@ -35,7 +35,8 @@ class Scratch:
 
     def new(self, name: str) -> str:
         self._n += 1
-        return f"{self.path}/{self._n}-{name}"
+        self.last = f"{self.path}/{self._n}-{name}"
+        return self.last
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` as Parquet and returns what was written."""
