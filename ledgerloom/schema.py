@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-CATALOG = T.StructType.fromDDL(
-    "source string not null, key string not null, content_hash string not null, size_bytes bigint not null, last_seen_at string not null, last_modified string not null, "
-    "content_type string, quarantined_at string, tombstoned_at string, origin string"
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "map": T.MapType(T.StringType(), T.StringType())}
+
+
+def _struct(spec: str) -> T.StructType:
+    """Columns "name type"; an exclamation mark after the type forbids nulls."""
+    return T.StructType([T.StructField(n, _TYPES[k.rstrip("!")], not k.endswith("!")) for n, k in (c.split() for c in spec.split(", "))])
+
+
+CATALOG = _struct(
+    "source string!, key string!, content_hash string!, size_bytes bigint!, last_seen_at string!, last_modified string!, content_type string, quarantined_at string, tombstoned_at string, origin string"
 )
-LISTING = T.StructType.fromDDL("source string, key string, size_bytes bigint, last_modified string, content_type string, user_metadata map<string,string>, etag string, provider_hash string")
-LEDGER = T.StructType.fromDDL("timestamp string, run_id string, action string, result string, source string, target string, key string, content_hash string, size_bytes bigint, error string, extra map<string,string>")
+LISTING = _struct("source string, key string, size_bytes bigint, last_modified string, content_type string, user_metadata map, etag string, provider_hash string")
+LEDGER = _struct("timestamp string, run_id string, action string, result string, source string, target string, key string, content_hash string, size_bytes bigint, error string, extra map")
 
 # Actions and results of ledger rows.
 ACTIONS = (
