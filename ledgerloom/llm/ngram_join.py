@@ -189,7 +189,7 @@ def ngram_jaccard(
     order = spark.sparkContext.broadcast(Orders(_sketch(texts, sketch_bits, shingle), orders))  # 2**sketch_bits bytes
 
     # Each document's size, digest and prefix under the first order, hot tokens apart.
-    own = T.StructType.fromDDL("n_shingles long, d1 long, d2 long, cold array<long>, hot array<long>")
+    own = T.StructType.fromDDL("n_shingles long, __ng_d1 long, __ng_d2 long, __ng_cold array<long>, __ng_hot array<long>")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -212,7 +212,7 @@ def ngram_jaccard(
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), *made], names=[*(f.name for f in kept), *own.names])
 
     described = scratch.table(docs.mapInArrow(describe, T.StructType([*kept, *own])), "sets")
-    sets = described.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), "d1", "d2", "cold", "hot")
+    sets = described.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), *(F.col(f"__ng_{c}").alias(c) for c in ("d1", "d2", "cold", "hot")))
     reps = scratch.table(sets.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "reps")
 
     # Tokens that lie in two sets and more. Hot ones are combined before they move and joined on their
@@ -271,8 +271,9 @@ def ngram_jaccard(
         links = links.union(more.select("a", "b"))
     links = links.union(sets.select("id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).where(F.col("id") != F.col("rep")).select("id", "rep"))
     found = components(links, scratch)
-    out = described.join(found, described[id_col] == found["node"], "left")
-    out = out.select(*(described[f.name] for f in kept), "n_shingles", F.coalesce(F.col("component"), described[id_col]).alias("component_id"))
+    found = found.select(F.col("node").alias("__ng_node"), F.col("component").alias("__ng_component"))
+    out = described.join(found, F.col(id_col) == F.col("__ng_node"), "left")
+    out = out.select(*(f.name for f in kept), "n_shingles", F.coalesce("__ng_component", id_col).alias("component_id"))
     out = Scratch(spark, "ngrams-result").table(out, "components")
     scratch.drop()  # only the result is needed from here on
     return out

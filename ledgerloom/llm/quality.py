@@ -150,9 +150,9 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], *, host: Col
     hosts = hosts.select(F.col("__q_host").alias("__q_h"), ((F.col("s") + a * share) / (F.col("n") + a)).alias("host_posterior"))
     paths = paths.join(hosts, F.col("__q_host").eqNullSafe(F.col("__q_h"))).drop("__q_h")
     b = _strength(paths, F.col("host_posterior"))
-    paths = paths.select(F.col("__q_host").alias("__q_h"), F.col("__q_path").alias("__q_t"), "s", "n", "host_posterior", ((F.col("s") + b * F.col("host_posterior")) / (F.col("n") + b)).alias("path_posterior"))
+    paths = paths.select(F.col("__q_host").alias("__q_h"), F.col("__q_path").alias("__q_t"), F.col("s").alias("__q_s"), F.col("n").alias("__q_n"), "host_posterior", ((F.col("s") + b * F.col("host_posterior")) / (F.col("n") + b)).alias("path_posterior"))
     out = judged.join(paths, F.col("__q_host").eqNullSafe(F.col("__q_h")) & F.col("__q_path").eqNullSafe(F.col("__q_t")))
-    without = (F.col("s") - F.col("__q_p") + b * F.col("host_posterior")) / (F.col("n") - 1 + b)  # the site without the document
+    without = (F.col("__q_s") - F.col("__q_p") + b * F.col("host_posterior")) / (F.col("__q_n") - 1 + b)  # the site without the document
     without = F.least(F.greatest(without, F.lit(1e-6)), F.lit(1 - 1e-6))
     score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(without))))
     return out.select(*(f.name for f in kept), "evidence", "host_posterior", "path_posterior", score.alias("score"), (score >= 0.5).alias("keep"))

@@ -30,7 +30,7 @@ from ledgerloom.llm.warc import read_warc, write_warc
 UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOW = str.maketrans(UP, UP.lower())
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-OWN = "n_words n_hit items spans score predicted keep matches labels n_lines n_dropped n_shingles component_id evidence".split()
+OWN = "n_words n_hit items spans score predicted keep matches labels n_lines n_dropped n_shingles component_id evidence d1 cold hot id t n s y base node component".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in OWN)
 
 
@@ -48,7 +48,7 @@ def nasty():
             texts.append(" ".join(w))
     texts += ["mail a.b@c.org, +1 (555) 123-4567 or 10.0.0.1; 4111 1111 1111 1111", "\n".join(" ".join(r.choice(vocab) for _ in range(20)) for _ in range(900)), "x" * 5000, "é" * 3000 + "\n" + "1" * 3000]
     rows = [(i, t, "en", None if i % 9 == 0 else f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
-    rows += [rows[4], rows[10], (None, texts[10], None, "src0", 1), (None, None, None, None, None)]
+    rows += [rows[4], rows[10], (6, "x\nnothing of the kind\ny", "en", "src0", 1), (7, "z\nSame repeated line here", "en", "src0", 1), (None, texts[10], None, "src0", 1), (None, None, None, None, None)]
     return [(*x, *(["clash"] * len(OWN))) for x in rows]
 
 
