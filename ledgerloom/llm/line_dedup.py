@@ -23,7 +23,7 @@ from .scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
-_ID, _TEXT, _POS, _KEY, _KEY2, _MIN, _MAX, _GONE = (f"__ld_{x}" for x in ("id", "text", "pos", "k1", "k2", "min", "max", "gone"))
+_ID, _ROW, _TEXT, _POS, _KEY, _KEY2, _MIN, _MAX, _GONE = (f"__ld_{x}" for x in ("id", "row", "text", "pos", "k1", "k2", "min", "max", "gone"))
 
 
 def line_key(line: Column) -> Column:
@@ -42,33 +42,35 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     all its lines but those of the smallest document that holds it.
     """
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    row = F.xxhash64(F.col(text_col))  # tells rows of one id apart
     key = line_key(F.col(_TEXT))
     at = (
         docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias(_ID), F.posexplode(lines).alias(_POS, _TEXT))
-        .select(_ID, _POS, F.when(F.length(key) >= min_chars, F.xxhash64(key)).alias(_KEY), F.xxhash64(F.lit(1), key).alias(_KEY2))
+        .select(F.col(id_col).alias(_ID), row.alias(_ROW), F.posexplode(lines).alias(_POS, _TEXT))
+        .select(_ID, _ROW, _POS, F.when(F.length(key) >= min_chars, F.xxhash64(key)).alias(_KEY), F.xxhash64(F.lit(1), key).alias(_KEY2))
     )
     # Read twice below: written once, so that each line is normalised once.
-    at = Scratch(docs.sparkSession, "lines").table(at, "keys").where(F.col(_KEY).isNotNull())
+    scratch = Scratch(docs.sparkSession, "lines")
+    at = scratch.table(at, "keys").where(F.col(_KEY).isNotNull())
     by_key = at.groupBy(_KEY, _KEY2)
     if min_docs <= 2:  # two documents show in the extremes, which combine before the shuffle
         shared = by_key.agg(F.min(_ID).alias(_MIN), F.max(_ID).alias(_MAX)).where(F.col(_MIN) < F.col(_MAX) if min_docs == 2 else F.lit(True))
     else:
         shared = at.groupBy(_KEY, _KEY2, _ID).agg(F.lit(1).alias(_MAX)).groupBy(_KEY, _KEY2).agg(F.min(_ID).alias(_MIN), F.count("*").alias(_MAX)).where(F.col(_MAX) >= min_docs)
+    # Written too: then both sides of the join are plain shuffles, whose hot partitions can be split.
+    shared = scratch.table(shared.select(_KEY, _KEY2, _MIN), "shared")
     gone = (
-        at.join(shared.select(_KEY, _KEY2, _MIN), [_KEY, _KEY2])
+        at.join(shared, [_KEY, _KEY2])
         .where(F.col(_ID) > F.col(_MIN))
-        .groupBy(_ID)
+        .groupBy(F.col(_ID).alias(_KEY), F.col(_ROW).alias(_KEY2))
         .agg(F.collect_set(_POS).alias(_GONE))
     )
     # The lines go through the join as an array, so that no lambda below splits a text again.
     own = [c for c in docs.columns if c != text_col and c not in ("n_lines", "n_dropped")]
-    out = docs.select(*own, lines.alias(_TEXT)).join(gone, F.col(id_col) == gone[_ID], "left")
+    out = docs.select(*own, row.alias(_ROW), lines.alias(_TEXT)).join(gone, (F.col(id_col) == gone[_KEY]) & (F.col(_ROW) == gone[_KEY2]), "left")
     lines = F.col(_TEXT)
     lost = F.coalesce(F.size(_GONE), F.lit(0))
     kept = F.when(
         F.col(_GONE).isNull(), F.array_join(lines, "\n")
     ).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE)), lambda i: F.get(lines, i)), "\n"))
-    # Rows of one id share the positions; those beyond a row's own end lose nothing there.
-    dropped = F.when(lost == 0, F.lit(0)).otherwise(F.size(F.array_intersect(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE))))
-    return out.select(*own, kept.alias(text_col), F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    return out.select(*own, kept.alias(text_col), F.size(lines).cast("long").alias("n_lines"), lost.cast("long").alias("n_dropped"))
