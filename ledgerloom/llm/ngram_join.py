@@ -12,8 +12,9 @@ Steps:
 1. Sketch: counts by hash slot, summed over the corpus.
 2. Each document's set: its size and a 128-bit digest. Equal sets fold into the smallest
    id, so copies cost nothing below.
-3. Postings of the first order's prefixes. Tokens of one posting go; each other token
-   links its postings to one leader (a star, not all pairs).
+3. Postings of the first order's prefixes, with their places in the order. Tokens of one
+   posting go; each other token links its postings to one leader (a star, not all pairs).
+   A pair whose first common token stands too late in either set is no candidate.
 4. Candidates are filtered under all orders and verified against the texts' sets. Verified
    links give first components; each document gets the verified leader closest to it as
    centre, at a known distance.
@@ -85,12 +86,14 @@ class Orders:
         self.classes, self.orders = sketch, orders
         self.mask = U64(len(sketch) - 1)
 
-    def prefix(self, tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
+    def prefix(self, tokens: np.ndarray, percent: int, order: int, ranked: bool = False) -> np.ndarray:
+        """The tokens of the prefix; ``ranked``: in the order itself, so that hot ones come last."""
         keep = len(tokens) - needed(len(tokens), percent) + 1 if len(tokens) else 0
-        if keep >= len(tokens):
+        if keep >= len(tokens) and not ranked:
             return tokens
         key = mix(tokens ^ _STEP[order]) >> U64(8) | self.classes[tokens & self.mask].astype(U64) << U64(56)
-        return tokens[np.argpartition(key, keep - 1)[:keep]]
+        at = np.argpartition(key, keep - 1)[:keep] if keep < len(tokens) else np.arange(len(tokens))
+        return tokens[at[np.lexsort((tokens[at], key[at]))] if ranked else at]
 
 
 def _sketch(docs: DataFrame, bits: int, size: int) -> np.ndarray:
@@ -165,6 +168,13 @@ def _close(n: str, m: str, percent: int) -> Column:
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def _early(n: str, m: str, p: str, q: str, percent: int) -> Column:
+    """Whether sets of n and m tokens whose first common token is the p-th and the q-th (from 0) can be similar
+    enough: they share no token before it, so at most n - p and m - q."""
+    need = (F.col(n) + F.col(m)) * percent
+    return ((F.col(n) - F.col(p)) * (100 + percent) >= need) & ((F.col(m) - F.col(q)) * (100 + percent) >= need)
+
+
 def _linked(percent: int) -> Column:
     return F.col("both") * 100 >= F.col("any") * percent
 
@@ -203,7 +213,7 @@ def ngram_jaccard(
                     n.append(len(s))
                     d1.append(mix(s ^ _STEP[61]).sum(dtype=U64))
                     d2.append(mix(s ^ _STEP[62]).sum(dtype=U64))
-                    prefix = order.value.prefix(s, percent, 0)
+                    prefix = order.value.prefix(s, percent, 0, ranked=True)
                     often = order.value.classes[prefix & order.value.mask] >= hot_class
                     cold.append(prefix[~often])
                     hot.append(prefix[often])
@@ -217,37 +227,42 @@ def ngram_jaccard(
 
     # Tokens that lie in two sets and more. Hot ones are combined before they move and joined on their
     # key; the others, of which no token has many, meet in a window.
-    cold = sets.select(F.explode("cold").alias("k"), "id", "n", "d1")
+    cold = sets.select(F.posexplode("cold").alias("p", "k"), "id", "n", "d1")
     w = Window.partitionBy("k")
-    cold = cold.select("k", "id", "n", F.min("d1").over(w).alias("lo"), F.max("d1").over(w).alias("hi")).where("lo < hi").select("k", "id", "n")
-    hot = sets.select(F.explode("hot").alias("k"), "id", "n", "d1")
-    hot = hot.select("k", "id", "n").join(hot.groupBy("k").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("k"), "k")
+    cold = cold.select("k", "id", "n", "p", F.min("d1").over(w).alias("lo"), F.max("d1").over(w).alias("hi")).where("lo < hi").select("k", "id", "n", "p")
+    hot = sets.select(F.size("cold").alias("before"), F.posexplode("hot").alias("p", "k"), "id", "n", "d1").withColumn("p", F.col("p") + F.col("before"))
+    hot = hot.select("k", "id", "n", "p").join(hot.groupBy("k").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("k"), "k")
     shared = scratch.table(cold.union(hot), "shared")
     shared = scratch.table(shared.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "postings")
     # A token's leader is the document that shares most of its tokens, as the source of a family of copies does.
     share = shared.groupBy("id").agg((F.count("*") / F.first("n")).alias("share"))
-    lead = shared.join(share, "id").groupBy("k").agg(F.max(F.struct(F.col("share"), (-F.col("id")).alias("order"), F.col("id"), F.col("n"))).alias("x"))
-    lead = lead.select("k", F.col("x.id").alias("lead"), F.col("x.n").alias("lead_n"))
+    lead = shared.join(share, "id").groupBy("k").agg(F.max(F.struct(F.col("share"), (-F.col("id")).alias("order"), F.col("id"), F.col("n"), F.col("p"))).alias("x"))
+    lead = lead.select("k", F.col("x.id").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.p").alias("lead_p"))
     near_texts = scratch.table(texts.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
 
     def measured(pairs: DataFrame, check: bool = True) -> DataFrame:
         return scratch.table(_measure(pairs, near_texts, shingle, percent, order if check else None), "measured")
 
-    tried = scratch.table(shared.join(lead, "k").where((F.col("id") != F.col("lead")) & _close("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    stars = shared.join(lead, "k").where((F.col("id") != F.col("lead")) & _close("n", "lead_n", percent)).groupBy(F.col("lead").alias("a"), F.col("id").alias("b"))
+    stars = stars.agg(F.first("lead_n").alias("n"), F.first("n").alias("m"), F.min("lead_p").alias("p"), F.min("p").alias("q"))
+    tried = scratch.table(stars.where(_early("n", "m", "p", "q", percent)).select("a", "b"), "stars")
     star = measured(tried).where(_linked(percent))
     parts = components(star.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
     # Tokens whose documents lie in several components.
-    placed = shared.select("k", "id", "n").join(parts, F.col("id") == F.col("node"), "left").select("k", "id", "n", F.coalesce("component", "id").alias("c"))
+    placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("k", "id", "n", "p", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
     closest = star.groupBy(F.col("b").alias("id")).agg(F.min(F.struct((1 - F.col("both") / F.col("any")).alias("r"), F.col("a").alias("centre"))).alias("x")).select("id", "x.*")
     several = placed.join(mixed, "k").join(closest, "id", "left")
-    several = scratch.table(several.select("k", "id", "n", "c", F.coalesce("centre", "id").alias("centre"), F.coalesce("r", F.lit(0.0)).alias("r")), "mixed")
-    at = several.groupBy("k", "centre", "c").agg(F.max("r").alias("most"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    several = scratch.table(several.select("k", "id", "n", "p", "c", F.coalesce("centre", "id").alias("centre"), F.coalesce("r", F.lit(0.0)).alias("r")), "mixed")
+    at = several.groupBy("k", "centre", "c").agg(F.max("r").alias("most"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("p").alias("p"))
     x, y = at.alias("x"), at.alias("y")
     sizes = (F.col("x.lo") * percent <= F.col("y.hi") * 100) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
     centres = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.c") != F.col("y.c")) & sizes)
-    centres = centres.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.max(F.col("x.most") + F.col("y.most")).alias("reach"))
+    centres = centres.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(
+        F.max(F.col("x.most") + F.col("y.most")).alias("reach"), F.min("x.lo").alias("n"), F.min("y.lo").alias("m"), F.min("x.p").alias("p"), F.min("y.p").alias("q")
+    )
+    centres = centres.where((F.col("reach") > 0) | _early("n", "m", "p", "q", percent)).select("a", "b", "reach")
     centres = scratch.table(centres, "centres")
     both_ways = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Two lone documents are candidates themselves and must pass all orders; other centres are measured.
