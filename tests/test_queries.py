@@ -26,7 +26,8 @@ def test_query_equals_sql(spark, sql, name):
     df = queries.queries()[name](spark, SF)
     cols = sorted(df.columns)
     ours = plain(df.select(*cols).collect())
-    theirs = plain(sql.sql(f"SELECT {', '.join(cols)} FROM ({oracle.oracle_sql()[name]})").fetchall())
+    quoted = ', '.join(f'"{c}"' for c in cols)
+    theirs = plain(sql.sql(f"SELECT {quoted} FROM ({oracle.oracle_sql()[name]})").fetchall())
     assert ours == theirs
 
 
