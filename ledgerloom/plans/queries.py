@@ -222,7 +222,7 @@ def catalog_remove(s, d):
 
 
 def _secret(text):
-    return F.concat(F.substring(text, 1, 40), F.lit(" Bearer abc.def-1 and X-Amz-Signature=0aF9 or 1//tok_en, ya29.x-y aws_secret_access_key=" + "A" * 40 + " end"))
+    return F.concat(text, F.lit(" Bearer abc.def-1 and X-Amz-Signature=0aF9 or 1//tok_en, ya29.x-y aws_secret_access_key=" + "A" * 40 + " end"))
 
 
 @_query
