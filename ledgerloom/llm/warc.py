@@ -9,7 +9,9 @@ occur more than once are joined back to the pages, by broadcast below Spark's th
 Reading. Files are scanned in splits, cut at the magic; no file and no split is held whole.
 A task emits each piece's offset and, where the piece begins like a record, the offset that
 its length announces for the successor. Magic inside a payload makes pieces that look like
-records too. Which are real is decided by the chain from the file's start: pointer jumping
+records too, and magic inside a head (a url may hold it) cuts the head: the length and the
+blank line are then sought in the following pieces, and where a head runs over the end of its
+split, in the summaries of the splits after it. Which are real is decided by the chain from the file's start: pointer jumping
 inside each split (in numpy) leads from every candidate to where its chain leaves the split,
 and pointer jumping over splits (joins, doubling the stride each round) finds where the
 chain of the file's start enters each split. Records off that chain are dropped. A real
@@ -42,7 +44,7 @@ from .scratch import Scratch
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-PIECES = "file string, block long, off long, next long, exit long, whole boolean, covers long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean"
+PIECES = "file string, block long, off long, next long, exit long, whole boolean, covers long, open boolean, told long, blank long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean"
 
 
 def base32_sha1(text: Column) -> Column:
@@ -86,6 +88,9 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.I)
 
 
+_VERSIONS = (b"1\r\n", b"0\r\n")
+
+
 def _header(head: bytes, name: bytes) -> str | None:
     m = re.search(rb"\r\n" + name + rb":[ \t]*([^\r\n]*)", head, re.I)
     return m[1].decode("utf-8", "replace") if m else None
@@ -112,7 +117,7 @@ def _facts(value: bytes, head_end: int, length: int) -> tuple:
 
 def _announced(value: bytes) -> tuple[int, int] | None:
     """(end of the head, length of the block) if the piece after the magic begins like a record."""
-    if value[:3] not in (b"1\r\n", b"0\r\n"):
+    if value[:3] not in _VERSIONS:
         return None
     end = value.find(b"\r\n\r\n")
     m = _LENGTH.search(value[: end + 2]) if end >= 0 else None
@@ -153,41 +158,73 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in PIECES.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 
-    def rows_of(split: tuple[str, int], rows: list[list], covers: int) -> pa.RecordBatch:
+    def rows_of(split: tuple[str, int], rows: list[list], covers: int, lead: int | None, blank: int | None, heads: list[list]) -> pa.RecordBatch:
+        for r in heads:
+            r[3], r[5] = False, True
         real = [r for r in rows if r[1] is not None]
         for r, x in zip(real, _exits(np.array([r[0] for r in real], np.int64), np.array([r[1] for r in real], np.int64)).tolist(), strict=True):
             r[2] = x
-        rows.append([-1, None, None, None, covers, *[None] * 7])
+        rows.append([-1, None, None, None, covers, None, lead, blank, *[None] * 7])
         cols = zip(*([*split, *r] for r in rows), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(cols, PIECES.split(", "), strict=True)], names=names)
 
     split, rows, end = None, [], 0
+    lead = blank = None  # the first length before the split's first blank line, and where that is
+    bare, heads = [], []  # candidates whose head is open: those without a length yet, and all
     for s, off, value, magic in _pieces(batches):
         if s != split:
             if split:
-                yield rows_of(split, rows, end)
-            split, rows = s, []
-        end = off + len(value) + len(MAGIC) * magic
-        told = _announced(value) if magic else None
-        if told:
-            size = told[0] + 4 + told[1]
-            whole = len(value) >= size
-            rows.append([off, off + len(MAGIC) + size + len(END), None, whole, None, *(_facts(value, *told) if whole else [None] * 7)])
-        elif magic or value:
-            rows.append([off, None, None, None, None, *[None] * 7])
+                yield rows_of(split, rows, end, lead, blank, heads)
+            split, rows, lead, blank, bare, heads = s, [], None, None, [], []
+        skip = len(MAGIC) * magic
+        end = off + len(value) + skip
+        row = [off, *[None] * 14]
+        begins = magic and value[:3] in _VERSIONS
+        if magic or value:
+            rows.append(row)
+        if begins:
+            bare.append(row)
+            heads.append(row)
+        # Neither a blank line nor a line with a length can hold magic, so each stands inside one piece.
+        cut = value.find(b"\r\n\r\n")
+        if bare or blank is None and lead is None:
+            m = _LENGTH.search(value, 0, cut + 2 if cut >= 0 else len(value))
+            if m:
+                for r in bare:
+                    r[6] = int(m[1])
+                bare = []
+                if blank is None and lead is None:
+                    lead = int(m[1])
+        if cut < 0:
+            continue
+        if blank is None:
+            blank = off + skip + cut
+        for r in heads:
+            if r[6] is not None:
+                r[1], r[3] = off + skip + cut + 4 + r[6] + len(END), False
+        if begins and row[1] is not None and len(value) >= (size := cut + 4 + row[6]):
+            row[3], row[8:] = True, _facts(value, size - row[6] - 4, row[6])
+        bare, heads = [], []
     if split:
-        yield rows_of(split, rows, end)
+        yield rows_of(split, rows, end, lead, blank, heads)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, digest_ok, file, offset."""
     scratch = Scratch(spark, "warc-read")
     pieces = scratch.table(_scan(spark, path).mapInArrow(_index, PIECES), "pieces")
-    splits = pieces.where("off < 0").select("file", "block", (F.sum("covers").over(Window.partitionBy("file").orderBy("block")) - F.col("covers")).alias("base"))
+    by_file = Window.partitionBy("file").orderBy("block")
+    splits = pieces.where("off < 0").select("file", "block", (F.sum("covers").over(by_file) - F.col("covers")).alias("base"), "told", "blank")
+    # For heads that run over a split's end: the next blank line and the next length, which counts if its split is not after the blank line's.
+    ahead = by_file.rowsBetween(1, Window.unboundedFollowing)
+    later = lambda c: F.first(F.when(F.col(c).isNotNull(), F.struct("block", (F.col(c) + (F.col("base") if c == "blank" else 0)).alias("x"))), True).over(ahead)
+    splits = splits.withColumn("stop", later("blank")).withColumn("length", later("told")).select("file", "block", "base", F.col("stop.x").alias("stop"), F.when(F.col("length.block") <= F.col("stop.block"), F.col("length.x")).alias("later"))
     found = pieces.where("off >= 0").join(splits, ["file", "block"])
     for c in ("off", "next", "exit"):
         found = found.withColumn(c, F.col(c) + F.col("base"))
-    found = scratch.table(found.drop("covers"), "candidates")
+    over = F.when(F.col("open"), F.col("stop") + 4 + F.coalesce("told", "later") + len(END))
+    found = found.withColumn("next", F.coalesce("next", over)).withColumn("exit", F.coalesce("exit", over))
+    found = scratch.table(found.drop("covers", "open", "told", "blank", "stop", "later"), "candidates")
 
     # Chains from split to split: only candidates that some chain arrives at, or that begin a file.
     nodes = found.where("next IS NOT NULL").select("file", "off", F.col("exit").alias("to"))
