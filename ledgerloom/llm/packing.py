@@ -1,15 +1,20 @@
 """Sequence packing with a controlled mixture: deficit round-robin over source queues.
 
-First pass, one task per input split: texts become token ids, and documents gather into
-blocks of about ``block_tokens``. A block is one row: its documents, their sources and
-all ids in order. The blocks are written to the shared folder.
+First pass, one task per input split: texts become token ids, and each document gets a place
+in [0, 1). The documents of one source in one split take the steps of a golden-ratio
+sequence from a start of their own, so that every source spreads evenly over all places,
+however the input is sorted. The ids are written to the shared folder.
+
+Then documents are dealt out by place, in one shuffle of the ids, sorted by place, and gather
+into blocks of about ``block_tokens``. A block is one row: its documents, their sources and
+all ids in order. The blocks are written to the shared folder too.
 
 Between the passes only counts move: tokens per block and source. Running sums over
 partitions, and inside them over blocks, give each block the place where its stream
 begins and, for each source, the deficit that everything before it has left: its target
 share of all tokens so far, less what it got.
 
-Second pass, again one row at a time: each source's documents queue; in every window of
+Last pass, again one row at a time: each source's documents queue; in every window of
 ``window_tokens`` a source may send its share of the window plus its carried deficit, a
 document being cut where the quota ends, and a source with nothing left passes its quota
 on. The block's stream is cut at every multiple of ``seq_tokens`` of the corpus-wide
@@ -19,10 +24,11 @@ Targets: shares given by the caller (normalised; a source not named gets none an
 what the others leave), or each source's share of all tokens. Every document is packed,
 so in the end the mixture is the corpus's; the targets rule the order.
 
-A block may hold any mixture, and no key is dealt out, so one source with a third of all
-rows changes nothing. Blocks and counts meet in a join that is broadcast only below
-Spark's own threshold. ``premix=True`` deals documents out at random first, for input
-sorted by source, at the price of one shuffle of the texts.
+No source is a key of the shuffle, so one source with a third of all rows changes nothing.
+A block holds about the corpus's mixture; what it has too much of goes out in its last window, and the deficit is
+carried. Windows are those of the corpus-wide stream. Blocks and counts meet in a join that is broadcast only below Spark's own
+threshold. ``premix=False`` leaves documents in input order, without the shuffle: then a
+block of one source fills its windows with that source, whatever the targets.
 
 Defined results: a null text is empty and yields the end token alone; a null source is a
 source of its own; rows of equal or null id are packed one by one; other columns are not
@@ -32,6 +38,7 @@ read. An empty table packs into no rows.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -49,7 +56,9 @@ from .scratch import Scratch
 END = 0
 SPECIAL = "<|endoftext|>"
 NO_SOURCE = "\x00"  # the key that stands for a null source
+GOLDEN = 0.6180339887498949
 
+CODED = "doc_id long, source string, tokens long, ids binary, place double"
 BLOCK = "part int, block long, tokens long, doc_ids array<long>, sources array<string>, lengths array<long>, ids binary, by_source map<string,long>"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -83,8 +92,8 @@ def default_tokenizer() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
-def deal(sources: list[str], lengths: np.ndarray, targets: dict[str, float], deficits: dict[str, float], window: int) -> list[tuple[int, int, int]]:
-    """(document, start, length) in stream order, for one block's documents. ``deficits`` is carried and updated."""
+def deal(sources: list[str], lengths: np.ndarray, targets: dict[str, float], deficits: dict[str, float], window: int, at: int) -> list[tuple[int, int, int]]:
+    """(document, start, length) in stream order, for one block's documents, whose stream begins at ``at``. ``deficits`` is carried and updated."""
     queues: dict[str, deque[int]] = {}
     for i, s in enumerate(sources):
         queues.setdefault(s, deque()).append(i)
@@ -107,7 +116,7 @@ def deal(sources: list[str], lengths: np.ndarray, targets: dict[str, float], def
         return sent
 
     while left:
-        size = min(window, left)
+        size = min(window - at % window, left)
         room = size
         live = [s for s in names if queues[s]]
         sent = dict.fromkeys(live, 0)
@@ -129,16 +138,39 @@ def deal(sources: list[str], lengths: np.ndarray, targets: dict[str, float], def
                 room -= got
         for s in set(targets) | set(sent):
             deficits[s] = deficits.get(s, 0.0) + targets.get(s, 0.0) * size - sent.get(s, 0)
-        left -= size
+        left, at = left - size, at + size
     return out
 
 
-def tokenize(docs: DataFrame, *, tokenizer: tuple[str, str, str], id_col: str, text_col: str, source_col: str, block_tokens: int) -> DataFrame:
-    """One row per block of documents, in the order of the input's partitions."""
+def tokenize(docs: DataFrame, *, tokenizer: tuple[str, str, str], id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row per document: its ids with the end token, and its place in [0, 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, number = Encoder(*tokenizer), TaskContext.get().partitionId(), 0
+        encode, part = Encoder(*tokenizer), TaskContext.get().partitionId()
         end = np.array([END], "<u2").tobytes()
+        next_place: dict[str, float] = {}
+        for batch in batches:
+            sources = [NO_SOURCE if s is None else s for s in batch.column(2).to_pylist()]
+            coded = [encode(t.as_py() or "") + end for t in batch.column(1)]
+            places = []
+            for s in sources:
+                at = next_place.get(s)
+                if at is None:
+                    at = int.from_bytes(hashlib.blake2b(f"{part} {s}".encode("utf-8", "surrogatepass"), digest_size=6).digest()) / 2**48
+                places.append(at)
+                next_place[s] = (at + GOLDEN) % 1.0
+            cols = [batch.column(0), pa.array(sources, pa.string()), pa.array([len(c) // 2 for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(places, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in CODED.split(", ")])
+
+    source = F.col(source_col) if source_col in docs.columns else F.lit(None)
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), source.cast("string").alias("s")).mapInArrow(run, CODED)
+
+
+def gather(coded: DataFrame, block_tokens: int) -> DataFrame:
+    """One row per block of documents, in the order of the partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         sources: list[str] = []
         coded: list[bytes] = []
@@ -154,20 +186,25 @@ def tokenize(docs: DataFrame, *, tokenizer: tuple[str, str, str], id_col: str, t
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in BLOCK.split(", ")])
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                coded.append(encode(batch.column(1)[k].as_py() or "") + end)
-                ids.append(batch.column(0)[k].as_py())
-                s = batch.column(2)[k].as_py()
-                sources.append(NO_SOURCE if s is None else s)
-                size += len(coded[-1]) // 2
+            for i, s, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                ids.append(i)
+                sources.append(s)
+                coded.append(c)
+                size += len(c) // 2
                 if size >= block_tokens:
                     yield block()
                     number, ids, sources, coded, size = number + 1, [], [], [], 0
         if coded:
             yield block()
 
-    source = F.col(source_col) if source_col in docs.columns else F.lit(None)
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), source.cast("string").alias("s")).mapInArrow(run, BLOCK)
+    return coded.select("doc_id", "source", "ids").mapInArrow(run, BLOCK)
+
+
+def mixed(coded: DataFrame, block_tokens: int) -> DataFrame:
+    """Documents in the order of their places: ranges of places in partitions of a block and more, so far as Spark's number of partitions allows."""
+    total = coded.agg(F.sum("tokens")).first()[0] or 0
+    n = max(1, min(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // block_tokens))
+    return coded.repartitionById(n, F.floor(F.col("place") * n).cast("int")).sortWithinPartitions("place")
 
 
 def pack(
@@ -177,7 +214,7 @@ def pack(
     seq_tokens: int = 1024,
     window_tokens: int = 65_536,
     block_tokens: int = 1 << 20,
-    premix: bool = False,
+    premix: bool = True,
     tokenizer: tuple[str, str, str] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -186,9 +223,15 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (long) and source."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
+    coded = tokenize(docs, tokenizer=tokenizer or default_tokenizer(), id_col=id_col, text_col=text_col, source_col=source_col)
     if premix:
-        docs = docs.repartition(F.rand(seed=0))
-    blocks = scratch.table(tokenize(docs, tokenizer=tokenizer or default_tokenizer(), id_col=id_col, text_col=text_col, source_col=source_col, block_tokens=block_tokens), "blocks")
+        # Written first: places hang on the order of rows, which a task that runs again must not change.
+        coded = scratch.table(coded, "coded")
+        path = scratch.last
+        blocks = scratch.table(gather(mixed(coded, block_tokens), block_tokens), "blocks")
+        scratch.drop(path)
+    else:
+        blocks = scratch.table(gather(coded, block_tokens), "blocks")
     # Counts alone from here to the join: running sums over partitions, then over a partition's blocks.
     count = blocks.select("part", "block", F.explode("by_source").alias("s", "n"))
     by_part = count.groupBy("part", "s").agg(F.sum("n").alias("n"))
@@ -224,7 +267,7 @@ def pack(
                 first = np.concatenate([[0], np.cumsum(lengths)])
                 wide = np.frombuffer(ids, "<u2").astype("<u4")
                 rows: list[tuple] = []
-                for i, start, n in deal(sources, lengths, share, deficits, window_tokens):
+                for i, start, n in deal(sources, lengths, share, deficits, window_tokens, at):
                     while n:
                         m = min(n, seq_tokens - at % seq_tokens)
                         crc = zlib.crc32(wide[first[i] + start : first[i] + start + m].tobytes())
