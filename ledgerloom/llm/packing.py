@@ -21,7 +21,7 @@ on. The block's stream is cut at every multiple of ``seq_tokens`` of the corpus-
 stream, so only the very last sequence of the corpus is padded.
 
 Targets: shares given by the caller (normalised; a source not named gets none and fills
-what the others leave), or each source's share of all tokens. Every document is packed,
+what the others leave), or each source's share of all tokens, however many sources there are. Every document is packed,
 so in the end the mixture is the corpus's; the targets rule the order.
 
 No source is a key of the shuffle, so one source with a third of all rows changes nothing.
@@ -246,15 +246,16 @@ def pack(
         .join(by_part.withColumnRenamed("n", "part_n"), ["part", "s"])
         .select("part", "block", "s", (F.col("part_end") - F.col("part_n") + F.sum("n").over(W.partitionBy("part", "s").orderBy("block")) - F.col("n")).alias("got"))
     )
-    carried = so_far.groupBy("part", "block").agg(F.map_from_entries(F.collect_list(F.struct("s", "got"))).alias("got"))
+    # Each block takes along its own sources' tokens in the whole corpus; no table of all sources reaches the driver.
+    of_corpus = by_part.groupBy("s").agg(F.sum("n").alias("all"))
+    carried = so_far.join(of_corpus, "s").groupBy("part", "block").agg(F.map_from_entries(F.collect_list(F.struct("s", F.struct("got", "all")))).alias("got"))
     layout = scratch.table(places.join(carried, ["part", "block"]), "layout")
+    given = None
     if targets is None:
-        rows = by_part.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(MAX_SOURCES).collect()
-        weights = {r.s: float(r.n) for r in rows}
+        total = float(by_part.agg(F.sum("n")).first()[0] or 1)
     else:
-        weights = {NO_SOURCE if s is None else s: float(x) for s, x in targets.items()}
-    total = sum(weights.values()) or 1.0
-    share = {s: x / total for s, x in weights.items()}
+        total = sum(map(float, targets.values())) or 1.0
+        given = {NO_SOURCE if s is None else s: float(x) / total for s, x in targets.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in PIECE.split(", ")]
@@ -263,7 +264,9 @@ def pack(
             for k in range(batch.num_rows):
                 at, got, doc_ids, sources, lengths, ids = (batch.column(i)[k].as_py() for i in range(6))
                 lengths, got = np.array(lengths, np.int64), dict(got)
-                deficits = {s: share.get(s, 0.0) * at - n for s, n in got.items()}
+                # Targets of sources that the block doesn't hold would change nothing in it.
+                share = {s: x["all"] / total if given is None else given.get(s, 0.0) for s, x in got.items()}
+                deficits = {s: share[s] * at - x["got"] for s, x in got.items()}
                 first = np.concatenate([[0], np.cumsum(lengths)])
                 wide = np.frombuffer(ids, "<u2").astype("<u4")
                 rows: list[tuple] = []
@@ -276,7 +279,3 @@ def pack(
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return blocks.join(layout, ["part", "block"]).select("at", "got", "doc_ids", "sources", "lengths", "ids").mapInArrow(run, PIECE)
-
-
-#: Of sources whose targets come from the corpus; the rest share what these leave.
-MAX_SOURCES = 10_000

@@ -1,4 +1,4 @@
-"""Mixtures of windows where the input is sorted by source."""
+"""Mixtures of windows where the input is sorted by source, and of corpora of many sources."""
 
 from pyspark.sql import functions as F
 
@@ -19,3 +19,16 @@ def test_windows_hold_the_mixture_of_sorted_input(spark):
     off = abs(per.div(per.sum(axis=1), axis=0) - share).max(axis=1)
     assert len(per) > 30
     assert off.max() < 0.03
+
+
+def test_every_source_has_its_target(spark):
+    """Of 12,000 sources of equal size the last 2,000 by name must not be held back to the end."""
+    rows = [(f"s{i:05d}", 1) for i in range(12_000)]
+    d = spark.createDataFrame(rows, "source string, k long").repartition(4)
+    d = d.select(F.monotonically_increasing_id().alias("doc_id"), F.lit("one two three four five six seven").alias("text"), "source")
+    got = pack(d, window_tokens=1024, block_tokens=1 << 20).toPandas()
+    got["small"] = got.source > "s09999"
+    got["part"] = got.sequence_id * 4 // (got.sequence_id.max() + 1)
+    share = got[got.small].length.sum() / got.length.sum()
+    per = got[got.small].groupby("part").length.sum() / got.groupby("part").length.sum()
+    assert (abs(per - share) < 0.1).all()
