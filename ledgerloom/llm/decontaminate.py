@@ -15,7 +15,8 @@ size (``block_bytes`` of text each); every block searches the same index.
 
 Defined results: a null text has no words; a document without words is clean. A test
 item without words, or a null one, has no window. Items with the same id are one item
-with the windows of all its rows; an item with null id is left out. Rows of the
+with the windows of all its rows; so are items with null id, which count in n_hit, spans
+and once in n_items, but have no name in items. Rows of the
 documents are judged one by one, so equal or null ids do no harm. Input columns are
 kept; the operator's columns replace columns of the same names.
 """
@@ -147,13 +148,13 @@ class TestSet:
 
     __test__ = False
 
-    def __init__(self, items: Iterable[tuple[str, str]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, str]], window: int):
         ids, texts = [], []
         for i, t in items:
-            if i is not None and t:
+            if t:
                 ids.append(i)
                 texts.append(t)
-        names = sorted(set(ids))
+        names = sorted(set(ids), key=lambda i: (i is None, i or ""))
         number = {i: k for k, i in enumerate(names)}
         self.ids = names
         hashes, rows, lengths, owner = [], [], [], []
@@ -223,12 +224,12 @@ class TestSet:
         return where[index.locate(rows)], pattern
 
 
-def shard_hits(raw: np.ndarray, offsets: np.ndarray, sets: list[TestSet]) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
-    """For each text: words, hit words, items found, merged spans of word positions (end exclusive)."""
+def shard_hits(raw: np.ndarray, offsets: np.ndarray, sets: list[TestSet]) -> Iterator[tuple[int, int, int, list[str], list[tuple[int, int]]]]:
+    """For each text: words, hit words, items found, their names, merged spans of word positions (end exclusive)."""
     w = words(raw, offsets, ALNUM)
     docs = len(offsets) - 1
     cover = np.zeros(len(w.hash) + 1, np.int64)
-    items: dict[int, set[str]] = {}
+    items: dict[int, set[str | None]] = {}
     for s in sets:
         at, pattern = s.occurrences(w.hash, w.doc)
         np.add.at(cover, at, 1)
@@ -244,7 +245,8 @@ def shard_hits(raw: np.ndarray, offsets: np.ndarray, sets: list[TestSet]) -> Ite
         if n := int(count[b] - count[a]):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
             spans = [(int(x), int(y)) for x, y in zip(edge[::2], edge[1::2], strict=True)]
-        yield b - a, n, sorted(items.get(d, ())), spans
+        found = items.get(d, set())
+        yield b - a, n, len(found), sorted(found - {None}), spans
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20, shard_bytes: int = 1 << 21) -> DataFrame:
@@ -269,8 +271,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         kinds = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         for batch in batches:
             for lo, hi, raw, off in text_slices(batch.column(batch.schema.get_field_index(text_col)), shard_bytes):
-                n_words, n_hit, found, spans = zip(*shard_hits(raw, off, sets), strict=True)
-                cols = [n_words, n_hit, [len(x) for x in found], found, [[{"start": a, "end": b} for a, b in s] for s in spans]]
+                n_words, n_hit, n_items, found, spans = zip(*shard_hits(raw, off, sets), strict=True)
+                cols = [n_words, n_hit, n_items, found, [[{"start": a, "end": b} for a, b in s] for s in spans]]
                 part = batch.slice(lo, hi - lo)
                 arrays = [part.column(part.schema.get_field_index(f.name)) for f in kept]
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[f.name for f in schema])
