@@ -3,7 +3,8 @@
 ``documents`` loses its toxic documents, then repeated lines, then all but one of each
 group of near duplicates, then documents that hold benchmark passages, and what is left is
 packed into training sequences. Every stage but the last returns the columns of
-``documents``. Documents with null id pass the near-duplicate stage, which can't name them.
+``documents``. The near-duplicate stage tells rows apart by a number of its own, so rows of
+one id and rows without one are documents like the others.
 """
 
 from __future__ import annotations
@@ -36,11 +37,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
-    found = ngram_jaccard(docs.select("doc_id", "text"))
-    first = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """Of each group of near duplicates the row with the smallest id stays, a row without id only if no other has one."""
+    # Written, so that every scan sees the same numbers.
+    rows = Scratch(spark, "pipeline-rows").table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = ngram_jaccard(rows.select("__row", "doc_id", "text"), id_col="__row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("x")).select("x.__row")
+    return rows.join(first, "__row", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
