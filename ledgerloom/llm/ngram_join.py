@@ -4,48 +4,54 @@ Tokens are 64-bit hashes of shingles. In any one order of all tokens, two sets o
 similarity t share a token among the first n - ceil(t n) + 1 of each (prefix filter). A
 candidate must pass under every one of ``orders`` different orders before it is verified,
 and verification counts the whole intersection. All orders put rare tokens first, by a
-power of two of the token's count in a sketch of fixed size (``sketch_bits``) over all
-documents, and break ties by hashes of their own.
+power of two of the number of sets that hold the token, and break ties by hashes of their
+own. Those numbers are counted exactly, so tokens of one set alone come first of all, and a
+set more than 1 - t of whose tokens are its own can have no partner.
 
 Steps:
 
-1. Sketch: counts by hash slot, summed over the corpus.
-2. Each document's set: its size and a 128-bit digest. Equal sets fold into the smallest
-   id, so copies cost nothing below.
+1. Each document's set: its size and a 128-bit digest.
+2. Counts. A task gathers sets into slices of ``slice_tokens``, folds equal ones, and sends
+   each slice's distinct tokens, sorted, to buckets of the hash space. A bucket answers each
+   slice with those that several sets hold, and with their class. A slice's own sets whose
+   shared tokens reach t of them live on; the others are done. A token that a slice holds
+   more than once travels once, so a token of a third of all rows is a few bytes a slice.
+   What lives on folds by digest and is counted once more among itself, which lets go of
+   sets whose tokens only copies of them, or sets that are gone, held.
 3. Postings of the first order's prefixes, with their places in the order. Tokens of one
-   posting go; each other token links its postings to one leader (a star, not all pairs).
-   A pair whose first common token stands too late in either set is no candidate.
-4. Candidates are filtered under all orders and verified against the texts' sets. Verified
-   links give first components; each document gets the verified leader closest to it as
-   centre, at a known distance.
-5. What a star may miss lies in tokens whose documents are in several components. There
-   the centres are paired and measured. The Jaccard distance is a metric, so documents a, b
-   at distances r, s from centres at distance d are at d - r - s at least: pairs of centres
-   further apart than 1 - t plus both radii need nothing more. For the others, members of
-   different components that pass that bound are candidates as in 4.
-6. Components over all links.
-
-No two documents of one component are ever paired again, so a group of n near copies costs
-about n candidates. A token that a third of the corpus holds is grouped with map-side
-combination and joined on its key, which adaptive execution splits. The driver sees counts
-and the sketch only.
-
-Defined results: null text: no words; a text without words has an empty set and is linked
-with nothing; fewer words than a shingle make one token. A row with null id is its own
-component (null). Rows of one id are one document that links by any of them; each row
-keeps its own size. Input columns are kept, those named like the operator's are replaced.
+   posting lead nowhere; each other token links its postings to one leader (a star, not all
+   pairs). A pair whose first common token stands too late in either set is no candidate:
+   no common token stands before it. The other orders' prefixes must meet, too; then the
+   sets are intersected.
+4. Components of the verified links; further stars with other leaders while a round still
+   joins at least one set in fifty.
+5. What stars may miss lies in tokens whose sets are in several components. There the sets
+   outside the token's largest component meet all others of other components and of fitting
+   sizes, if their places let them be candidates and no star has tried them.
+6. Components over all links, and the smallest id of each.
+
+No two sets of one component are paired again, so a group of n near copies costs about n
+candidates for each round. Step 5 compares the places of sets of one token that no chain
+of links has joined; its candidates are those that could still be similar by their sizes,
+exact counts and places.
+
+Defined results: a null or empty text, or one of white space, has no tokens and links with
+nothing; fewer words than a shingle are one token. Rows with a null id take no part (their
+component is null); rows with the same id are one document with the links of all its texts.
+An empty table yields no rows. Input columns except the text are kept, those named like the
+operator's are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .components import components
 from .scratch import Scratch
@@ -74,93 +80,182 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.nda
             yield np.zeros(0, U64)
 
 
+def digest(tokens: np.ndarray) -> tuple[int, int, int]:
+    """Of a set: its size and two sums of hashes, as signed 64-bit numbers."""
+    d = [mix(tokens ^ _STEP[k]).sum(dtype=U64).astype(np.int64) for k in (61, 62)]
+    return len(tokens), int(d[0]), int(d[1])
+
+
 def needed(n: int, percent: int) -> int:
     """Of n tokens, those that a set of the wanted similarity shares at least."""
     return -(-percent * n // 100)
 
 
-class Orders:
-    """Prefixes under several global orders: rare classes first, then a hash of each order's own."""
-
-    def __init__(self, sketch: np.ndarray, orders: int):
-        self.classes, self.orders = sketch, orders
-        self.mask = U64(len(sketch) - 1)
-
-    def prefix(self, tokens: np.ndarray, percent: int, order: int, ranked: bool = False) -> np.ndarray:
-        """The tokens of the prefix; ``ranked``: in the order itself, so that hot ones come last."""
-        keep = len(tokens) - needed(len(tokens), percent) + 1 if len(tokens) else 0
-        if keep >= len(tokens) and not ranked:
-            return tokens
-        key = mix(tokens ^ _STEP[order]) >> U64(8) | self.classes[tokens & self.mask].astype(U64) << U64(56)
-        at = np.argpartition(key, keep - 1)[:keep] if keep < len(tokens) else np.arange(len(tokens))
-        return tokens[at[np.lexsort((tokens[at], key[at]))] if ranked else at]
-
-
-def _sketch(docs: DataFrame, bits: int, size: int) -> np.ndarray:
-    """log2 classes of token counts by slot; counts are summed in blocks of slots, combined task by task."""
-    block = 1 << 12
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for _, _, raw, off in text_slices(batch.column(0)):
-                tokens = [*shingles(raw, off, size)]
-                total += np.bincount((np.concatenate(tokens) & U64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        for k in range(0, 1 << bits, block):
-            part = total[k : k + block]
-            if part.any():
-                narrow = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if part.max() <= np.iinfo(t).max)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.astype(narrow).tobytes()], pa.binary())], names=["k", "c"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+def prefix(tokens: np.ndarray, classes: np.ndarray, alone: int, percent: int, order: int) -> np.ndarray:
+    """Of a set's shared tokens those in its prefix, in the order's own sequence; ``alone`` tokens of no other set precede them."""
+    n = len(tokens) + alone
+    rank = mix(tokens ^ _STEP[order]) >> U64(8) | classes.astype(U64) << U64(56)
+    return tokens[np.lexsort((tokens, rank))[: n - needed(n, percent) + 1 - alone]]
+
+
+class Slice:
+    """Distinct sets of one task, until they are sent out."""
+
+    def __init__(self, buckets: int, most: int):
+        self.shift, self.buckets, self.most = U64(64 - (buckets.bit_length() - 1)), buckets, most
+        self.part, self.number = TaskContext.get().partitionId(), 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.sets: dict[tuple[int, int, int], np.ndarray] = {}
+        self.size = 0
+
+    def add(self, key: tuple[int, int, int], tokens: np.ndarray) -> bool:
+        """Whether the slice is full."""
+        if key not in self.sets:
+            self.sets[key] = tokens
+            self.size += len(tokens)
+        return self.size >= self.most
+
+    def rows(self) -> pa.RecordBatch:
+        """A row for each bucket: tokens, the set of each or a mark that several hold it, and how many do. And one
+        with the digests and the sets of those several, which goes along with any bucket."""
+        kind = np.uint16 if len(self.sets) < 1 << 16 else np.uint32
+        mark = np.iinfo(kind).max
+        tokens = np.concatenate([*self.sets.values()])
+        owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets.values()])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        count = np.diff(np.append(head, len(tokens)))
+        several = count > 1
+        own = np.where(several, mark, owner[head]).astype(kind)
+        distinct = tokens[head]
+        cut = np.searchsorted((distinct >> self.shift).astype(np.int64), np.arange(self.buckets + 1))
+        number = (self.part << 32) + self.number
+        self.number += 1
+        rows = [(number % self.buckets, np.array([*self.sets], "<i8").tobytes(), distinct[several].tobytes(), count[several].astype("<u4").tobytes(), owner[np.repeat(several, count)].astype("<u4").tobytes())]
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            s = slice(cut[b], cut[b + 1])
+            rows.append((b, distinct[s].tobytes(), own[s].tobytes(), count[s][several[s]].astype("<u4").tobytes(), None))
+        self.clear()
+        cols = [*zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([number] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "slice", "a", "b", "c", "d"])
+
+
+SENT = "bucket long, slice long, a binary, b binary, c binary, d binary"
+_BYTES = ("a", "b", "c", "d")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple[int, list[bytes]]]]]:
+    """Rows of one key, which stand together: (slice, binaries) each."""
+    now, rows = None, []
+    for batch in batches:
+        keys, slices = batch.column(batch.schema.get_field_index(key)).to_pylist(), batch.column(batch.schema.get_field_index("slice")).to_pylist()
+        cols = [batch.column(batch.schema.get_field_index(c)) for c in _BYTES]
+        for i, k in enumerate(keys):
+            if k != now and rows:
+                yield now, rows
+                rows = []
+            now = k
+            rows.append((slices[i], [c[i].as_py() for c in cols]))
+    if rows:
+        yield now, rows
+
+
+def _owners(own: bytes, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of sets, which are the mark of several sets)"""
+    x = np.frombuffer(own, np.uint16 if len(own) == 2 * tokens else np.uint32)
+    return x.astype(np.int64), x == np.iinfo(x.dtype).max
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets to slices: of each row the tokens that several sets hold, with the class of how many do."""
+    for _, rows in _runs(batches, "bucket"):
+        heads = [(s, x) for s, x in rows if x[3] is not None]
+        asked = [(s, np.frombuffer(x[0], U64), x[1], x[2]) for s, x in rows if x[3] is None]
+        out = [(s, *x) for s, x in heads]
+        if asked:
+            tokens = np.concatenate([t for _, t, _, _ in asked])
+            weight = np.ones(len(tokens), np.int64)
+            weight[np.concatenate([_owners(own, len(t))[1] for _, t, own, _ in asked])] = np.concatenate([np.frombuffer(c, "<u4") for *_, c in asked])
+            order = np.argsort(tokens, kind="stable")
+            head = np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]])
+            total = np.empty(len(tokens), np.int64)
+            total[order] = np.add.reduceat(weight[order], np.flatnonzero(head))[np.cumsum(head) - 1]
+            at = 0
+            for s, t, own, _ in asked:
+                n = total[at : at + len(t)]
+                at += len(t)
+                keep = n > 1
+                if keep.any():
+                    classes = np.floor(np.log2(n[keep])).astype(np.uint8)
+                    out.append((s, t[keep].tobytes(), np.frombuffer(own, np.uint8).reshape(len(t), -1)[keep].tobytes(), classes.tobytes(), None))
+        if out:
+            cols = [*zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["slice", *_BYTES])
+
+
+def _gathered(rows: list[tuple[int, list[bytes]]], percent: int) -> Iterator[tuple[tuple[int, int, int], np.ndarray, np.ndarray]]:
+    """(digest, shared tokens, their classes) of a slice's sets that may have a partner."""
+    head = next(x for _, x in rows if x[3] is not None)
+    keys = np.frombuffer(head[0], "<i8").reshape(-1, 3)
+    tokens, classes, owner = [np.zeros(0, U64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    held, counts, several = np.frombuffer(head[1], U64), np.frombuffer(head[2], "<u4"), np.frombuffer(head[3], "<u4").astype(np.int64)
+    class_of = np.zeros(len(held), np.uint8)
+    for _, x in rows:
+        if x[3] is None:
+            t, c = np.frombuffer(x[0], U64), np.frombuffer(x[2], np.uint8)
+            own, many = _owners(x[1], len(t))
+            class_of[np.searchsorted(held, t[many])] = c[many]
+            tokens.append(t[~many])
+            classes.append(c[~many])
+            owner.append(own[~many])
+    tokens, classes, owner = (np.concatenate([*x, np.repeat(y, counts) if z else y]) for x, y, z in ((tokens, held, True), (classes, class_of, True), (owner, several, False)))
+    shared = np.bincount(owner, minlength=len(keys))
+    lives = shared * 100 >= keys[:, 0] * percent
+    keep = lives[owner]
+    tokens, classes, owner = tokens[keep], classes[keep], owner[keep]
+    order = np.argsort(owner, kind="stable")
+    cut = np.searchsorted(owner[order], np.arange(len(keys) + 1))
+    for d in np.flatnonzero(lives).tolist():
+        at = order[cut[d] : cut[d + 1]]
+        yield tuple(keys[d].tolist()), tokens[at], classes[at]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, U64), *parts]).astype(np.int64)))
+
+
+def _surviving(source: DataFrame, sets_of: Callable, buckets: int, slice_tokens: int, percent: int, made: Callable, schema: str) -> DataFrame:
+    """Step 2: what ``made`` makes of the sets of ``source`` that may have a partner."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = Slice(buckets, slice_tokens)
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(c, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(c) // block])
-                sums[k] = sums[k] + part if k in sums else part.astype(np.int64)
-        for k, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([s.tobytes()], pa.binary())], names=["k", "c"])
-
-    parts = docs.select("t").mapInArrow(count, "k long, c binary")
-    added = parts.repartition("k").mapInArrow(add, "k long, c binary")
-    classes = np.zeros(1 << bits, np.uint8)
-    for r in added.toLocalIterator():  # 2**bits counts in all
-        sums = np.frombuffer(r.c, np.int64)
-        classes[r.k : r.k + block] = np.ceil(np.log2(np.maximum(sums, 1))).astype(np.uint8)
-    return classes
-
-
-def _measure(pairs: DataFrame, texts: DataFrame, size: int, percent: int, order) -> DataFrame:
-    """pairs (a, b) with both and any: tokens of the intersection and the union; under all orders first, where they are given."""
-    kind = dict(pairs.dtypes)["a"]
-    told = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None, None)  # id, text, (set, prefixes) of the latest a
-
-        def known(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-            return tokens, [order.value.prefix(tokens, percent, k) for k in range(order.value.orders)] if order else []
-
-        for batch in batches:
-            ids, ta = batch.column(0).to_pylist(), batch.column(2)
-            keep, both, union, row = [], [], [], 0
-            for _, _, raw, off in text_slices(batch.column(3)):
-                for b in shingles(raw, off, size):
-                    if ids[row] != last[0] or last[1] != ta[row]:
-                        one = pa.array([ta[row].as_py()], pa.string())
-                        last = (ids[row], ta[row], known(next(next(shingles(r, o, size) for _, _, r, o in text_slices(one)))))
-                    a, prefixes = last[2]
-                    few = len(a) + len(b)
-                    if min(len(a), len(b)) * 100 >= max(len(a), len(b)) * percent or order is None:
-                        if all(len(np.intersect1d(p, order.value.prefix(b, percent, k), assume_unique=True)) for k, p in enumerate(prefixes)):
-                            n = len(np.intersect1d(a, b, assume_unique=True))
-                            keep.append(row)
-                            both.append(n)
-                            union.append(few - n)
-                    row += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "both", "any"])
-
-    return told.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, both long, any long")
+            for key, tokens in sets_of(batch):
+                # A set of n has no other partner than its equals unless n of n + 1 tokens are similar enough.
+                if key[0] * 100 >= (key[0] + 1) * percent and part.add(key, tokens):
+                    yield part.rows()
+        if part.sets:
+            yield part.rows()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, "slice"):
+            found = []
+            for x in _gathered(rows, percent):
+                found.append(x)
+                if sum(len(t) for _, t, _ in found[-64:]) > 1 << 20 or len(found) == 4096:
+                    yield made(found)
+                    found = []
+            if found:
+                yield made(found)
+
+    n = max(1, min(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets))
+    sent = source.mapInArrow(send, SENT)
+    answered = sent.repartitionById(n, F.floor(F.col("bucket") * n / buckets).cast("int")).sortWithinPartitions("bucket").mapInArrow(_answer, "slice long, a binary, b binary, c binary, d binary")
+    return answered.repartition("slice").sortWithinPartitions("slice").mapInArrow(gather, schema)
 
 
 def _close(n: str, m: str, percent: int) -> Column:
@@ -175,10 +270,6 @@ def _early(n: str, m: str, p: str, q: str, percent: int) -> Column:
     return ((F.col(n) - F.col(p)) * (100 + percent) >= need) & ((F.col(m) - F.col(q)) * (100 + percent) >= need)
 
 
-def _linked(percent: int) -> Column:
-    return F.col("both") * 100 >= F.col("any") * percent
-
-
 def ngram_jaccard(
     docs: DataFrame,
     *,
@@ -187,108 +278,131 @@ def ngram_jaccard(
     shingle: int = 5,
     percent: int = 80,
     orders: int = 3,
-    sketch_bits: int = 20,
-    hot_class: int = 12,
+    slice_tokens: int = 1 << 22,
+    bucket_tokens: int = 1 << 21,
 ) -> DataFrame:
     """``docs`` without its text, with n_shingles (long) and component_id: the smallest id reachable by links of
     ``100 * intersection >= percent * union``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     kept = [f for f in docs.schema if f.name not in (text_col, "n_shingles", "component_id")]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    order = spark.sparkContext.broadcast(Orders(_sketch(texts, sketch_bits, shingle), orders))  # 2**sketch_bits bytes
-
-    # Each document's size, digest and prefix under the first order, hot tokens apart.
-    own = T.StructType.fromDDL("n_shingles long, __ng_d1 long, __ng_d2 long, __ng_cold array<long>, __ng_hot array<long>")
+    own = T.StructType.fromDDL("n_shingles long, __ng_d1 long, __ng_d2 long")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(parts: list[np.ndarray]) -> pa.Array:
-            at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts).astype(np.int64)))
-
         for batch in batches:
             for lo, hi, raw, off in text_slices(batch.column(batch.schema.get_field_index(text_col))):
-                n, d1, d2, cold, hot = [], [], [], [], []
-                for s in shingles(raw, off, shingle):
-                    n.append(len(s))
-                    d1.append(mix(s ^ _STEP[61]).sum(dtype=U64))
-                    d2.append(mix(s ^ _STEP[62]).sum(dtype=U64))
-                    prefix = order.value.prefix(s, percent, 0, ranked=True)
-                    often = order.value.classes[prefix & order.value.mask] >= hot_class
-                    cold.append(prefix[~often])
-                    hot.append(prefix[often])
+                made = zip(*(digest(s) for s in shingles(raw, off, shingle)), strict=True)
                 part = batch.slice(lo, hi - lo)
-                made = [pa.array(n, pa.int64()), *(pa.array(np.array(d, U64).astype(np.int64)) for d in (d1, d2)), lists(cold), lists(hot)]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), *made], names=[*(f.name for f in kept), *own.names])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), *(pa.array(c, pa.int64()) for c in made)], names=[*(f.name for f in kept), *own.names])
 
     described = scratch.table(docs.mapInArrow(describe, T.StructType([*kept, *own])), "sets")
-    sets = described.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), *(F.col(f"__ng_{c}").alias(c) for c in ("d1", "d2", "cold", "hot")))
-    reps = scratch.table(sets.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "reps")
-
-    # Tokens that lie in two sets and more. Hot ones are combined before they move and joined on their
-    # key; the others, of which no token has many, meet in a window.
-    cold = sets.select(F.posexplode("cold").alias("p", "k"), "id", "n", "d1")
-    w = Window.partitionBy("k")
-    cold = cold.select("k", "id", "n", "p", F.min("d1").over(w).alias("lo"), F.max("d1").over(w).alias("hi")).where("lo < hi").select("k", "id", "n", "p")
-    hot = sets.select(F.size("cold").alias("before"), F.posexplode("hot").alias("p", "k"), "id", "n", "d1").withColumn("p", F.col("p") + F.col("before"))
-    hot = hot.select("k", "id", "n", "p").join(hot.groupBy("k").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("k"), "k")
-    shared = scratch.table(cold.union(hot), "shared")
-    shared = scratch.table(shared.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "postings")
-    # A token's leader is the document that shares most of its tokens, as the source of a family of copies does.
-    share = shared.groupBy("id").agg((F.count("*") / F.first("n")).alias("share"))
-    lead = shared.join(share, "id").groupBy("k").agg(F.max(F.struct(F.col("share"), (-F.col("id")).alias("order"), F.col("id"), F.col("n"), F.col("p"))).alias("x"))
-    lead = lead.select("k", F.col("x.id").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.p").alias("lead_p"))
-    near_texts = scratch.table(texts.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
-
-    def measured(pairs: DataFrame, check: bool = True) -> DataFrame:
-        return scratch.table(_measure(pairs, near_texts, shingle, percent, order if check else None), "measured")
-
-    stars = shared.join(lead, "k").where((F.col("id") != F.col("lead")) & _close("n", "lead_n", percent)).groupBy(F.col("lead").alias("a"), F.col("id").alias("b"))
-    stars = stars.agg(F.first("lead_n").alias("n"), F.first("n").alias("m"), F.min("lead_p").alias("p"), F.min("p").alias("q"))
-    tried = scratch.table(stars.where(_early("n", "m", "p", "q", percent)).select("a", "b"), "stars")
-    star = measured(tried).where(_linked(percent))
-    parts = components(star.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-
-    # Tokens whose documents lie in several components.
-    placed = shared.join(parts, F.col("id") == F.col("node"), "left").select("k", "id", "n", "p", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    closest = star.groupBy(F.col("b").alias("id")).agg(F.min(F.struct((1 - F.col("both") / F.col("any")).alias("r"), F.col("a").alias("centre"))).alias("x")).select("id", "x.*")
-    several = placed.join(mixed, "k").join(closest, "id", "left")
-    several = scratch.table(several.select("k", "id", "n", "p", "c", F.coalesce("centre", "id").alias("centre"), F.coalesce("r", F.lit(0.0)).alias("r")), "mixed")
-    at = several.groupBy("k", "centre", "c").agg(F.max("r").alias("most"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("p").alias("p"))
-    x, y = at.alias("x"), at.alias("y")
-    sizes = (F.col("x.lo") * percent <= F.col("y.hi") * 100) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
-    centres = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.c") != F.col("y.c")) & sizes)
-    centres = centres.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(
-        F.max(F.col("x.most") + F.col("y.most")).alias("reach"), F.min("x.lo").alias("n"), F.min("y.lo").alias("m"), F.min("x.p").alias("p"), F.min("y.p").alias("q")
-    )
-    centres = centres.where((F.col("reach") > 0) | _early("n", "m", "p", "q", percent)).select("a", "b", "reach")
-    centres = scratch.table(centres, "centres")
-    both_ways = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # Two lone documents are candidates themselves and must pass all orders; other centres are measured.
-    lone = measured(centres.where("reach = 0").join(both_ways, ["a", "b"], "left_anti").select("a", "b")).where(_linked(percent))
-    apart = measured(centres.where("reach > 0").select("a", "b"), False)
-    loose = 1 - percent / 100 + 1e-9
-    hard = apart.select("a", "b", (1 - F.col("both") / F.col("any")).alias("d")).join(centres, ["a", "b"]).where(F.col("d") <= loose + F.col("reach")).select("a", "b", "d")
-    members = several.select("id", "n", "c", "centre", "r").distinct()
-    x, y = members.alias("x"), members.alias("y")
-    rest = (
-        hard.join(x, F.col("a") == F.col("x.centre"))
-        .join(y, (F.col("b") == F.col("y.centre")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.r") + F.col("y.r") >= F.col("d") - loose))
-        .where(_close("x.n", "y.n", percent) & (F.col("x.id") != F.col("y.id")))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        .join(both_ways, ["a", "b"], "left_anti")
-    )
-    late = measured(rest).where(_linked(percent))
-
-    links = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    for more in (lone, apart.where(_linked(percent)), late):
-        links = links.union(more.select("a", "b"))
-    links = links.union(sets.select("id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"]).where(F.col("id") != F.col("rep")).select("id", "rep"))
-    found = components(links, scratch)
-    found = found.select(F.col("node").alias("__ng_node"), F.col("component").alias("__ng_component"))
-    out = described.join(found, F.col(id_col) == F.col("__ng_node"), "left")
-    out = out.select(*(f.name for f in kept), "n_shingles", F.coalesce("__ng_component", id_col).alias("component_id"))
+    sets = described.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), F.col("__ng_d1").alias("d1"), F.col("__ng_d2").alias("d2"))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(256, 1 << (total // bucket_tokens).bit_length())
+
+    # Sets that may have a partner: first of all texts, then among themselves.
+    def of_texts(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+        for _, _, raw, off in text_slices(batch.column(0)):
+            for s in shingles(raw, off, shingle):
+                if len(s):
+                    yield digest(s), s
+
+    def of_sets(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+        n, d1, d2 = (batch.column(k).to_pylist() for k in range(3))
+        for k in range(batch.num_rows):
+            yield (n[k], d1[k], d2[k]), np.sort(batch.column(3)[k].values.to_numpy().astype(U64))
+
+    def bare(found: list) -> pa.RecordBatch:
+        keys = [*zip(*(k for k, _, _ in found), strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), _lists([t for _, t, _ in found])], names=["n", "d1", "d2", "tokens"])
+
+    def ordered(found: list) -> pa.RecordBatch:
+        keys = [*zip(*(k for k, _, _ in found), strict=True)]
+        alone = [k[0] - len(t) for k, t, _ in found]
+        prefixes = [_lists([prefix(t, c, a, percent, o) for a, (_, t, c) in zip(alone, found, strict=True)]) for o in range(orders)]
+        return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(alone, pa.int64()), _lists([t for _, t, _ in found]), *prefixes], names=["n", "d1", "d2", "alone", "tokens", *(f"o{o}" for o in range(orders))])
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("t"))
+    schema = "n long, d1 long, d2 long, tokens array<long>"
+    first = _surviving(texts, of_texts, buckets, slice_tokens, percent, bare, schema).withColumn("part", F.monotonically_increasing_id())
+    first = scratch.table(first, "first")
+    one = first.groupBy("n", "d1", "d2").agg(F.min("part").alias("part")).select("part")
+    first = first.join(one, "part", "left_semi").select("n", "d1", "d2", "tokens")
+    schema = "n long, d1 long, d2 long, alone long, tokens array<long>, " + ", ".join(f"o{o} array<long>" for o in range(orders))
+    alive = _surviving(first, of_sets, buckets, slice_tokens, percent, ordered, schema)
+    alive = scratch.table(alive.withColumn("key", F.monotonically_increasing_id()), "alive")
+    living = alive.agg(F.count("*")).first()[0]
+
+    # Postings of tokens in two prefixes and more. A token's leader has few tokens of its own, as the source of a family of copies.
+    postings = alive.select("key", "n", "alone", F.posexplode("o0").alias("p", "k")).withColumn("p", F.col("p") + F.col("alone"))
+    shared = postings.groupBy("k").agg(F.count("*").alias("held")).where("held > 1").select("k")
+    postings = scratch.table(postings.join(shared, "k").select("k", "key", "n", "p", (F.col("alone") / F.col("n")).alias("off")), "postings")
+
+    side = ["key", "n", "tokens", *(f"o{o}" for o in range(1, orders))]
+    left, right = (alive.select(*(F.col(c).alias(f"{s}_{c}") for c in side)) for s in "ab")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that share prefix tokens under all orders and are similar enough."""
+        pairs = pairs.join(left, F.col("a") == F.col("a_key")).join(right, F.col("b") == F.col("b_key"))
+        for o in range(1, orders):
+            pairs = pairs.where(F.arrays_overlap(f"a_o{o}", f"b_o{o}"))
+        both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        return scratch.table(pairs.where(both * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b"), "links")
+
+    none = alive.select(F.col("key").alias("a"), F.col("key").alias("b")).where(F.lit(False))
+    links, tried, placed = none, none, postings.withColumn("c", F.col("key"))
+    for turn in range(64):
+        # The first leader is the least changed set, later ones are drawn by a hash, the same for all tokens.
+        best = (-F.col("off")) if not turn else F.xxhash64("key", F.lit(turn)).cast("double")
+        lead = placed.groupBy("k").agg(F.max(F.struct(best.alias("best"), (-F.col("key")).alias("tie"), "key", "n", "p", "c")).alias("x"))
+        lead = lead.select("k", F.col("x.key").alias("l"), F.col("x.n").alias("m"), F.col("x.p").alias("q"), F.col("x.c").alias("lc"))
+        star = placed.join(lead, "k").where((F.col("c") != F.col("lc")) & _close("n", "m", percent) & _early("n", "m", "p", "q", percent))
+        star = star.select(F.least("key", "l").alias("a"), F.greatest("key", "l").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        star = scratch.table(star, "star")
+        new = verified(star)
+        joined = new.agg(F.count("*")).first()[0]
+        links, tried = links.union(new), tried.union(star)
+        if turn and not joined:
+            break
+        parts = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+        placed = postings.join(parts, F.col("key") == F.col("node"), "left").select("k", "key", "n", "p", "off", F.coalesce("component", "key").alias("c"))
+        of_token = placed.groupBy("k", "c").agg(F.count("*").alias("held")).groupBy("k").agg(F.count("*").alias("parts"), F.max(F.struct("held", "c"))["c"].alias("main")).where("parts > 1")
+        placed = scratch.table(placed.join(of_token.select("k", "main"), "k"), "mixed")
+        if joined * 50 < living:
+            break
+
+    # The smaller of two sets (by size, then key) must hold the token early enough for a partner of its own size.
+    x = placed.where((F.col("n") - F.col("p")) * (100 + percent) >= F.col("n") * 2 * percent).alias("x")
+    y = placed.alias("y")
+    fits = (F.col("x.k") == F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & ((F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key")))
+    fits = fits & _close("x.n", "y.n", percent) & _early("x.n", "y.n", "x.p", "y.p", percent)
+    pair = (F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+    outside = x.where("c != main").join(y, fits).select(*pair).union(x.where("c = main").join(y.where("c != main").alias("y"), fits).select(*pair))
+    late = scratch.table(outside.distinct().join(tried, ["a", "b"], "left_anti"), "late")
+    more = verified(late)
+
+    # Rows of one id are one document: its sets are linked. Sets that have no partner get keys below zero.
+    nodes = alive.select("n", "d1", "d2", "key")
+    twice = sets.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "d1", "d2") for f in (F.min, F.max)))
+    twice = twice.where("min_n != max_n OR min_d1 != max_d1 OR min_d2 != max_d2").select("id")
+    again = scratch.table(sets.join(twice, "id", "left_semi").distinct(), "again")
+    if not again.isEmpty():
+        lone = again.select("n", "d1", "d2").distinct().join(nodes, ["n", "d1", "d2"], "left_anti").withColumn("key", -1 - F.monotonically_increasing_id())
+        nodes = nodes.union(scratch.table(lone, "lone"))
+        held = again.join(nodes, ["n", "d1", "d2"]).select("id", "key")
+        more = more.union(held.join(held.groupBy("id").agg(F.min("key").alias("least")), "id").select("least", "key"))
+
+    if not more.isEmpty():
+        parts = components(parts.select(F.col("component").alias("u"), F.col("node").alias("v")).union(more.select("a", "b")), scratch)
+    named = nodes.join(parts, F.col("key") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "key").alias("c"))
+    reps = sets.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")).join(named, ["n", "d1", "d2"], "left")
+    least = reps.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("rep").alias("low"))
+    reps = reps.join(least, "c", "left").select(F.col("n").alias("__ng_n"), F.col("d1").alias("__ng_e1"), F.col("d2").alias("__ng_e2"), F.coalesce("low", "rep").alias("__ng_component"))
+    takes_part = F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)
+    names = [f.name for f in kept]
+    out = described.where(takes_part).join(reps, (F.col("n_shingles") == F.col("__ng_n")) & (F.col("__ng_d1") == F.col("__ng_e1")) & (F.col("__ng_d2") == F.col("__ng_e2")))
+    out = out.select(*names, "n_shingles", F.col("__ng_component").alias("component_id"))
+    out = out.union(described.where(~takes_part).select(*names, "n_shingles", F.col(id_col).alias("component_id")))
     out = Scratch(spark, "ngrams-result").table(out, "components")
     scratch.drop()  # only the result is needed from here on
     return out

@@ -35,6 +35,24 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM b JOIN l USING (h, n)
 """
 
+OP2 = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1 : i + 5], ' '))
+                                    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS toks FROM docs
+), tokens AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS t FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reached(u, v) AS (
+  SELECT u, v FROM both_ways UNION SELECT reached.u, both_ways.v FROM reached JOIN both_ways ON reached.v = both_ways.u
+), least AS (SELECT u, min(v) AS low FROM reached GROUP BY u)
+SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM sets LEFT JOIN least ON doc_id = u
+"""
+
 _WORDS = f"""
   SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents
 """
@@ -99,4 +117,4 @@ FROM docs LEFT JOIN summed USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op4_decontaminate": OP4, "op5_topk": OP5, "op7_license_scan": OP7, "op8_line_dedup": OP8}
+    return {"op1_warc": OP1, "op2_ngram_join": OP2, "op4_decontaminate": OP4, "op5_topk": OP5, "op7_license_scan": OP7, "op8_line_dedup": OP8}
