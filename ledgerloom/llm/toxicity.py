@@ -14,7 +14,7 @@ on leave-one-out votes of the examples (isotonic, by pooling adjacent violators,
 shrunk to the base rate) turns the vote into a probability. Documents without any term
 get the share of the label among examples without any.
 
-The model is bounded by ``max_examples`` and ``max_terms``; documents are scored by their
+The model is bounded by ``max_examples``; documents are scored by their
 own row, without a shuffle. The score depends on the text alone.
 
 Defined results: a null or empty text has no term. Repeated label rows of an id count as
@@ -173,10 +173,7 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_examples: int = 10_000,
-    max_terms: int = 256,
-    least_share: float = 0.015,
-    least_rate: float = 0.5,
-    least_g: float = 20.0,
+    least_g: float = 15.0,
     k: int = 12,
     soft: float = 0.05,
 ) -> ToxicityModel:
@@ -211,9 +208,7 @@ def fit(
     g = 2 * (part(a, m * p / n) + part(m - a, m * q / n) + part(p - a, (n - m) * p / n) + part(q - m + a, (n - m) * q / n))
     chosen = (
         present.groupBy("h").agg(F.sum("y").alias("a"), F.count("*").alias("m"))
-        .where((a >= least_share * p) & (a >= least_rate * m) & (m >= 4))
-        .select("h", g.alias("g")).where(F.col("g") >= least_g)
-        .orderBy(F.desc("g"), "h").limit(max_terms).collect()
+        .where((a * n > m * p) & (g >= least_g)).select("h").collect()  # no more than words of the examples
     )
     terms = Vocabulary(np.array([r.h for r in chosen], np.int64).astype(U64))
 
@@ -252,7 +247,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     """``docs`` with score (0 to 1), predicted (0 or 1) and evidence (the nearest examples)."""
     own = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", EVIDENCE)])
     kept = [f for f in docs.schema if f.name not in own.names]
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples and max_terms
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_examples
     kinds = [pa.float64(), pa.int32(), pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))]
 
     def run(part: pa.RecordBatch, raw: np.ndarray, off: np.ndarray):
