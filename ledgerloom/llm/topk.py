@@ -1,24 +1,27 @@
 """Exact top-k by inner product, score at a time over an impact-ordered index.
 
-Components become integers floor(scale * x). Rows go into blocks of ``block_rows``; each
-block is an index: a posting is a row's component in one dimension, its quantised impact
-the power of two below its magnitude, and a segment holds a dimension's postings of one
-impact. The segments of one impact lie together as a matrix, so one product adds them to
-the scores of many queries. Segments are taken by descending impact. What has not been
-taken of a row is a vector of known length, so a row's score is its accumulated score
-plus or minus that length times the query's (Cauchy-Schwarz). A row whose upper bound is
-below the k-th best lower bound is out by proof. A query's traversal ends only when this
-leaves few rows, or when no segment is left; all rows left are rescored exactly.
-
-Queries travel in blocks of ``query_rows``, each block of queries meeting each block of
-rows by a join on the block's number, so no pair of rows is ever made by Spark; what comes
-out is k rows for each query and block of rows, of which a window keeps the best k. Equal
-scores go to the smaller id.
-
-Defined results: a vector that is null, empty, of another length than the most common one,
-or holds a null or non-finite component takes no part, neither does a null id. Rows of
-equal id are candidates of their own but never their own query's. With fewer candidates
-than k all are returned.
+Components become integers floor(scale * x). Rows go into blocks of about ``block_rows``,
+dealt by hash and written once; each block is an index. A posting is a row's component in
+one dimension, its quantised impact the power of two below its magnitude; a segment holds
+the postings of one dimension and one impact, so zeros have none. Segments are taken by
+descending impact and add to the scores of a batch of queries. What has not been taken of
+a row is a vector of known length, so a row's score is its accumulated score plus or minus
+that length times the query's (Cauchy-Schwarz). A row whose upper bound is below the k-th
+best lower bound, or below the k-th best exact score of earlier blocks, is out by proof. A
+batch's traversal ends only when this leaves few rows, or when no segment is left; all rows
+left are rescored exactly.
+
+Queries travel to the blocks in waves of about ``wave_rows``, one broadcast each; a task
+keeps k rows for each query of the wave over all its blocks, and a window the best k of all
+tasks. So each row is shuffled once, and no pair of rows is ever made by Spark.
+
+Queries and rows are told apart by a number of their own. Defined results: a vector that is
+null, empty, of another length than the most common one, or holds a null or non-finite
+component takes no part, neither does a null id. Rows of equal id are queries and candidates
+of their own; only the query's own row is no candidate. Equal scores go to the smaller id.
+With fewer candidates than k all are returned. Components beyond 64 bits after scaling count
+as the largest number of 64 bits, scores likewise; blocks too large for exact sums of floats
+are scored by whole numbers without limits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,57 +38,74 @@ from .scratch import Scratch
 
 
 AT_ONCE = 64  # queries whose scores over a block are held together
+I64 = np.iinfo(np.int64)
+
+
+def _most(v: np.ndarray) -> int:
+    return max(int(v.max(initial=0)), -int(v.min(initial=0)))
 
 
 class ImpactIndex:
-    """Of integer vectors (rows, dimensions), rows in the order of their ids."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.v = ids[order], vectors[order].astype(np.int64)
-        impact = np.where(self.v, np.int64(1) << np.floor(np.log2(np.maximum(np.abs(self.v), 1))).astype(np.int64), 0)
-        self.segments: list[tuple[np.ndarray, np.ndarray]] = []  # (segments of one impact, length of what is left of each row)
-        # Sums of 32-bit floats are exact below 2**24; larger vectors take 64-bit ones, exact below 2**53.
-        self.kind = np.float32 if int(np.abs(self.v).max(initial=0)) ** 2 * self.v.shape[1] < 1 << 24 else np.float64
-        left = self.v.astype(np.float64)
-        for i in sorted(set(np.unique(impact).tolist()) - {0}, reverse=True):
-            part = np.where(impact == i, self.v, 0)
-            left -= part
-            self.segments.append((np.ascontiguousarray(part.T, self.kind), np.sqrt((left * left).sum(axis=1))))
-
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int, few: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (row numbers, scores) of the k best, without rows of the query's own id."""
-        n, out = len(self.ids), [None] * len(queries)
-        kind = self.kind if float(np.abs(queries).max(initial=0)) * np.abs(self.v).max(initial=0) * self.v.shape[1] < 1 << 24 else np.float64
+    """Of integer vectors (rows, dimensions), rows in the order of their ids, then numbers."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, numbers: np.ndarray | None = None):
+        numbers = np.arange(len(ids)) if numbers is None else numbers
+        order = np.lexsort((numbers, ids))
+        self.ids, self.numbers, self.v = ids[order], numbers[order], vectors[order].astype(np.int64)
+        self.most, self.width = _most(self.v), self.v.shape[1]
+        self.segments: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]] = []
+        if self.most**2 * self.width >= 1 << 52:
+            return  # sums of floats would not be exact
+        level = np.where(self.v, np.floor(np.log2(np.maximum(np.abs(self.v), 1))).astype(np.int64), -1)
+        left = (self.v.astype(np.float64) ** 2).sum(axis=1)
+        for i in range(int(level.max(initial=-1)), -1, -1):
+            dims, rows = np.nonzero((level == i).T)
+            values = self.v[rows, dims].astype(np.float64)
+            left = left - np.bincount(rows, values * values, minlength=len(ids))
+            cut = np.searchsorted(dims, np.arange(self.width + 1))
+            postings = [(d, rows[cut[d] : cut[d + 1]], values[cut[d] : cut[d + 1]]) for d in range(self.width) if cut[d] < cut[d + 1]]
+            self.segments.append((postings, np.sqrt(np.maximum(left, 0))))
+
+    def _exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        if self.most * _most(query) * self.width <= I64.max:
+            return self.v[rows] @ query
+        whole = self.v[rows].astype(object) @ query.astype(object)
+        return np.array([min(max(x, I64.min), I64.max) for x in whole], np.int64)
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, bar: np.ndarray | None = None, few: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (row indexes, scores) of the k best except the row of the number ``own``; of rows
+        that don't reach the query's ``bar`` none is needed."""
+        n, b = len(self.ids), len(queries)
+        bar = np.full(b, -np.inf) if bar is None else bar
+        possible = self.numbers[:, None] != own[None, :]
+        summed = self.segments and self.most * _most(queries) * self.width < 1 << 52
+        # Sums of 32-bit floats are exact below 2**24.
+        kind = np.float32 if self.most * _most(queries) * self.width < 1 << 24 else np.float64
+        acc = np.zeros((n, b), kind)
         size = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        at = np.arange(len(queries))  # queries whose traversal goes on
-        acc = np.zeros((len(queries), n), kind)
-        x, y = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
-        for j in range(len(queries)):
-            acc[j, x[j] : y[j]] = -np.inf
-        for level, (part, left) in enumerate([*self.segments, (None, None)]):
-            if part is not None:
-                acc += queries[at].astype(kind) @ part.astype(kind, copy=False)
-                if left.max() and n > k and level < 2:
-                    continue  # what is left still outweighs any score
-            reach = np.outer(size[at], left).astype(kind) * kind(1 + 1e-5) + kind(1) if part is not None and left.any() else kind(0)
-            bar = np.partition(acc - reach, n - k, axis=1)[:, n - k] if n > k else np.full(len(at), -np.inf)
-            possible = acc + reach >= bar[:, None]
-            done = (possible.sum(axis=1) <= max(few, k)) | (part is None)
-            for j in np.flatnonzero(done):
-                q = at[j]
-                rows = np.flatnonzero(possible[j] & (acc[j] > -np.inf))
-                score = self.v[rows] @ queries[q]
-                best = np.lexsort((rows, -score))[:k]
-                out[q] = rows[best], score[best]
-            at, acc = at[~done], acc[~done]
-            if not len(at):
+        lowest = np.where(possible, acc.dtype.type(0), acc.dtype.type(-np.inf))
+        for depth, (postings, left) in enumerate(self.segments if summed else ()):
+            for d, rows, values in postings:
+                acc[rows] += values.astype(kind)[:, None] * queries[:, d].astype(kind)[None, :]
+            if depth < 2 and left.any():
+                continue  # what is left still outweighs any score
+            reach = (np.outer(left, size) * (1 + 1e-6) + 1e-3).astype(kind)
+            if n > k:
+                bar = np.maximum(bar, np.partition(acc - reach + lowest, n - k, axis=0)[n - k])
+            possible &= acc + reach >= bar[None, :]
+            if possible.sum() <= max(few, k) * b:
                 break
+        out = []
+        for j in range(b):
+            rows = np.flatnonzero(possible[:, j])
+            score = self._exact(rows, queries[j])
+            best = np.lexsort((rows, -score.astype(object) if len(score) and score.min() == I64.min else -score))[:k]
+            out.append((rows[best], score[best]))
         return out
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int"))
+    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
 
 
 def top_k(
@@ -97,54 +117,61 @@ def top_k(
     k: int = 5,
     scale: int = 256,
     block_rows: int = 16_384,
-    query_rows: int = 1024,
+    wave_rows: int = 65_536,
 ) -> DataFrame:
     """query_id, rank (from 1), the id column and score (long) for every row where ``query`` holds."""
-    scratch = Scratch(vectors.sparkSession, "topk")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     sound = F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    rows = scratch.table(rows.withColumn("r", F.monotonically_increasing_id()), "vectors")
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     rows = rows.where(F.size("v") == (lengths[0].d if lengths else 0))
     total, asked = (rows.agg(F.count("*"), F.count_if("q")).first() if lengths else (0, 0))
+    n_blocks, waves = max(1, -(-total // block_rows)), max(1, -(-asked // wave_rows))
 
-    def packed(df: DataFrame, n: int, name: str) -> DataFrame:
-        """Rows of one block number as one row of numbers; blocks are dealt by hash, so their sizes agree."""
+    def matrix(column: pa.Array, n: int) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1), np.int64)
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for batch in batches:
-                b = batch.column(0).to_numpy()
-                ids = batch.column(1).to_numpy()
-                v = batch.column(2).flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.int32)
-                for x in np.unique(b).tolist():
-                    blocks.setdefault(x, []).append((ids[b == x], v[b == x]))
-            for x, parts in blocks.items():
-                ids, v = (np.concatenate(p) for p in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([v.astype("<i4").tobytes()], pa.binary())], names=["b", "ids", "v"])
-
-        dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"), "id", "v").repartition(n, "b")
-        return scratch.table(dealt.mapInArrow(pack, "b long, ids binary, v binary"), name)
-
-    n_rows, n_queries = max(1, -(-total // block_rows)), max(1, -(-asked // query_rows))
-    data = packed(rows, n_rows, "rows").withColumnsRenamed({"ids": "row_ids", "v": "row_v"})
-    ask = packed(rows.where("q"), n_queries, "queries").withColumnsRenamed({"b": "qb", "ids": "q_ids", "v": "q_v"})
-    pairs = data.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(ask, "qb").select("row_ids", "row_v", "q_ids", "q_v")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
-            for r in range(batch.num_rows):
-                ids, v, q_ids, q = (np.frombuffer(batch.column(i)[r].as_py(), t) for i, t in enumerate(("<i8", "<i4", "<i8", "<i4")))
-                index = ImpactIndex(ids, v.reshape(len(ids), -1))
-                out = [[], [], []]
-                q = q.reshape(len(q_ids), -1).astype(np.int64)
-                for lo in range(0, len(q), AT_ONCE):
-                    some = slice(lo, lo + AT_ONCE)
-                    for own, (at, score) in zip(q_ids[some].tolist(), index.top(q[some], q_ids[some], k), strict=True):
-                        out[0].append(np.full(len(at), own))
-                        out[1].append(index.ids[at])
-                        out[2].append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["query_id", "id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+            b, v = batch.column(0).to_numpy(), matrix(batch.column(3), batch.num_rows)
+            for x in np.unique(b).tolist():
+                blocks.setdefault(x, []).append((*(batch.column(c).to_numpy()[b == x] for c in (1, 2)), v[b == x]))
+        for parts in blocks.values():
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(p).astype("<i8").tobytes()], pa.binary()) for p in zip(*parts, strict=True)], names=["ids", "numbers", "v"])
+
+    # Blocks are dealt by hash, so their sizes agree whatever the ids are.
+    dealt = rows.select(F.pmod(F.xxhash64("r"), F.lit(n_blocks)).alias("b"), "id", "r", "v").repartition(n_blocks, "b")
+    data = scratch.table(dealt.mapInArrow(pack, "ids binary, numbers binary, v binary"), "blocks")
+    ask = rows.where("q").select("id", "r", "v", F.pmod(F.xxhash64("r", F.lit(1)), F.lit(waves)).alias("w"))
+    found = None
+    for wave in range(waves):
+        held = ask.where(F.col("w") == wave).select("id", "r", "v").collect()  # about wave_rows
+        ids, numbers = (np.array([r[c] for r in held], np.int64) for c in ("id", "r"))
+        sent = spark.sparkContext.broadcast((ids, numbers, np.array([r.v for r in held], np.int64).reshape(len(held), len(held[0].v) if held else 1)))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q_ids, q_numbers, q = sent.value
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)  # scores, ids, numbers
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    ids, numbers, v = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in range(3))
+                    index = ImpactIndex(ids, v.reshape(len(ids), -1), numbers)
+                    for lo in range(0, len(q), AT_ONCE):
+                        some = range(lo, min(lo + AT_ONCE, len(q)))
+                        bar = np.array([float(best[j][0][-1]) if len(best[j][0]) == k else -np.inf for j in some])
+                        for j, (at, score) in zip(some, index.top(q[lo : lo + AT_ONCE], q_numbers[lo : lo + AT_ONCE], k, bar), strict=True):
+                            s, i, x = (np.concatenate(c) for c in zip(best[j], (score, index.ids[at], index.numbers[at]), strict=True))
+                            order = sorted(range(len(s)), key=lambda y: (-int(s[y]), i[y], x[y]))[:k]
+                            best[j] = s[order], i[order], x[order]
+            sizes = [len(s) for s, _, _ in best]
+            cols = [np.repeat(q_numbers, sizes), np.repeat(q_ids, sizes), *(np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*best, strict=True))] if len(q) else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["query", "query_id", "score", "id", "r"])
+
+        part = data.mapInArrow(search, "query long, query_id long, score long, id long, r long")
+        part = scratch.table(part, "found") if waves > 1 else part
+        found = found.union(part) if found is not None else part
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id", "r"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

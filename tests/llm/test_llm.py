@@ -243,9 +243,9 @@ def test_impact_index():
     for n, size in itertools.product((1, 4, 5, 40, 300), (1, 90, 10**6)):
         ids, v = r.integers(0, 200, n), r.integers(-size, size + 1, (n, 6))
         x = ImpactIndex(ids, v)
-        for (rows, score), q, own in zip(x.top(v, ids, 5, few=5), v, ids):
+        for (rows, score), q, own in zip(x.top(v, np.arange(n), 5, few=5), v, range(n)):
             full = x.v @ q
-            want = [k for k in np.lexsort((np.arange(n), -full)) if x.ids[k] != own][:5]
+            want = [k for k in np.lexsort((np.arange(n), -full)) if x.numbers[k] != own][:5]
             assert rows.tolist() == want and score.tolist() == full[want].tolist()
 
 
@@ -255,7 +255,7 @@ def test_top_k(spark):
     rows += [(100, None), (101, []), (102, [1.0]), (103, [None] * 8), (104, [float("nan")] * 8), (105, [float("inf")] * 8), (None, [0.1] * 8), (50, rows[50][1]), (61, rows[3][1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     good = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v in rows if i is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all()]
-    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in top_k(table, F.col("vec_id") % 20 == 0, block_rows=16, query_rows=2).collect()}
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in top_k(table, F.col("vec_id") % 20 == 0, block_rows=16, wave_rows=2).collect()}
     for q, v in ((i, v) for i, v in good if i % 20 == 0):
         best = sorted((-int(v @ w), j) for j, w in good if j != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
