@@ -64,25 +64,34 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Token ids of a text as little-endian 16-bit words; the special token's string counts as that token."""
+    """Token ids of a text as little-endian words of ``kind``; the special token's string counts as that token."""
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, kind: str = "<u2"):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(t): int(n) for t, n in map(bytes.split, f)}
-        self.json_path, self.slow = json_path, None
+        self.json_path, self.slow, self.kind = json_path, None, kind
         # The same vocabulary as the JSON file's, several times faster.
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if SPECIAL in text:
-            if self.slow is None:
-                from tokenizers import Tokenizer
+        if SPECIAL not in text:
+            try:
+                return self.fast.encode_to_numpy(text).astype(self.kind).tobytes()
+            except ValueError:  # its pattern gives up on runs of several 100,000 blanks
+                pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
 
-                self.slow = Tokenizer.from_file(self.json_path)
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        return self.fast.encode_to_numpy(text).astype("<u2").tobytes()
+            self.slow = Tokenizer.from_file(self.json_path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+
+def id_kind(ranks_path: str) -> str:
+    """The words that hold any id of a vocabulary."""
+    with open(ranks_path, "rb") as f:
+        return "<u2" if max(int(line.split()[1]) for line in f) < 1 << 16 else "<u4"
 
 
 def default_tokenizer() -> tuple[str, str, str]:
@@ -142,12 +151,12 @@ def deal(sources: list[str], lengths: np.ndarray, targets: dict[str, float], def
     return out
 
 
-def tokenize(docs: DataFrame, *, tokenizer: tuple[str, str, str], id_col: str, text_col: str, source_col: str) -> DataFrame:
+def tokenize(docs: DataFrame, *, tokenizer: tuple[str, str, str], kind: str = "<u2", id_col: str, text_col: str, source_col: str) -> DataFrame:
     """One row per document: its ids with the end token, and its place in [0, 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(*tokenizer), TaskContext.get().partitionId()
-        end = np.array([END], "<u2").tobytes()
+        encode, part = Encoder(*tokenizer, kind), TaskContext.get().partitionId()
+        end = np.array([END], kind).tobytes()
         next_place: dict[str, float] = {}
         for batch in batches:
             sources = [NO_SOURCE if s is None else s for s in batch.column(2).to_pylist()]
@@ -159,16 +168,18 @@ def tokenize(docs: DataFrame, *, tokenizer: tuple[str, str, str], id_col: str, t
                     at = int.from_bytes(hashlib.blake2b(f"{part} {s}".encode("utf-8", "surrogatepass"), digest_size=6).digest()) / 2**48
                 places.append(at)
                 next_place[s] = (at + GOLDEN) % 1.0
-            cols = [batch.column(0), pa.array(sources, pa.string()), pa.array([len(c) // 2 for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(places, pa.float64())]
+            cols = [batch.column(0), pa.array(sources, pa.string()), pa.array([len(c) // len(end) for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(places, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in CODED.split(", ")])
 
     source = F.col(source_col) if source_col in docs.columns else F.lit(None)
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), source.cast("string").alias("s")).mapInArrow(run, CODED)
 
 
-def gather(coded: DataFrame, block_tokens: int) -> DataFrame:
+def gather(coded: DataFrame, block_tokens: int, kind: str = "<u2") -> DataFrame:
     """One row per block of documents, in the order of the partitions."""
 
+    width = np.dtype(kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
@@ -177,7 +188,7 @@ def gather(coded: DataFrame, block_tokens: int) -> DataFrame:
         size = 0
 
         def block() -> pa.RecordBatch:
-            lengths = [len(c) // 2 for c in coded]
+            lengths = [len(c) // width for c in coded]
             by: dict[str, int] = {}
             for s, n in zip(sources, lengths, strict=True):
                 by[s] = by.get(s, 0) + n
@@ -190,7 +201,7 @@ def gather(coded: DataFrame, block_tokens: int) -> DataFrame:
                 ids.append(i)
                 sources.append(s)
                 coded.append(c)
-                size += len(c) // 2
+                size += len(c) // width
                 if size >= block_tokens:
                     yield block()
                     number, ids, sources, coded, size = number + 1, [], [], [], 0
@@ -223,15 +234,17 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (long) and source."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    coded = tokenize(docs, tokenizer=tokenizer or default_tokenizer(), id_col=id_col, text_col=text_col, source_col=source_col)
+    tokenizer = tokenizer or default_tokenizer()
+    kind = id_kind(tokenizer[1])
+    coded = tokenize(docs, tokenizer=tokenizer, kind=kind, id_col=id_col, text_col=text_col, source_col=source_col)
     if premix:
         # Written first: places hang on the order of rows, which a task that runs again must not change.
         coded = scratch.table(coded, "coded")
         path = scratch.last
-        blocks = scratch.table(gather(mixed(coded, block_tokens), block_tokens), "blocks")
+        blocks = scratch.table(gather(mixed(coded, block_tokens), block_tokens, kind), "blocks")
         scratch.drop(path)
     else:
-        blocks = scratch.table(gather(coded, block_tokens), "blocks")
+        blocks = scratch.table(gather(coded, block_tokens, kind), "blocks")
     # Counts alone from here to the join: running sums over partitions, then over a partition's blocks.
     count = blocks.select("part", "block", F.explode("by_source").alias("s", "n"))
     by_part = count.groupBy("part", "s").agg(F.sum("n").alias("n"))
@@ -268,7 +281,7 @@ def pack(
                 share = {s: x["all"] / total if given is None else given.get(s, 0.0) for s, x in got.items()}
                 deficits = {s: share[s] * at - x["got"] for s, x in got.items()}
                 first = np.concatenate([[0], np.cumsum(lengths)])
-                wide = np.frombuffer(ids, "<u2").astype("<u4")
+                wide = np.frombuffer(ids, kind).astype("<u4")
                 rows: list[tuple] = []
                 for i, start, n in deal(sources, lengths, share, deficits, window_tokens, at):
                     while n:
