@@ -8,11 +8,11 @@ runs of other tokens, between two Os, are decoded, and the result is the whole t
 Viterbi path. Runs of equal length are decoded together in numpy.
 
 Weights are fitted on the driver from a small labelled table (``training_rows`` by default:
-invented sentences; or any rows of tokens and labels, ``max_rows`` at most) by gradient
+invented sentences; or ``labelled`` rows of a table of tokens and labels, ``max_rows`` at most) by gradient
 ascent of the penalised log-likelihood, with forward-backward sums over padded batches.
 The model is sent to the executors; each document is judged by its own row, no shuffle.
 
-Spans count code points, the end is exclusive. Defined results: null or empty text has no
+A token counts whole, however long it is. Spans count code points, the end is exclusive. Defined results: null or empty text has no
 spans; rows are judged one by one, whatever their ids; input columns are kept, except that
 ``spans`` is replaced.
 """
@@ -27,8 +27,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import text_slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
@@ -85,7 +88,7 @@ _OPEN = re.compile(r"\S*[0-9@]\S*")
 def shape(token: str, runs: bool = False) -> str:
     """Letters and digits by class; ``runs`` keeps how long runs are, up to 4."""
     out: list[str] = []
-    for c in token[:40]:
+    for c in token:
         k = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
         if out and out[-1][0] == k and k in "9Aa":
             if runs and len(out[-1]) < 4:
@@ -107,7 +110,7 @@ def token_features(tokens: list[str], i: int) -> list[str]:
         f"n={min(n, 20)}",
         f"l={shape(near[0], True)}",
         f"f={shape(near[1], True)}",
-        f"w={near[0].lower().strip('.,:;')[:12]}",
+        f"w={near[0].lower().strip('.,:;')}",
         f"@={'@' in t}{'.' in core}",
     ]
 
@@ -203,6 +206,16 @@ def fit(rows: Iterable[tuple[list[str], list[str]]], *, max_rows: int = 5000, ro
     return Field(names, emit, move)
 
 
+def labelled(table: DataFrame, *, tokens_col: str = "tokens", labels_col: str = "labels", max_rows: int = 5000) -> list[tuple[list[str], list[str]]]:
+    """Training rows of a table of token and label arrays: the first ``max_rows`` by hash of the tokens. Rows with a null,
+    of unequal lengths or with an unknown label are left out."""
+    known = F.array(*map(F.lit, LABELS))
+    t, y = F.col(tokens_col), F.col(labels_col)
+    sound = F.forall(t, lambda x: x.isNotNull()) & F.forall(y, lambda x: F.coalesce(F.array_contains(known, x), F.lit(False))) & (F.size(t) == F.size(y))
+    rows = table.where(F.coalesce(sound, F.lit(False))).select(t.alias("t"), y.alias("y")).orderBy(F.xxhash64("t"), "t", "y").limit(max_rows)
+    return [(list(r.t), list(r.y)) for r in rows.collect()]
+
+
 def training_rows(n: int = 900, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """Invented sentences around invented data, and around numbers that are no personal data."""
     r = random.Random(seed)
@@ -289,8 +302,8 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", field: Field | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo, hi, *_ in text_slices(batch.column(batch.schema.get_field_index(text_col)), 1 << 19):
+                part = batch.slice(lo, hi - lo)
                 texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
                 spans = []
                 for text, more in zip(texts, field_spans(texts, sent.value), strict=True):
