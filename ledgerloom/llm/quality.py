@@ -18,8 +18,8 @@ broadcast below Spark's threshold and split by adaptive execution when skewed.
 
 Defined results: null or empty text has the form of an empty text; null hosts and paths are
 sites of their own; rows of equal or null id are judged one by one, and each observes its
-site once. Labels count once per id (the smallest); null ones and held-out ids (crc32 of the
-id divisible by five) are not learnt from. With one class only all ratios are zero and the
+site once. Labels count once per id (the smallest); labels other than 0 and 1
+and held-out ids (crc32 of the id divisible by five) are not learnt from. With one class only all ratios are zero and the
 score is the prior. Input columns are kept, those named like the operator's are replaced.
 """
 
@@ -75,7 +75,7 @@ def forms(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_examples: int = 20_000) -> tuple[np.ndarray, float]:
     """(log-likelihood ratio of each form's bin, share of label 1)."""
-    known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("i"), "i").limit(max_examples)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("t", "y")  # max_examples rows of two numbers
 

@@ -18,7 +18,7 @@ The model is bounded by ``max_examples``; documents are scored by their
 own row, without a shuffle. The score depends on the text alone.
 
 Defined results: a null or empty text has no term. Repeated label rows of an id count as
-the largest label; labels that are null, or whose id is null or not in the documents, are
+the largest label; labels other than 0 and 1, or whose id is null or not in the documents, are
 left out. Without labels of both classes all scores are the base rate (0 without any).
 Input columns are kept, those named like the operator's are replaced.
 """
@@ -178,7 +178,7 @@ def fit(
     soft: float = 0.05,
 ) -> ToxicityModel:
     """Learns from labelled rows that are not held out. Only bounded tables reach the driver."""
-    known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("i"), "i").limit(max_examples)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i")  # max_examples rows of two numbers
     texts = texts.groupBy("t").agg(F.min("i").alias("i"), F.max("y").alias("y"))
