@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own if all executors run on this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = _own.setdefault("root", tempfile.mkdtemp(prefix="ledgerloom-"))
     return root.rstrip("/")
 
