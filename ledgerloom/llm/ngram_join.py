@@ -98,6 +98,25 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, alone: int, percent: int, or
     return tokens[np.lexsort((tokens, rank))[: n - needed(n, percent) + 1 - alone]]
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Rising numbers: the width of a step in bytes, the first number, the steps."""
+    if not len(tokens):
+        return b""
+    step = np.diff(tokens)
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + tokens[:1].tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U64)
+    step = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    wide = np.zeros((len(step) + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(data, np.uint8, 8, 1)
+    wide[1:, : data[0]] = step
+    return np.cumsum(wide.view("<u8").ravel(), dtype=U64)
+
+
 class Slice:
     """Distinct sets of one task, until they are sent out."""
 
@@ -134,10 +153,10 @@ class Slice:
         cut = np.searchsorted((distinct >> self.shift).astype(np.int64), np.arange(self.buckets + 1))
         number = (self.part << 32) + self.number
         self.number += 1
-        rows = [(number % self.buckets, np.array([*self.sets], "<i8").tobytes(), distinct[several].tobytes(), count[several].astype("<u4").tobytes(), owner[np.repeat(several, count)].astype("<u4").tobytes())]
+        rows = [(number % self.buckets, np.array([*self.sets], "<i8").tobytes(), packed(distinct[several]), count[several].astype("<u4").tobytes(), owner[np.repeat(several, count)].astype("<u4").tobytes())]
         for b in np.flatnonzero(np.diff(cut)).tolist():
             s = slice(cut[b], cut[b + 1])
-            rows.append((b, distinct[s].tobytes(), own[s].tobytes(), count[s][several[s]].astype("<u4").tobytes(), None))
+            rows.append((b, packed(distinct[s]), own[s].tobytes(), count[s][several[s]].astype("<u4").tobytes(), None))
         self.clear()
         cols = [*zip(*rows, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([number] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "slice", "a", "b", "c", "d"])
@@ -173,7 +192,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets to slices: of each row the tokens that several sets hold, with the class of how many do."""
     for _, rows in _runs(batches, "bucket"):
         heads = [(s, x) for s, x in rows if x[3] is not None]
-        asked = [(s, np.frombuffer(x[0], U64), x[1], x[2]) for s, x in rows if x[3] is None]
+        asked = [(s, unpacked(x[0]), x[1], x[2]) for s, x in rows if x[3] is None]
         out = [(s, *x) for s, x in heads]
         if asked:
             tokens = np.concatenate([t for _, t, _, _ in asked])
@@ -190,7 +209,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep = n > 1
                 if keep.any():
                     classes = np.floor(np.log2(n[keep])).astype(np.uint8)
-                    out.append((s, t[keep].tobytes(), np.frombuffer(own, np.uint8).reshape(len(t), -1)[keep].tobytes(), classes.tobytes(), None))
+                    out.append((s, packed(t[keep]), np.frombuffer(own, np.uint8).reshape(len(t), -1)[keep].tobytes(), classes.tobytes(), None))
         if out:
             cols = [*zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["slice", *_BYTES])
@@ -201,11 +220,11 @@ def _gathered(rows: list[tuple[int, list[bytes]]], percent: int) -> Iterator[tup
     head = next(x for _, x in rows if x[3] is not None)
     keys = np.frombuffer(head[0], "<i8").reshape(-1, 3)
     tokens, classes, owner = [np.zeros(0, U64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
-    held, counts, several = np.frombuffer(head[1], U64), np.frombuffer(head[2], "<u4"), np.frombuffer(head[3], "<u4").astype(np.int64)
+    held, counts, several = unpacked(head[1]), np.frombuffer(head[2], "<u4"), np.frombuffer(head[3], "<u4").astype(np.int64)
     class_of = np.zeros(len(held), np.uint8)
     for _, x in rows:
         if x[3] is None:
-            t, c = np.frombuffer(x[0], U64), np.frombuffer(x[2], np.uint8)
+            t, c = unpacked(x[0]), np.frombuffer(x[2], np.uint8)
             own, many = _owners(x[1], len(t))
             class_of[np.searchsorted(held, t[many])] = c[many]
             tokens.append(t[~many])
@@ -278,7 +297,7 @@ def ngram_jaccard(
     shingle: int = 5,
     percent: int = 80,
     orders: int = 3,
-    slice_tokens: int = 1 << 22,
+    slice_tokens: int = 1 << 21,
     bucket_tokens: int = 1 << 21,
 ) -> DataFrame:
     """``docs`` without its text, with n_shingles (long) and component_id: the smallest id reachable by links of
