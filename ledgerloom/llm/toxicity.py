@@ -83,20 +83,22 @@ class BlockMaxIndex:
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         bound = weights @ self.most[terms]
-        best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
+        blocks = np.argsort(-bound, kind="stable")
+        best_s, best_e, at, some = np.zeros(0), np.zeros(0, np.int64), 0, 4
+        while at < len(blocks):  # by descending bound, so all of ``b`` up to the first that can't hold a better one
+            b = blocks[at : at + some]
+            b = b[(bound[b] > 0) & (bound[b] >= (best_s[-1] - 1e-12 if len(best_s) == k else 0))]
+            if not len(b):
                 break
-            acc = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                i = t * self.blocks + b
-                s = slice(self.first[i], self.first[i + 1])
-                acc[self.example[s] - b * self.block] += w * self.weight[s]
+            at, some = at + some, some * 2
+            i = (terms[:, None] * self.blocks + b).ravel()
+            n = self.first[i + 1] - self.first[i]
+            s = np.repeat(self.first[i] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            acc = np.bincount(self.example[s], np.repeat(np.repeat(weights, len(b)), n) * self.weight[s], self.n)
             e = np.flatnonzero(acc > 0)
-            s, e = acc[e], e + b * self.block
             if skip >= 0:
-                s, e = s[e != skip], e[e != skip]
-            s, e = np.concatenate([best_s, s]), np.concatenate([best_e, e])
+                e = e[e != skip]
+            s, e = np.concatenate([best_s, acc[e]]), np.concatenate([best_e, e])
             order = np.lexsort((e, -np.round(s, 12)))[:k]
             best_s, best_e = s[order], e[order]
         return best_s, best_e
@@ -173,7 +175,7 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_examples: int = 10_000,
-    least_g: float = 15.0,
+    least_g: float = 20.0,
     k: int = 12,
     soft: float = 0.05,
 ) -> ToxicityModel:
@@ -235,11 +237,22 @@ def fit(
     model.index, model.example_ids = BlockMaxIndex(made, len(terms)), np.array([r.i for r in full])
     model.labels = np.array([r.y for r in full], float)
     model.empty = (sum(bare) + base) / (len(bare) + 1)
-    votes = []
-    for j, (t, w) in enumerate(made):
-        s, e = model.index.top(t, w, k, skip=j)
-        votes.append(model.vote(s, e) if len(s) else base)
-    model.ends, model.values = isotonic(np.round(votes, 9), model.labels, base) if made else (np.ones(1), np.full(1, base))
+    # Leave-one-out votes, by tasks over the examples.
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def votes(part: pa.RecordBatch, raw: np.ndarray, off: np.ndarray):
+        model, out = sent.value, []
+        text, term, count = term_counts(raw, off, model.terms)
+        cut = np.searchsorted(text, np.arange(part.num_rows + 1))
+        at = np.searchsorted(model.example_ids, part.column(1).to_numpy())
+        for j, x, y in zip(at, cut[:-1], cut[1:], strict=True):
+            s, e = model.index.top(*model.vector(term[x:y], count[x:y]), model.k, skip=int(j)) if x < y else ((), ())
+            out.append(model.vote(s, e) if len(s) else base if x < y else None)
+        return part.column(1), out
+
+    each = texts.select("t", F.col("i").cast("long").alias("i")).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    voted = each.mapInArrow(_each_text("t", ["i", "vote"], [pa.int64(), pa.float64()], votes), "i long, vote double").where("vote IS NOT NULL").orderBy("i").collect()  # max_examples rows
+    model.ends, model.values = isotonic(np.round([r.vote for r in voted], 9), model.labels, base) if made else (np.ones(1), np.full(1, base))
     return model
 
 
