@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +31,27 @@ def cached_hash(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     return listing.join(old, ["source", "key"], "left").withColumn("cached_hash", F.when(same, F.col("c_hash"))).drop("c_hash", "c_size", "c_time")
 
 
-def resolve_hashes(listing: DataFrame, catalog: DataFrame, contents: DataFrame, tag: str = "content-sha256") -> DataFrame:
-    """``listing`` with content_hash and hash_from (tag, cache or content).
+def resolve_hashes(listing: DataFrame, catalog: DataFrame, contents: DataFrame | Callable[[DataFrame], DataFrame], tag: str = "content-sha256") -> DataFrame:
+    """``listing`` with content_hash, hash_from (tag, cache or content) and hash_error.
 
-    Only rows that neither tag nor cache resolves meet ``contents`` (source, key, content),
-    so the bytes of the others are never read.
+    ``contents`` is a table (source, key, content), or a function that adds content_hash and
+    hash_error to the rows it is given. Only rows that neither tag nor cache resolves get
+    there, so a function reads no byte of the others. A row whose content can't be had stays,
+    with a null hash and the error.
     """
     told = F.try_element_at("user_metadata", F.lit(tag))
     rows = cached_hash(listing, catalog).withColumn("tag_hash", F.when(valid_hash(told), told))
     known = F.coalesce("tag_hash", "cached_hash")
-    done = rows.where(known.isNotNull()).withColumn("content_hash", known).withColumn("hash_from", F.when(F.col("tag_hash").isNotNull(), "tag").otherwise("cache"))
-    rest = rows.where(known.isNull()).join(contents.select("source", "key", F.sha2("content", 256).alias("content_hash")), ["source", "key"]).withColumn("hash_from", F.lit("content"))
-    return done.unionByName(rest).drop("tag_hash", "cached_hash")
+    none = F.lit(None).cast("string")
+    done = rows.where(known.isNotNull()).withColumn("content_hash", known).withColumn("hash_from", F.when(F.col("tag_hash").isNotNull(), "tag").otherwise("cache")).withColumn("hash_error", none)
+    rest = rows.where(known.isNull()).drop("tag_hash", "cached_hash")
+    if callable(contents):
+        rest = contents(rest)
+    else:
+        rest = rest.join(contents.select("source", "key", F.sha2("content", 256).alias("content_hash")), ["source", "key"], "left")
+        rest = rest.withColumn("hash_error", F.when(F.col("content_hash").isNull(), "no content"))
+    rest = rest.withColumn("hash_from", F.when(F.col("content_hash").isNotNull(), "content"))
+    return done.drop("tag_hash", "cached_hash").unionByName(rest)
 
 
 def export_order(catalog: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.redaction import AFTER, MASK, WHOLE
+
 _DAY = "strftime(DATE '2024-01-01' + CAST({} AS INTEGER), '%Y-%m-%dT00:00:00Z')"
 _CATALOG = f"""
 cat20 AS (
@@ -74,8 +76,19 @@ _IMPORT = f"""{_W}, {_FILES}, held AS (SELECT DISTINCT content_hash FROM cat4 WH
   FROM files LEFT JOIN held h USING (content_hash)
 )"""
 _SECRET = "' Bearer abc.def-1 and X-Amz-Signature=0aF9 or 1//tok_en, ya29.x-y aws_secret_access_key=" + "A" * 40 + " end'"
-_MASKED = "' [REDACTED] and X-Amz-Signature=[REDACTED] or [REDACTED], [REDACTED] aws_secret_access_key=[REDACTED] end'"
+
+
+def _redacted(text: str) -> str:
+    """SQL that replaces the shapes of secrets in SQL ``text``, whole shapes first."""
+    for p in WHOLE:
+        text = f"regexp_replace({text}, '{p}', '{MASK}', 'g')"
+    for p in AFTER:
+        text = f"regexp_replace({text}, '{p}', '\\1{MASK}', 'g')"
+    return text
+
+
 _LEDGER = "SELECT CASE WHEN event_type = 'error' THEN 'replication-error' ELSE event_type END AS action, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS result, CASE WHEN event_type = 'error' THEN sha256(CAST(user_id % 50 AS VARCHAR)) END AS content_hash FROM events"
+_ABSENT = "WHEN s = 404 THEN 'absent'"
 _STATUS = "CASE WHEN s IN (408, 429, 500, 502, 503, 504) THEN 'transient' {} WHEN s >= 200 AND s < 300 THEN 'ok' ELSE 'non_transient' END"
 _DIVERGENT = f"""present AS (
   SELECT content_hash, string_agg(DISTINCT source, ',' ORDER BY source) AS present_in, count(DISTINCT source) AS n, min(source || chr(1) || key) AS first_ FROM cat4 WHERE source IN {_REP} GROUP BY content_hash HAVING count(DISTINCT source) < 3
@@ -146,9 +159,9 @@ SQL: dict[str, str] = {
     "sanitise_names": "SELECT page_id, regexp_replace(regexp_replace(url, '.*/', ''), '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages",
     "upsert_latest": "SELECT conv_id, role, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1",
     "catalog_remove": f"{_W}, {_BEFORE} SELECT source, key, content_hash FROM before b WHERE NOT EXISTS (SELECT 1 FROM now_ n WHERE n.source = b.source AND n.key = b.key)",
-    "redact_strings": f"SELECT doc_id, substr(text, 1, 40) || {_MASKED} AS text FROM documents",
-    "redact_maps": f"SELECT doc_id, '[REDACTED]' AS authorization, substr(source, 1, 40) || {_MASKED} AS note FROM documents",
-    "http_classification": f"SELECT event_id, {_STATUS.format('')} AS plain, {_STATUS.format(chr(87) + 'HEN s = 404 THEN ' + chr(39) + 'absent' + chr(39))} AS probe FROM (SELECT event_id, event_id % 500 + 100 AS s FROM events)",
+    "redact_strings": f"SELECT doc_id, {_redacted(f'text || {_SECRET}')} AS text FROM documents",
+    "redact_maps": f"SELECT doc_id, '[REDACTED]' AS authorization, {_redacted(f'source || {_SECRET}')} AS note FROM documents",
+    "http_classification": f"SELECT event_id, {_STATUS.format('')} AS plain, {_STATUS.format(_ABSENT)} AS probe FROM (SELECT event_id, event_id % 500 + 100 AS s FROM events)",
     "etag_singlepart": "SELECT doc_id, doc_id % 4 IN (0, 3) AS single_part FROM documents",
     "retry_waits": """SELECT event_id, CAST(least(greatest(least(500 * CAST(pow(2, event_id % 8) AS BIGINT), 30000), CASE WHEN event_id % 3 = 0 THEN (event_id % 40) * 1000 ELSE 0 END), 30000) AS BIGINT) AS wait_ms FROM events""",
     "content_types": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'video/quicktime' ELSE 'application/octet-stream' END AS content_type FROM pages",

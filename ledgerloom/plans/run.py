@@ -8,6 +8,7 @@ carrying them out again after a failure does the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from ..operators import duplicates as D
 from ..operators.catalog import resolve_hashes
 from ..operators.ledger import ledger_rows
 from ..schema import CATALOG
-from ..sources.stores import FolderStore, folder_listing
+from ..sources.stores import FolderStore, folder_listing, streamed_sha256
 from . import effects
 from .control import Exit, Settings, new_run_id, writer_lock
 
@@ -70,15 +71,20 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     destructive = apply and (confirmed or not cold)
 
     listed = kept(folder_listing(spark, roots), "listing")
-    hashed = resolve_hashes(listed, before, _folder_contents(spark, listed, roots))
-    catalog = kept(_catalog(hashed, now), "catalog")
+    tried = kept(resolve_hashes(listed, before, _folder_hashes(roots)), "hashed")
+    hashed = tried.where("content_hash IS NOT NULL")
+    # An object that couldn't be read is as the last run knew it, not gone.
+    unread = tried.where("content_hash IS NULL").select("source", "key", "hash_error")
+    known = before.join(unread.select("source", "key"), ["source", "key"], "left_semi").select(*CATALOG.names)
+    catalog = kept(_catalog(hashed, now).unionByName(known), "catalog")
     sources = spark.createDataFrame([(s.name, s.kind) for s in settings.sources], "source string, kind string")
     text = "".join([
         report.render("objects", report.per_source_counts(catalog, sources), ["source"]),
         report.render("hashes by kind", report.cross_kind_partition(catalog, sources), ["s3_only"]),
     ])
 
-    ledger: list[DataFrame] = []
+    reading = unread.select(F.lit("hash-error").alias("action"), F.lit("error").alias("result"), "source", "key", F.col("hash_error").alias("error"))
+    ledger: list[DataFrame] = [ledger_rows(reading, run_id=run_id, timestamp=now)]
 
     def settle(decisions: DataFrame, name: str, act: bool) -> DataFrame:
         decisions = kept(decisions, f"{name}-planned")
@@ -121,8 +127,9 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         rows = rows.unionByName(more)
     rows = kept(rows, "ledger")
     if destructive:
-        kept_hashes = resolve_hashes(after, catalog, _folder_contents(spark, after, roots))
-        _catalog(kept_hashes, now).write.mode("overwrite").parquet(pointer)
+        left = resolve_hashes(after, catalog, _folder_hashes(roots))
+        known = before.join(left.where("content_hash IS NULL"), ["source", "key"], "left_semi").select(*CATALOG.names)
+        _catalog(left.where("content_hash IS NOT NULL"), now).unionByName(known).write.mode("overwrite").parquet(pointer)
     failed = not rows.where("result = 'error'").isEmpty()
     conflict = policy.fail_on_conflict and not rows.where("action = 'key-conflict'").isEmpty()
     drifted = policy.fail_on_inconsistency and not divergent.isEmpty()
@@ -130,11 +137,22 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     return Outcome(code, run_id, rows, catalog, divergent, text)
 
 
-def _folder_contents(spark: SparkSession, listed: DataFrame, roots: dict[str, str]) -> DataFrame:
-    """source, key, content of listed objects; a file is read when its row is."""
+def _folder_hashes(roots: dict[str, str]) -> Callable[[DataFrame], DataFrame]:
+    """Adds content_hash and hash_error to rows, streaming each object in chunks; contents never leave the reader."""
 
-    def run(parts):
-        for pdf in parts:
-            yield pdf.assign(content=[b"".join(FolderStore(roots[s]).read(k)) for s, k in zip(pdf["source"], pdf["key"], strict=True)])
+    def hashes(rows: DataFrame) -> DataFrame:
+        def one(source: str, key: str) -> tuple[str | None, str | None]:
+            try:
+                return streamed_sha256(FolderStore(roots[source]).read(key)), None
+            except (OSError, KeyError, ValueError) as e:
+                return None, f"{type(e).__name__}: {e}"
 
-    return listed.select("source", "key").mapInPandas(run, "source string, key string, content binary")
+        def run(parts):
+            for part in parts:
+                found = [one(s, k) for s, k in zip(part["source"], part["key"], strict=True)]
+                yield part[["source", "key"]].assign(content_hash=[h for h, _ in found], hash_error=[e for _, e in found])
+
+        told = rows.select("source", "key").mapInPandas(run, "source string, key string, content_hash string, hash_error string")
+        return rows.join(told, ["source", "key"])
+
+    return hashes
