@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .duplicates import duplicate_groups
+from .duplicates import split_valid
 
 
 def per_source_counts(catalog: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -25,10 +25,20 @@ def cross_kind_partition(catalog: DataFrame, sources: DataFrame) -> DataFrame:
     return by.agg(only("s3").alias("s3_only"), only("gcs").alias("gcs_only"), only("google_drive").alias("drive_only"), F.count_if(n == 2).alias("exactly_two"), F.count_if(n == 3).alias("all_three"))
 
 
+def _groups(catalog: DataFrame) -> DataFrame:
+    """Duplicate groups by the smallest and largest source alone; no group's members are gathered."""
+    rows, _ = split_valid(catalog)
+    return rows.groupBy("content_hash", "size_bytes").agg(F.count("*").alias("copies"), F.min("source").alias("lo"), F.max("source").alias("hi")).where("copies >= 2")
+
+
 def duplicate_groups_per_source(catalog: DataFrame) -> DataFrame:
     """source, groups: duplicate groups inside one source; sources without any don't show."""
-    same = duplicate_groups(catalog).where("label = 'same-source'")
-    return same.groupBy(F.col("members")[0]["source"].alias("source")).agg(F.count("*").alias("groups"))
+    return _groups(catalog).where("NOT lo < hi").groupBy(F.col("lo").alias("source")).agg(F.count("*").alias("groups"))
+
+
+def cross_source_groups(catalog: DataFrame) -> DataFrame:
+    """One row: how many duplicate groups span several sources."""
+    return _groups(catalog).agg(F.count_if(F.col("lo") < F.col("hi")).alias("groups"))
 
 
 def bytes_where(rows: DataFrame, which: Column) -> DataFrame:

@@ -140,6 +140,7 @@ SQL: dict[str, str] = {
           count(*) FILTER (n = 2) AS exactly_two, count(*) FILTER (n = 3) AS all_three FROM by_hash""",
     "dup_groups_per_source": f"""{_W}, groups AS (SELECT min(source) AS source FROM cat4 GROUP BY content_hash, size_bytes HAVING count(*) >= 2 AND count(DISTINCT source) = 1)
         SELECT source, count(*) AS groups FROM groups GROUP BY source""",
+    "cross_source_groups": f"{_W} SELECT count(*) AS groups FROM (SELECT 1 FROM cat20 GROUP BY content_hash, size_bytes HAVING count(*) >= 2 AND count(DISTINCT source) > 1)",
     "bytes_to_hash": f"{_W} SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM cat4 WHERE doc_id % 3 = 0",
     "new_removed_counts": f"""{_W}, {_BEFORE} SELECT coalesce(b.source, n.source) AS source, count(*) FILTER (b.key IS NULL) AS new, count(*) FILTER (n.key IS NULL) AS removed
         FROM before b FULL JOIN now_ n ON b.source = n.source AND b.key = n.key GROUP BY 1""",

@@ -141,6 +141,11 @@ def dup_groups_per_source(s, d):
     return report.duplicate_groups_per_source(V.catalog4(s, d))
 
 
+@_query
+def cross_source_groups(s, d):
+    return report.cross_source_groups(V.catalog20(s, d))
+
+
 @_query
 def bytes_to_hash(s, d):
     return report.bytes_where(V.catalog4(s, d), F.col("doc_id") % 3 == 0)
