@@ -16,6 +16,26 @@ def new_and_removed(before: DataFrame, now: DataFrame) -> DataFrame:
     return both.groupBy("source").agg(F.count_if(F.col("b").isNull()).alias("new"), F.count_if(F.col("n").isNull()).alias("removed"))
 
 
+def drift_events(divergent: DataFrame, changes: DataFrame) -> DataFrame:
+    """level, event, content_hash, present_in, absent_from, canonical_key and detail (a map): one INFO row of counters,
+    and a WARN row for each divergent hash. ``changes``: source, new, removed; it has one row per configured source."""
+    text = lambda c: F.col(c).cast("string")
+    entry = lambda c: F.struct(F.concat(F.lit(f"{c}:"), F.col("source")).alias("k"), text(c).alias("v"))
+    counts = changes.select(F.explode(F.array(entry("new"), entry("removed"))).alias("e")).unionByName(
+        divergent.agg(F.struct(F.lit("divergent_hashes_count").alias("k"), F.count("*").cast("string").alias("v")).alias("e"))
+    )
+    none = F.lit(None)
+    info = counts.agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("detail")).select(
+        F.lit("INFO").alias("level"), F.lit("inconsistency-summary").alias("event"), none.cast("string").alias("content_hash"), none.cast("array<string>").alias("present_in"),
+        none.cast("array<string>").alias("absent_from"), none.cast("string").alias("canonical_key"), "detail",
+    )
+    warn = divergent.select(
+        F.lit("WARN").alias("level"), F.lit("inconsistency-divergent-hash").alias("event"), "content_hash", "present_in", "absent_from",
+        F.col("canonical.key").alias("canonical_key"), none.cast("map<string,string>").alias("detail"),
+    )
+    return info.unionByName(warn)
+
+
 def divergent_hashes(observed: DataFrame, names: Sequence[str], errors: DataFrame | None = None) -> DataFrame:
     """content_hash, present_in, absent_from (sorted arrays) and the smallest (source, key), for hashes that some of
     the named sources hold and some don't. A source without rows is absent. ``errors`` (content_hash) are left out."""

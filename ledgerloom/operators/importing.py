@@ -34,6 +34,13 @@ def import_plan(files: DataFrame, catalog: DataFrame, replicated: list[str], *,
     return rows.withColumn("action", action.otherwise("drive-import-success")).drop("held")
 
 
+def would_import(files: DataFrame, catalog: DataFrame, replicated: list[str]) -> DataFrame:
+    """One row: files that an import would bring in. Equal files count each; a file whose hash is unknown doesn't count."""
+    held = catalog.where(live() & F.col("source").isin(*replicated)).select("content_hash").distinct()
+    rows = files.where((import_class(F.col("content_type")) == "candidate") & F.col("content_hash").isNotNull())
+    return rows.join(held, "content_hash", "left_anti").agg(F.count("*").alias("files"))
+
+
 def import_stats(plan: DataFrame) -> DataFrame:
     """One row of counters."""
     n = lambda a: F.count_if(F.col("action") == a)

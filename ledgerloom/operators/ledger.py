@@ -27,5 +27,18 @@ def action_counts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("action", "result").agg(F.count("*").alias("n"))
 
 
+# The counters of a replication with the action and the result that each counts.
+COUNTERS = {
+    "replicate": ("replicate", "success"), "replicate_skip_existing": ("replicate-skip-existing", "skipped"), "loop_skip": ("loop-skip", "skipped"),
+    "key_conflict": ("key-conflict", "skipped"), "overwrite": ("overwrite", "success"), "rename": ("rename", "success"), "replication_error": ("replication-error", "error"),
+    "source_tagged": ("source-tagged", "success"), "tombstone": ("tombstone", "success"), "physical_delete": ("physical-delete", "deleted"), "last_copy_guard": ("last-copy-protection", "skipped"),
+}
+
+
+def replication_counters(ledger: DataFrame) -> DataFrame:
+    """One row of eleven counters over the rows of replication and of deletion propagation."""
+    return ledger.agg(*(F.count_if((F.col("action") == a) & (F.col("result") == r)).alias(name) for name, (a, r) in COUNTERS.items()))
+
+
 def replication_error_hashes(ledger: DataFrame) -> DataFrame:
     return ledger.where((F.col("action") == "replication-error") & F.col("content_hash").isNotNull()).select("content_hash").distinct()

@@ -45,6 +45,11 @@ def bytes_where(rows: DataFrame, which: Column) -> DataFrame:
     return rows.agg(F.coalesce(F.sum(F.when(which & (F.col("size_bytes") >= 0), F.col("size_bytes"))), F.lit(0)).alias("bytes"))
 
 
+def batch_size(removals: DataFrame) -> DataFrame:
+    """One row, objects and bytes, of what a confirmation is asked for."""
+    return removals.agg(F.count("*").alias("objects"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
 def run_summary(discovered: DataFrame, *, cold_start: bool, dry_run: bool, apply: bool, confirmed: bool, divergent: DataFrame) -> DataFrame:
     """One row of string counters."""
     flags = {"cold_start": cold_start, "dry_run": dry_run, "apply": apply, "first_pass_confirmed": confirmed}

@@ -176,6 +176,27 @@ SQL: dict[str, str] = {
         FROM lineitem GROUP BY l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) HAVING count(*) >= 2""",
 }
 
+_COUNT = lambda action: f"count(*) FILTER (action = '{action}')"
+SQL |= {
+    "live_copy_counts_replicated": f"{_W} SELECT content_hash, count(*) FILTER ({_LIVE}) AS live FROM cat4 WHERE source IN {_REP} GROUP BY content_hash",
+    "quarantine_batch": f"{_MEMBERS} SELECT count(*) AS objects, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM members WHERE rn > 1",
+    "would_import": f"""{_W}, {_FILES} SELECT count(*) AS files FROM files WHERE (content_type LIKE 'image/%' OR content_type LIKE 'video/%')
+        AND NOT EXISTS (SELECT 1 FROM cat4 c WHERE c.content_hash = files.content_hash AND c.quarantined_at IS NULL AND c.tombstoned_at IS NULL AND c.source IN {_REP})""",
+    "drift_events": f"""{SQL["divergent_hashes"].split(" SELECT content_hash, present_in")[0]}, {_BEFORE}, changes AS (
+          SELECT coalesce(b.source, n.source) AS source, count(*) FILTER (b.key IS NULL) AS new, count(*) FILTER (n.key IS NULL) AS removed FROM before b FULL JOIN now_ n ON b.source = n.source AND b.key = n.key GROUP BY 1
+        ), counts AS (
+          SELECT 'new:' || source AS k, new AS v FROM changes UNION ALL SELECT 'removed:' || source, removed FROM changes UNION ALL SELECT 'divergent_hashes_count', (SELECT count(*) FROM present)
+        )
+        SELECT 'INFO' AS level, 'inconsistency-summary' AS event, {_NULLS} AS content_hash, {_NULLS} AS present_in, {_NULLS} AS absent_from, {_NULLS} AS canonical_key, string_agg(k || '=' || v, ',' ORDER BY k) AS detail FROM counts
+        UNION ALL SELECT 'WARN', 'inconsistency-divergent-hash', content_hash, present_in, absent_from, key, {_NULLS} FROM ({SQL["divergent_hashes"]})""",
+    "replication_counters": f"""WITH decided AS (
+          SELECT action FROM ({SQL["conflict_rename"]}) UNION ALL SELECT 'loop-skip' FROM ({SQL["loop_guard"]}) UNION ALL SELECT 'source-tagged' FROM ({SQL["source_tagging"]})
+          UNION ALL SELECT action FROM ({SQL["tombstone_deletes"]}) UNION ALL SELECT action FROM ({_LEDGER})
+        ) SELECT {_COUNT("replicate")} AS replicate, {_COUNT("replicate-skip-existing")} AS replicate_skip_existing, {_COUNT("loop-skip")} AS loop_skip, {_COUNT("key-conflict")} AS key_conflict,
+          {_COUNT("overwrite")} AS overwrite, {_COUNT("rename")} AS rename, {_COUNT("replication-error")} AS replication_error, {_COUNT("source-tagged")} AS source_tagged, {_COUNT("tombstone")} AS tombstone,
+          {_COUNT("physical-delete")} AS physical_delete, {_COUNT("last-copy-protection")} AS last_copy_guard FROM decided""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

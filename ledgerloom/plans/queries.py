@@ -81,6 +81,17 @@ def live_copy_counts(s, d):
     return D.live_copies(V.catalog4(s, d))
 
 
+@_query
+def live_copy_counts_replicated(s, d):
+    names = s.createDataFrame([(n,) for n in V.REPLICATED], "source string")
+    return D.live_copies(V.catalog4(s, d), names)
+
+
+@_query
+def quarantine_batch(s, d):
+    return report.batch_size(D.removal_plan(V.catalog4(s, d), V.PRIORITY))
+
+
 @_query
 def replication_plan(s, d):
     return replication.replication_plan(V.catalog4(s, d), V.REPLICATED).select("src", "dst", "content_hash", "key", "size_bytes")
@@ -162,6 +173,13 @@ def divergent_hashes(s, d):
     return out.select("content_hash", F.array_join("present_in", ",").alias("present_in"), F.array_join("absent_from", ",").alias("absent_from"), F.col("canonical.source").alias("source"), F.col("canonical.key").alias("key"))
 
 
+@_query
+def drift_events(s, d):
+    out = drift.drift_events(drift.divergent_hashes(V.catalog4(s, d), V.REPLICATED), drift.new_and_removed(*_before_and_now(s, d)))
+    detail = F.array_join(F.transform(F.map_entries("detail"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.withColumns({"present_in": F.array_join("present_in", ","), "absent_from": F.array_join("absent_from", ","), "detail": detail})
+
+
 def _listing(s: SparkSession, d: str) -> DataFrame:
     c = V.catalog4(s, d)
     told = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("content-sha256"), F.col("content_hash"))).when(F.col("doc_id") % 4 == 1, F.create_map(F.lit("content-sha256"), F.lit("nonsense")))
@@ -203,6 +221,11 @@ def import_stats(s, d):
     return importing.import_stats(importing.import_plan(_files(s, d), V.catalog4(s, d), V.REPLICATED))
 
 
+@_query
+def would_import(s, d):
+    return importing.would_import(_files(s, d), V.catalog4(s, d), V.REPLICATED)
+
+
 @_query
 def destination_keys(s, d):
     p = V.read(s, d, "pages")
@@ -280,6 +303,18 @@ def ledger_action_counts(s, d):
     return L.action_counts(V.ledger(s, d))
 
 
+@_query
+def replication_counters(s, d):
+    """All decisions about copies and deletions of one catalog, as the ledger would hold them."""
+    c20, c4 = V.catalog20(s, d), V.catalog4(s, d)
+    done = F.when(F.col("action").isin("replicate", "rename", "overwrite"), "success").otherwise("skipped")
+    copies = replication.resolve_conflicts(replication.replication_plan(c20, V.FOUR), c20, "rename").select("action", done.alias("result"))
+    guard = replication.loop_guard(replication.replication_plan(c4, V.REPLICATED)).where("guard IS NOT NULL")
+    guard = guard.select(F.col("guard").alias("action"), F.when(F.col("guard") == "loop-skip", "skipped").otherwise("success").alias("result"))
+    rows = copies.unionByName(guard).unionByName(D.tombstone_deletes(c4, V.NOW, 30).select("action", "result")).unionByName(V.ledger(s, d).select("action", "result"))
+    return L.replication_counters(rows)
+
+
 @_query
 def replication_error_hashes(s, d):
     return L.replication_error_hashes(V.ledger(s, d))
