@@ -151,6 +151,27 @@ def print_settings(settings: Settings) -> str:
     return "\n".join(out)
 
 
+def run_file(kind: str, now: str, run_id: str) -> str:
+    """Name of a run's file: kind, start without separators, and run."""
+    stamp = now.replace("-", "").replace(":", "")
+    return f"{kind}-{stamp}-{run_id}.{'txt' if kind == 'reconciliation' else 'jsonl'}"
+
+
+def write_whole(path: str, text: str) -> None:
+    """The file holds the old text or the new one, never a part."""
+    beside = f"{path}.{os.getpid()}.tmp"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    try:
+        with open(beside, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(beside, path)
+    finally:
+        if os.path.exists(beside):
+            os.remove(beside)
+
+
 class LockConflict(RuntimeError):
     pass
 

@@ -22,7 +22,7 @@ from ..operators.ledger import ledger_rows
 from ..schema import CATALOG
 from ..sources.stores import FolderStore, folder_listing, streamed_sha256
 from . import effects
-from .control import Exit, Settings, new_run_id, writer_lock
+from .control import Exit, Settings, new_run_id, run_file, write_whole, writer_lock
 
 
 @dataclass
@@ -33,6 +33,7 @@ class Outcome:
     catalog: DataFrame
     divergent: DataFrame
     report: str
+    events: DataFrame
 
 
 def _catalog(listing: DataFrame, now: str) -> DataFrame:
@@ -50,6 +51,30 @@ def run(spark: SparkSession, settings: Settings, *, now: str, apply: bool = Fals
         return _run(spark, settings, now, apply, confirmed, run_id, folder)
 
 
+def _paths(spark: SparkSession, pointer: str):
+    new, now, old = (spark._jvm.org.apache.hadoop.fs.Path(pointer + end) for end in (".new", "", ".old"))
+    return now.getFileSystem(spark._jsc.hadoopConfiguration()), new, now, old
+
+
+def replace_catalog(spark: SparkSession, pointer: str) -> None:
+    """The catalog written beside takes the place of the one before; at every moment one of them is whole."""
+    fs, new, now, old = _paths(spark, pointer)
+    fs.delete(old, True)
+    if fs.exists(now):
+        fs.rename(now, old)
+    fs.rename(new, now)
+    fs.delete(old, True)
+
+
+def settled_catalog(spark: SparkSession, pointer: str) -> bool:
+    """Whether there is a catalog; a replacement that was cut short is ended, or undone where the new one isn't whole."""
+    fs, new, now, old = _paths(spark, pointer)
+    whole = spark._jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS")
+    if not fs.exists(now) and fs.exists(old):
+        fs.rename(new if fs.exists(whole) else old, now)
+    return fs.exists(now)
+
+
 def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirmed: bool, run_id: str, folder: str) -> Outcome:
     roots = {s.name: s.root for s in settings.sources}
     writable = settings.replicated
@@ -63,8 +88,7 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         return spark.read.schema(df.schema).parquet(path)
 
     pointer = f"{folder}/catalog"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(pointer)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    there = settled_catalog(spark, pointer)
     before = spark.read.schema(CATALOG).parquet(pointer) if there else spark.createDataFrame([], CATALOG)
     before = kept(before, "before")
     cold = before.isEmpty()
@@ -78,10 +102,19 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     known = before.join(unread.select("source", "key"), ["source", "key"], "left_semi").select(*CATALOG.names)
     catalog = kept(_catalog(hashed, now).unionByName(known), "catalog")
     sources = spark.createDataFrame([(s.name, s.kind) for s in settings.sources], "source string, kind string")
-    text = "".join([
-        report.render("objects", report.per_source_counts(catalog, sources), ["source"]),
-        report.render("hashes by kind", report.cross_kind_partition(catalog, sources), ["s3_only"]),
-    ])
+    streamed = ~F.coalesce(F.col("hash_from").isin("tag", "cache"), F.lit(False))
+    sections = [
+        ("objects", report.per_source_counts(catalog, sources), "source"),
+        ("hashes by kind", report.cross_kind_partition(catalog, sources), "s3_only"),
+        ("duplicate groups by source", report.duplicate_groups_per_source(catalog), "source"),
+        ("duplicate groups across sources", report.cross_source_groups(catalog), "groups"),
+        ("bytes to hash", report.bytes_where(tried, streamed), "bytes"),
+    ]
+    if settings.imports.source:
+        pulled = hashed.where(F.col("source") == settings.imports.source)
+        sections.append(("files to import", importing.would_import(pulled, catalog, settings.replicated), "files"))
+    text = "".join(report.render(title, df, [order]) for title, df, order in sections)
+    write_whole(f"{folder}/{run_file('reconciliation', now, run_id)}", text)
 
     reading = unread.select(F.lit("hash-error").alias("action"), F.lit("error").alias("result"), "source", "key", F.col("hash_error").alias("error"))
     ledger: list[DataFrame] = [ledger_rows(reading, run_id=run_id, timestamp=now)]
@@ -119,6 +152,8 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     seen = after.withColumn("content_hash", F.try_element_at("user_metadata", F.lit(effects.HASH))).where(valid_hash(F.col("content_hash")))
     errors = copied.where("action = 'replication-error' AND content_hash IS NOT NULL").select("content_hash")
     divergent = kept(drift.divergent_hashes(seen, names, errors), "divergent")
+    changes = sources.select("source").join(drift.new_and_removed(before, catalog), "source", "left").na.fill(0)
+    events = kept(drift.drift_events(divergent, changes), "events")
     counters = report.run_summary(catalog, cold_start=cold, dry_run=not apply, apply=apply, confirmed=confirmed, divergent=divergent)
     extra = F.map_from_arrays(F.array(*map(F.lit, counters.columns)), F.array(*map(F.col, counters.columns)))
     ledger.append(ledger_rows(counters.select(F.lit("summary").alias("action"), F.lit("success").alias("result"), extra.alias("extra")), run_id=run_id, timestamp=now, extra=F.col("extra")))
@@ -129,12 +164,13 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     if destructive:
         left = resolve_hashes(after, catalog, _folder_hashes(roots))
         known = before.join(left.where("content_hash IS NULL"), ["source", "key"], "left_semi").select(*CATALOG.names)
-        _catalog(left.where("content_hash IS NOT NULL"), now).unionByName(known).write.mode("overwrite").parquet(pointer)
+        _catalog(left.where("content_hash IS NOT NULL"), now).unionByName(known).write.mode("overwrite").parquet(f"{pointer}.new")
+        replace_catalog(spark, pointer)
     failed = not rows.where("result = 'error'").isEmpty()
     conflict = policy.fail_on_conflict and not rows.where("action = 'key-conflict'").isEmpty()
     drifted = policy.fail_on_inconsistency and not divergent.isEmpty()
     code = Exit.FIRST_PASS_REVIEW_REQUIRED if apply and not destructive else Exit.INCONSISTENCY_DETECTED if drifted else Exit.CONFLICT_FAILURE if conflict else Exit.RUN_HAD_ERRORS if failed else Exit.OK
-    return Outcome(code, run_id, rows, catalog, divergent, text)
+    return Outcome(code, run_id, rows, catalog, divergent, text, events)
 
 
 def _folder_hashes(roots: dict[str, str]) -> Callable[[DataFrame], DataFrame]:

@@ -1,6 +1,7 @@
 """Files that come back as they were, and whole runs over stores in folders."""
 
 import json
+import os
 
 import pytest
 from test_operators import catalog, frame
@@ -105,10 +106,35 @@ def test_full_run(spark, tmp_path):
     assert gcs.head("photos/dup-A.jpg")["user_metadata"]["origin"] == "s3-prod"
     (summary,) = done.ledger.where("action = 'summary'").collect()
     assert summary.extra["cold_start"] == "true" and summary.extra["apply"] == "true"
+    for part in ("duplicate groups by source\n  source=s3-prod groups=1\n", "files to import\n  files=2\n"):
+        assert part in dry.report
+    (told,) = (tmp_path / "catalog").glob(f"reconciliation-*-{dry.run_id}.txt")
+    assert told.read_text() == dry.report
+    (info,) = dry.events.where("level = 'INFO'").collect()
+    assert info.detail["new:s3-prod"] == "2" and info.detail["removed:drive-camera"] == "0"
+    assert dry.events.where("level = 'WARN'").count() == int(info.detail["divergent_hashes_count"]) == dry.divergent.count()
     again = run.run(spark, settings, now=NOW, apply=True, confirmed=True)
     assert again.ledger.where("action IN ('overwrite', 'key-conflict')").isEmpty()
 
 
+def test_catalog_outlives_a_replacement_cut_short(spark, tmp_path):
+    at = f"{tmp_path}/catalog"
+    read = lambda: [r.id for r in spark.read.parquet(at).collect()]
+    write = lambda n, path: spark.range(n, n + 1).write.mode("overwrite").parquet(path)
+    assert not run.settled_catalog(spark, at)
+    write(1, f"{at}.new")
+    run.replace_catalog(spark, at)
+    assert run.settled_catalog(spark, at) and read() == [1]
+    os.rename(at, f"{at}.old")
+    assert run.settled_catalog(spark, at) and read() == [1]  # nothing new was whole
+    write(2, f"{at}.new")
+    os.rename(at, f"{at}.old")
+    assert run.settled_catalog(spark, at) and read() == [2]
+    write(3, f"{at}.new")
+    run.replace_catalog(spark, at)
+    assert read() == [3] and not os.path.exists(f"{at}.old")
+
+
 def test_read_only_store(tmp_path):
     s = stores.FolderStore(str(tmp_path), supports_writes=False)
     for f in (lambda: s.write("a", iter([b""]), {}), lambda: s.tag("a", "b", "c"), lambda: s.delete("a")):
