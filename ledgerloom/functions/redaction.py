@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +35,37 @@ def redact_text(c: Column) -> Column:
 
 def redact_map(c: Column) -> Column:
     return F.transform_values(c, lambda k, v: F.when(F.lower(k).isin(*NAMES), F.lit(MASK)).otherwise(redact_text(v)))
+
+
+_WHOLE, _AFTER = [re.compile(p) for p in WHOLE], [re.compile(p) for p in AFTER]
+
+
+def redacted(value: object) -> object:
+    """A value of nested dicts, lists and tuples without secrets, for what the driver writes; numbers and the like stay."""
+    if isinstance(value, str):
+        for p in _WHOLE:
+            value = p.sub(MASK, value)
+        for p in _AFTER:
+            value = p.sub(rf"\1{MASK}", value)
+        return value
+    if isinstance(value, dict):
+        return {k: MASK if isinstance(k, str) and k.lower() in NAMES else redacted(v) for k, v in value.items()}
+    return type(value)(map(redacted, value)) if type(value) in (list, tuple) else value
+
+
+def redact_json(c: Column) -> Column:
+    """JSON texts with every nested value redacted, as compact JSON; a text that is no JSON is redacted as text."""
+
+    @F.pandas_udf("string")
+    def redact(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            try:
+                return json.dumps(redacted(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return redacted(text)
+
+        return texts.map(one, na_action="ignore")
+
+    return redact(c)

@@ -8,12 +8,14 @@ import fcntl
 import json
 import os
 import random
+import sys
 import time
 import tomllib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
+from typing import TextIO
 
 from ..schema import REPLICATED_KINDS, SOURCE_KINDS
 
@@ -215,6 +217,48 @@ class RetriesExhausted(RuntimeError):
     pass
 
 
+class FilesAccessFailed(RuntimeError):
+    """The folder of a read-only store is out of reach."""
+
+
+class CredentialFailed(RuntimeError):
+    pass
+
+
+class LegacySettings(RuntimeError):
+    """Secrets in a settings file of the old kind."""
+
+
+class InteractiveRequired(RuntimeError):
+    """A decision that needs a person, where nobody is there to ask."""
+
+
+_CODES = {
+    SettingsError: Exit.CONFIG_INVALID, LegacySettings: Exit.LEGACY_CONFIG, CredentialFailed: Exit.CREDENTIAL_FAILED, LockConflict: Exit.LOCK_CONFLICT,
+    InteractiveRequired: Exit.INTERACTIVE_REQUIRED, FilesAccessFailed: Exit.FILES_ACCESS_FAILED,
+}
+
+
+def exit_code(error: BaseException) -> Exit:
+    """The process exit code of an error; any other is that of a run with errors."""
+    return next((code for kind, code in _CODES.items() if isinstance(error, kind)), Exit.RUN_HAD_ERRORS)
+
+
+def asks(out: TextIO, read: Callable[[], str] = input, present: bool | None = None) -> Callable[[int, int], bool]:
+    """What a run calls with the count and the bytes it would quarantine: yes only by ``y`` or ``yes``."""
+
+    def confirm(count: int, size: int) -> bool:
+        if not (sys.stdin.isatty() if present is None else present):
+            raise InteractiveRequired(f"{count} objects of {size} bytes wait for a confirmation")
+        out.write(f"{count} objects of {size} bytes go to quarantine. Continue? [y/N]: ")
+        try:
+            return read().strip().lower() in ("y", "yes")
+        except EOFError:
+            return False
+
+    return confirm
+
+
 def retried(f: Callable, retries: RetrySettings, sleep: Callable[[float], None] = time.sleep):
     """``f()``, again after transient errors; waits double, heed the server and are capped."""
     for attempt in range(retries.max_retries + 1):

@@ -20,9 +20,9 @@ from ..operators import duplicates as D
 from ..operators.catalog import resolve_hashes
 from ..operators.ledger import ledger_rows
 from ..schema import CATALOG
-from ..sources.stores import FolderStore, folder_listing, streamed_sha256
+from ..sources.stores import FolderStore, Store, store_listing, streamed_sha256
 from . import effects
-from .control import Exit, Settings, new_run_id, run_file, write_whole, writer_lock
+from .control import Exit, RetrySettings, Settings, new_run_id, retried, run_file, write_whole, writer_lock
 
 
 @dataclass
@@ -44,11 +44,24 @@ def _catalog(listing: DataFrame, now: str) -> DataFrame:
     )
 
 
-def run(spark: SparkSession, settings: Settings, *, now: str, apply: bool = False, confirmed: bool = False, run_id: str | None = None) -> Outcome:
+def run(
+    spark: SparkSession,
+    settings: Settings,
+    *,
+    now: str,
+    apply: bool = False,
+    confirmed: bool = False,
+    run_id: str | None = None,
+    stores: Callable[[], dict[str, Store]] | None = None,
+    confirm: Callable[[int, int], bool] | None = None,
+) -> Outcome:
+    """``stores`` makes the stores by name, in tasks too (clients are made where they are used); by default each
+    source's root is a folder. ``confirm`` is asked with count and bytes before anything goes to quarantine; without a
+    yes, that phase is planned only."""
     run_id = run_id or new_run_id()
     folder = settings.runtime.folder
     with writer_lock(f"{folder}/lock", run_id):
-        return _run(spark, settings, now, apply, confirmed, run_id, folder)
+        return _run(spark, settings, now, apply, confirmed, run_id, folder, stores, confirm)
 
 
 def _paths(spark: SparkSession, pointer: str):
@@ -75,11 +88,13 @@ def settled_catalog(spark: SparkSession, pointer: str) -> bool:
     return fs.exists(now)
 
 
-def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirmed: bool, run_id: str, folder: str) -> Outcome:
+def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirmed: bool, run_id: str, folder: str, stores: Callable | None, confirm: Callable | None) -> Outcome:
     roots = {s.name: s.root for s in settings.sources}
     writable = settings.replicated
     kinds = {s.name: s.kind for s in settings.sources}
-    factory = lambda: {n: FolderStore(r, kinds[n] != "google_drive") for n, r in roots.items()}
+    if stores:
+        stores()  # a store that is out of reach as such ends the run before anything happens
+    factory = stores or (lambda: {n: FolderStore(r, kinds[n] != "google_drive") for n, r in roots.items()})
     step = iter(range(100))
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -94,14 +109,27 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     cold = before.isEmpty()
     destructive = apply and (confirmed or not cold)
 
-    listed = kept(folder_listing(spark, roots), "listing")
-    tried = kept(resolve_hashes(listed, before, _folder_hashes(roots)), "hashed")
+    found = kept(store_listing(spark, [*roots], factory), "listing")
+    failed_lists = found.where("list_error IS NOT NULL").select("source", "list_error")
+    unlisted = [r.source for r in failed_lists.select("source").collect()]  # of the settings' few sources
+    listing_errors = failed_lists.select(F.lit("list-error").alias("action"), F.lit("error").alias("result"), "source", F.col("list_error").alias("error"))
+    if unlisted and cold:
+        rows = kept(ledger_rows(listing_errors, run_id=run_id, timestamp=now), "ledger")
+        none = spark.createDataFrame([], CATALOG)
+        nothing = drift.divergent_hashes(none, settings.replicated)
+        return Outcome(Exit.COLD_START_LISTING_FAILED, run_id, rows, none, nothing, "", drift.drift_events(nothing, sources_of(spark, settings).selectExpr("source", "0L AS new", "0L AS removed")))
+    # A store that couldn't be listed to its end is as the last run knew it, not empty.
+    listed = found.where("list_error IS NULL").drop("list_error").where(~F.col("source").isin(*unlisted))
+    tried = kept(resolve_hashes(listed, before, _store_hashes(factory, settings.retries)), "hashed")
     hashed = tried.where("content_hash IS NOT NULL")
     # An object that couldn't be read is as the last run knew it, not gone.
     unread = tried.where("content_hash IS NULL").select("source", "key", "hash_error")
     known = before.join(unread.select("source", "key"), ["source", "key"], "left_semi").select(*CATALOG.names)
-    catalog = kept(_catalog(hashed, now).unionByName(known), "catalog")
-    sources = spark.createDataFrame([(s.name, s.kind) for s in settings.sources], "source string, kind string")
+    known = known.union(before.where(F.col("source").isin(*unlisted)).select(*CATALOG.names))
+    # Only copies that this run has seen protect others, or are removed.
+    seen_now = kept(_catalog(hashed, now), "seen")
+    catalog = kept(seen_now.unionByName(known), "catalog")
+    sources = sources_of(spark, settings)
     streamed = ~F.coalesce(F.col("hash_from").isin("tag", "cache"), F.lit(False))
     sections = [
         ("objects", report.per_source_counts(catalog, sources), "source"),
@@ -117,13 +145,13 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     write_whole(f"{folder}/{run_file('reconciliation', now, run_id)}", text)
 
     reading = unread.select(F.lit("hash-error").alias("action"), F.lit("error").alias("result"), "source", "key", F.col("hash_error").alias("error"))
-    ledger: list[DataFrame] = [ledger_rows(reading, run_id=run_id, timestamp=now)]
+    ledger: list[DataFrame] = [ledger_rows(reading, run_id=run_id, timestamp=now), ledger_rows(listing_errors, run_id=run_id, timestamp=now)]
 
-    def settle(decisions: DataFrame, name: str, act: bool) -> DataFrame:
+    def settle(decisions: DataFrame, name: str, act: bool, refused: bool = False) -> DataFrame:
         decisions = kept(decisions, f"{name}-planned")
         if act:
             decisions = kept(effects.carry_out(decisions, factory, now, settings.retries, settings.runtime.max_concurrent_transfers), name)
-        elif not apply or not destructive:
+        elif refused or not apply or not destructive:
             decisions = decisions.withColumn("result", F.when(F.col("result").isin("success", "quarantined", "deleted"), "planned").otherwise(F.col("result")))
         extra = F.col("extra") if "extra" in decisions.columns else None
         ledger.append(ledger_rows(decisions, run_id=run_id, timestamp=now, extra=extra))
@@ -131,9 +159,14 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
 
     policy, names = settings.replication, settings.replicated
     # Duplicates in a store that nobody may write to are none of this run's business.
-    quarantine = D.quarantine_decisions(catalog, settings.duplicates.canonical_source_priority, writable)
-    settle(quarantine.where(F.col("source").isin(*writable)), "quarantine", destructive)
-    settle(D.expired_quarantine_deletes(catalog, now, settings.duplicates.quarantine_retention_days), "expired", destructive)
+    quarantine = D.quarantine_decisions(seen_now, settings.duplicates.canonical_source_priority, writable)
+    quarantine = kept(quarantine.where(F.col("source").isin(*writable)), "quarantine-decided")
+    go = destructive
+    if destructive and confirm:
+        batch = quarantine.where("result = 'quarantined'").agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
+        go = not batch[0] or confirm(*batch)
+    settle(quarantine, "quarantine", destructive and go, destructive and not go)
+    settle(D.expired_quarantine_deletes(seen_now, now, settings.duplicates.quarantine_retention_days), "expired", destructive)
     plan = replication.replication_plan(catalog, names, policy.pairs or None)
     decided = replication.resolve_conflicts(plan, catalog, policy.on_key_conflict, allow_destructive=destructive)
     result = F.when(F.col("action").isin("replicate", "rename", "overwrite"), "success").otherwise("skipped")
@@ -146,10 +179,13 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     if policy.delete_propagation != "none":
         settle(deletion.tombstone_decisions(before, catalog, names, writable), "tombstones", destructive)
         if policy.delete_propagation == "hard":
-            settle(D.tombstone_deletes(catalog, now, policy.tombstone_retention_days), "tombstone-deletes", destructive)
+            settle(D.tombstone_deletes(seen_now, now, policy.tombstone_retention_days), "tombstone-deletes", destructive)
 
-    after = kept(folder_listing(spark, roots), "after")
-    seen = after.withColumn("content_hash", F.try_element_at("user_metadata", F.lit(effects.HASH))).where(valid_hash(F.col("content_hash")))
+    found = kept(store_listing(spark, [*roots], factory), "after")
+    unlisted = [r.source for r in found.where("list_error IS NOT NULL").select("source").collect()]
+    after = found.where("list_error IS NULL").drop("list_error").where(~F.col("source").isin(*unlisted))
+    seen = after.withColumn("content_hash", F.try_element_at("user_metadata", F.lit(effects.HASH))).where(valid_hash(F.col("content_hash"))).select("source", "key", "content_hash")
+    seen = seen.union(catalog.where(F.col("source").isin(*unlisted)).select("source", "key", "content_hash"))
     errors = copied.where("action = 'replication-error' AND content_hash IS NOT NULL").select("content_hash")
     divergent = kept(drift.divergent_hashes(seen, names, errors), "divergent")
     changes = sources.select("source").join(drift.new_and_removed(before, catalog), "source", "left").na.fill(0)
@@ -162,8 +198,9 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         rows = rows.unionByName(more)
     rows = kept(rows, "ledger")
     if destructive:
-        left = resolve_hashes(after, catalog, _folder_hashes(roots))
+        left = resolve_hashes(after, catalog, _store_hashes(factory, settings.retries))
         known = before.join(left.where("content_hash IS NULL"), ["source", "key"], "left_semi").select(*CATALOG.names)
+        known = known.union(catalog.where(F.col("source").isin(*unlisted)).select(*CATALOG.names))
         _catalog(left.where("content_hash IS NOT NULL"), now).unionByName(known).write.mode("overwrite").parquet(f"{pointer}.new")
         replace_catalog(spark, pointer)
     failed = not rows.where("result = 'error'").isEmpty()
@@ -173,19 +210,24 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     return Outcome(code, run_id, rows, catalog, divergent, text, events)
 
 
-def _folder_hashes(roots: dict[str, str]) -> Callable[[DataFrame], DataFrame]:
+def sources_of(spark: SparkSession, settings: Settings) -> DataFrame:
+    return spark.createDataFrame([(s.name, s.kind) for s in settings.sources], "source string, kind string")
+
+
+def _store_hashes(factory: Callable[[], dict[str, Store]], retries: RetrySettings) -> Callable[[DataFrame], DataFrame]:
     """Adds content_hash and hash_error to rows, streaming each object in chunks; contents never leave the reader."""
 
     def hashes(rows: DataFrame) -> DataFrame:
-        def one(source: str, key: str) -> tuple[str | None, str | None]:
+        def one(stores: dict[str, Store], source: str, key: str) -> tuple[str | None, str | None]:
             try:
-                return streamed_sha256(FolderStore(roots[source]).read(key)), None
-            except (OSError, KeyError, ValueError) as e:
+                return retried(lambda: streamed_sha256(stores[source].read(key)), retries), None
+            except Exception as e:  # noqa: BLE001  any failure is a row of the ledger
                 return None, f"{type(e).__name__}: {e}"
 
         def run(parts):
+            stores = factory()
             for part in parts:
-                found = [one(s, k) for s, k in zip(part["source"], part["key"], strict=True)]
+                found = [one(stores, s, k) for s, k in zip(part["source"], part["key"], strict=True)]
                 yield part[["source", "key"]].assign(content_hash=[h for h, _ in found], hash_error=[e for _, e in found])
 
         told = rows.select("source", "key").mapInPandas(run, "source string, key string, content_hash string, hash_error string")

@@ -1,24 +1,26 @@
 """Stores of objects: the interface, a store in a folder, listings as DataFrames.
 
-Clients of remote stores need the network and aren't part of this library; a store that
-Hadoop can reach is listed and read by ``listing`` and ``contents`` alike.
+Stores behind a provider's client stand in ``remote``; a store that Hadoop can reach is
+listed and read by ``listing`` and ``contents`` alike.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 from pathlib import Path
 from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
 from ..schema import LISTING
 
@@ -160,6 +162,33 @@ def folder_listing(spark: SparkSession, stores: dict[str, str]) -> DataFrame:
     return spark.read.format("folder_stores").option("stores", json.dumps(stores)).load()
 
 
+def store_listing(spark: SparkSession, names: Sequence[str], factory: Callable[[], dict[str, Store]]) -> DataFrame:
+    """LISTING and list_error: a task for each store, rows in batches. A store that can't be listed to its end has one
+    more row, without a key, that holds the error."""
+    fields = [f.name for f in LISTING if f.name != "source"]
+
+    def rows(name: str) -> Iterator[tuple]:
+        try:
+            for row in factory()[name].list():
+                yield (name, *(row[f] for f in fields), None)
+        except Exception as e:  # noqa: BLE001  any failure is a row
+            yield (name, *(None for _ in fields), f"{type(e).__name__}: {e}")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for name in part.column(0).to_pylist():
+                found = rows(name)
+                while batch := list(itertools.islice(found, 10_000)):
+                    cols = [*zip(*batch, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([[*v.items()] if isinstance(v, dict) else v for v in c], t) for c, t in zip(cols, kinds, strict=True)], names=schema.names)
+
+    schema = StructType([*LISTING, StructField("list_error", StringType())])
+    kinds = [pa.map_(pa.string(), pa.string()) if isinstance(f.dataType, MapType) else pa.int64() if isinstance(f.dataType, LongType) else pa.string() for f in schema]
+    stores = sorted(set(names))
+    each = spark.createDataFrame([(n, i) for i, n in enumerate(stores)], "source string, part int")
+    return each.repartitionById(max(1, len(stores)), "part").select("source").mapInArrow(run, schema)
+
+
 def listing(spark: SparkSession, source: str, path: str) -> DataFrame:
     """Objects below a path that Hadoop reaches, without their bytes (the scan reads no content)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")

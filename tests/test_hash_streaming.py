@@ -5,7 +5,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.catalog import resolve_hashes
-from ledgerloom.plans.run import _folder_hashes
+from ledgerloom.plans.control import RetrySettings
+from ledgerloom.plans.run import _store_hashes
 from ledgerloom.schema import CATALOG
 from ledgerloom.sources.stores import FolderStore, folder_listing
 
@@ -20,7 +21,7 @@ def test_only_unknown_objects_are_read(spark, tmp_path):
     for k in (0, 1, 3, 5):  # with their objects gone, three tagged rows still resolve, and one other fails
         store.delete(f"k{k}")
     before = spark.createDataFrame([], CATALOG)
-    got = {r.key: r for r in resolve_hashes(listed, before, _folder_hashes(roots)).collect()}
+    got = {r.key: r for r in resolve_hashes(listed, before, _store_hashes(lambda: {n: FolderStore(r) for n, r in roots.items()}, RetrySettings())).collect()}
     assert len(got) == 6
     for k in (1, 3, 5):
         assert (got[f"k{k}"].hash_from, got[f"k{k}"].content_hash) == ("tag", hashlib.sha256(b"tagged").hexdigest())
