@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .decontaminate import contaminated, decontaminate
+from .filter_audit import audit_filters, mask_cells
 from .licenses import scan_licenses
 from . import quality
 from .line_dedup import dedup_lines
@@ -15,6 +17,7 @@ from .ngram_join import ngram_jaccard
 from .packing import pack
 from .pii import KINDS, find_pii
 from .scratch import Scratch
+from .spelling import spelling_variants
 from .topk import top_k
 from .toxicity import fit, held_out, score_toxicity
 from .warc import read_warc, write_warc
@@ -87,5 +90,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of all words of seven letters and more, with the forms they are written for."""
+    out = spelling_variants(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by source."""
+    cells = mask_cells(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), _read(spark, sf_dir, "labels"))
+    return audit_filters(cells)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document to token ids and back."""
+    coded = bpe_encode(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return bpe_decode(coded).select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_quality, op4_decontaminate, op5_topk, op6_pii, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_quality, op4_decontaminate, op5_topk, op6_pii, op7_license_scan, op8_line_dedup, op9_packing, op10_toxicity, op11_spelling, op12_filter_audit, op13_bpe)}

@@ -116,5 +116,41 @@ FROM docs LEFT JOIN summed USING (doc_id)
 """
 
 
+OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+docs AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         map {'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS fails
+  FROM w JOIN firsts USING (text) LEFT JOIN l USING (doc_id)
+),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+counted AS (SELECT part, good, toxic, fails, count(*) AS n FROM docs GROUP BY ALL),
+steps AS (
+  SELECT part, good, toxic, n, filter_order, step, substr(filter_order, step, 1) AS letter, fails[substr(filter_order, step, 1)] AS failed,
+         len(list_filter(range(1, step), lambda k: fails[substr(filter_order, k, 1)])) AS earlier,
+         len(list_filter(range(1, 6), lambda k: fails[substr(filter_order, k, 1)])) AS failures
+  FROM counted, orders, (SELECT unnest(range(1, 6)) AS step)
+),
+summed AS (
+  SELECT part, filter_order, step, letter, sum(n) FILTER (NOT failed AND earlier = 0) AS kept, sum(n) FILTER (failed AND earlier = 0) AS removed,
+         sum(n) FILTER (failed AND earlier > 0) AS redundant, sum(n) FILTER (failed AND failures = 1) AS unique_fails,
+         sum(n) FILTER (failed AND earlier = 0 AND good) AS good_lost, sum(n) FILTER (failed AND earlier = 0 AND toxic) AS toxic_lost
+  FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op2_ngram_join": OP2, "op4_decontaminate": OP4, "op5_topk": OP5, "op7_license_scan": OP7, "op8_line_dedup": OP8}
+    return {"op1_warc": OP1, "op2_ngram_join": OP2, "op4_decontaminate": OP4, "op5_topk": OP5, "op7_license_scan": OP7, "op8_line_dedup": OP8, "op12_filter_audit": OP12}
