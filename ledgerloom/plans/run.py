@@ -20,7 +20,8 @@ from ..operators import duplicates as D
 from ..operators.catalog import resolve_hashes
 from ..operators.ledger import ledger_rows
 from ..schema import CATALOG
-from ..sources.stores import FolderStore, Store, store_listing, streamed_sha256
+from ..sources.listing import store_listing
+from ..sources.stores import FolderStore, Store, streamed_sha256
 from . import effects
 from .control import Exit, RetrySettings, Settings, new_run_id, retried, run_file, write_whole, writer_lock
 
@@ -109,9 +110,9 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     cold = before.isEmpty()
     destructive = apply and (confirmed or not cold)
 
-    found = kept(store_listing(spark, [*roots], factory), "listing")
+    found = kept(store_listing(spark, [*roots], factory, known=None if cold else before), "listing")
     failed_lists = found.where("list_error IS NOT NULL").select("source", "list_error")
-    unlisted = [r.source for r in failed_lists.select("source").collect()]  # of the settings' few sources
+    unlisted = [r.source for r in failed_lists.select("source").distinct().collect()]  # of the settings' few sources
     listing_errors = failed_lists.select(F.lit("list-error").alias("action"), F.lit("error").alias("result"), "source", F.col("list_error").alias("error"))
     if unlisted and cold:
         rows = kept(ledger_rows(listing_errors, run_id=run_id, timestamp=now), "ledger")
@@ -181,8 +182,8 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         if policy.delete_propagation == "hard":
             settle(D.tombstone_deletes(seen_now, now, policy.tombstone_retention_days), "tombstone-deletes", destructive)
 
-    found = kept(store_listing(spark, [*roots], factory), "after")
-    unlisted = [r.source for r in found.where("list_error IS NOT NULL").select("source").collect()]
+    found = kept(store_listing(spark, [*roots], factory, known=catalog), "after")
+    unlisted = [r.source for r in found.where("list_error IS NOT NULL").select("source").distinct().collect()]
     after = found.where("list_error IS NULL").drop("list_error").where(~F.col("source").isin(*unlisted))
     seen = after.withColumn("content_hash", F.try_element_at("user_metadata", F.lit(effects.HASH))).where(valid_hash(F.col("content_hash"))).select("source", "key", "content_hash")
     seen = seen.union(catalog.where(F.col("source").isin(*unlisted)).select("source", "key", "content_hash"))

@@ -124,6 +124,8 @@ class _Remote(Store):
 class S3Store(_Remote):
     """A bucket. Markers are tags, which win over metadata of the same name; a listing asks for neither."""
 
+    ranged = True
+
     def __init__(self, client, bucket: str, prefix: str = "", retries: RetrySettings | None = None):
         super().__init__(retries)
         self.client, self.bucket, self.prefix = client, bucket, prefix
@@ -134,12 +136,14 @@ class S3Store(_Remote):
         single = etag is not None and len(etag) == 32 and not set(etag) - set("0123456789abcdef")
         return {"key": key, "size_bytes": int(size), "last_modified": _time(when), "content_type": content_type, "user_metadata": metadata, "etag": etag, "provider_hash": etag if single else None}
 
-    def list(self) -> Iterator[dict]:
-        where = {"Bucket": self.bucket} | ({"Prefix": self.prefix} if self.prefix else {})
+    def list(self, after: str = "", upto: str | None = None) -> Iterator[dict]:
+        where = {"Bucket": self.bucket} | ({"Prefix": self.prefix} if self.prefix else {}) | ({"StartAfter": after} if after else {})
         token = {}
         while True:
             page = self._paged(lambda t=token: self.client.list_objects_v2(**where, **t))
             for o in page.get("Contents") or []:
+                if upto is not None and o["Key"] > upto:
+                    return
                 yield self._row(o["Key"], o.get("Size", 0), o.get("LastModified"), o.get("ETag"), None, {})
             if not page.get("NextContinuationToken"):
                 return

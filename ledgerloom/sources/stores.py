@@ -1,28 +1,23 @@
-"""Stores of objects: the interface, a store in a folder, listings as DataFrames.
+"""Stores of objects: the interface, a store in a folder, objects that Hadoop reaches.
 
-Stores behind a provider's client stand in ``remote``; a store that Hadoop can reach is
-listed and read by ``listing`` and ``contents`` alike.
+Stores behind a provider's client stand in ``remote``, their listings in ``listing``; a store
+that Hadoop can reach is listed and read by the functions ``listing`` and ``contents`` here.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-import itertools
 import json
 import os
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 from urllib.parse import quote, unquote
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
-
-from ..schema import LISTING
 
 CHUNK = 1 << 20
 
@@ -35,6 +30,7 @@ class Store(ABC):
     """What the executor of effects needs of a store."""
 
     supports_writes = True
+    ranged = False  # whether ``list`` takes (after, upto): keys behind the one, up to the other, in the order of code points
 
     @abstractmethod
     def list(self) -> Iterator[dict]: ...
@@ -59,6 +55,8 @@ class Store(ABC):
 class FolderStore(Store):
     """Objects as files of one folder, named by their quoted keys; metadata in a file beside each."""
 
+    ranged = True
+
     def __init__(self, root: str, supports_writes: bool = True):
         self.root, self.supports_writes = Path(root), supports_writes
 
@@ -72,9 +70,12 @@ class FolderStore(Store):
         if not self.supports_writes:
             raise ReadOnlyStore(str(self.root))
 
-    def list(self) -> Iterator[dict]:
-        for p in sorted((self.root / "objects").glob("*")):
-            yield self.head(unquote(p.name))
+    def list(self, after: str = "", upto: str | None = None) -> Iterator[dict]:
+        folder = self.root / "objects"
+        keys = sorted(map(unquote, os.listdir(folder))) if folder.exists() else []
+        for key in keys[bisect.bisect_right(keys, after) : len(keys) if upto is None else bisect.bisect_right(keys, upto)]:
+            if row := self.head(key):  # else it is gone since
+                yield row
 
     def read(self, key: str) -> Iterator[bytes]:
         with self._file(key).open("rb") as f:
@@ -125,70 +126,6 @@ def streamed_sha256(chunks: Iterator[bytes]) -> str:
     return h.hexdigest()
 
 
-class _Part(InputPartition):
-    def __init__(self, name: str, root: str):
-        super().__init__(0)
-        self.name, self.root = name, root
-
-
-class FolderListing(DataSource):
-    """``spark.read.format("folder_stores").option("stores", json of {name: root})``: a partition for each store."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "folder_stores"
-
-    def schema(self) -> StructType:
-        return LISTING
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(json.loads(self.options["stores"]))
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, stores: dict[str, str]):
-        self.stores = stores
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Part(n, r) for n, r in sorted(self.stores.items())]
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        for row in FolderStore(partition.root).list():
-            yield (partition.name, *(row[f.name] for f in LISTING if f.name != "source"))
-
-
-def folder_listing(spark: SparkSession, stores: dict[str, str]) -> DataFrame:
-    spark.dataSource.register(FolderListing)
-    return spark.read.format("folder_stores").option("stores", json.dumps(stores)).load()
-
-
-def store_listing(spark: SparkSession, names: Sequence[str], factory: Callable[[], dict[str, Store]]) -> DataFrame:
-    """LISTING and list_error: a task for each store, rows in batches. A store that can't be listed to its end has one
-    more row, without a key, that holds the error."""
-    fields = [f.name for f in LISTING if f.name != "source"]
-
-    def rows(name: str) -> Iterator[tuple]:
-        try:
-            for row in factory()[name].list():
-                yield (name, *(row[f] for f in fields), None)
-        except Exception as e:  # noqa: BLE001  any failure is a row
-            yield (name, *(None for _ in fields), f"{type(e).__name__}: {e}")
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for name in part.column(0).to_pylist():
-                found = rows(name)
-                while batch := list(itertools.islice(found, 10_000)):
-                    cols = [*zip(*batch, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([[*v.items()] if isinstance(v, dict) else v for v in c], t) for c, t in zip(cols, kinds, strict=True)], names=schema.names)
-
-    schema = StructType([*LISTING, StructField("list_error", StringType())])
-    kinds = [pa.map_(pa.string(), pa.string()) if isinstance(f.dataType, MapType) else pa.int64() if isinstance(f.dataType, LongType) else pa.string() for f in schema]
-    stores = sorted(set(names))
-    each = spark.createDataFrame([(n, i) for i, n in enumerate(stores)], "source string, part int")
-    return each.repartitionById(max(1, len(stores)), "part").select("source").mapInArrow(run, schema)
-
-
 def listing(spark: SparkSession, source: str, path: str) -> DataFrame:
     """Objects below a path that Hadoop reaches, without their bytes (the scan reads no content)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")

@@ -8,7 +8,8 @@ from ledgerloom.operators.catalog import resolve_hashes
 from ledgerloom.plans.control import RetrySettings
 from ledgerloom.plans.run import _store_hashes
 from ledgerloom.schema import CATALOG
-from ledgerloom.sources.stores import FolderStore, folder_listing
+from ledgerloom.sources.listing import store_listing
+from ledgerloom.sources.stores import FolderStore
 
 
 def test_only_unknown_objects_are_read(spark, tmp_path):
@@ -17,7 +18,8 @@ def test_only_unknown_objects_are_read(spark, tmp_path):
         tag = {"content-sha256": hashlib.sha256(b"tagged").hexdigest()} if k % 2 else {}
         store.write(f"k{k}", iter([b"x" * k, b"y" * 3_000_000]), tag)
     roots = {"a": str(tmp_path / "a")}
-    listed = spark.createDataFrame(folder_listing(spark, roots).collect(), folder_listing(spark, roots).schema)
+    listed = store_listing(spark, ["a"], lambda: {"a": FolderStore(roots["a"])}, parts=2)
+    listed = spark.createDataFrame(listed.collect(), listed.schema).drop("list_error")
     for k in (0, 1, 3, 5):  # with their objects gone, three tagged rows still resolve, and one other fails
         store.delete(f"k{k}")
     before = spark.createDataFrame([], CATALOG)

@@ -8,9 +8,10 @@ import logging
 import pytest
 
 from ledgerloom.functions import redaction
-from ledgerloom.plans import control, guards, logs, run
+from ledgerloom.plans import control, logs, run
 from ledgerloom.sources import remote
-from ledgerloom.sources.stores import FolderStore, ReadOnlyStore, store_listing
+from ledgerloom.sources.listing import store_listing
+from ledgerloom.sources.stores import FolderStore, ReadOnlyStore
 from test_files_and_runs import NOW, seed
 
 WHEN = datetime.datetime(2024, 4, 1, 12, tzinfo=datetime.timezone.utc)
@@ -223,6 +224,8 @@ def test_drive():
 def _breaking(roots, broken):
     def factory():
         class Breaking(FolderStore):
+            ranged = False
+
             def list(self):
                 rows = super().list()
                 if str(self.root) == broken:
@@ -290,28 +293,3 @@ def test_redact_json(spark):
     rows = [(json.dumps({"a": [{"Private_Key": {"x": 1}}, "ya29.abc"], "n": 1.5}),), ("no json Bearer abc",), (None,), ("",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(redaction.redact_json("t")).collect()]
     assert got == ['{"a":[{"Private_Key":"[REDACTED]"},"[REDACTED]"],"n":1.5}', "no json [REDACTED]", None, ""]
-
-
-def test_guards(tmp_path):
-    guards.refuse_legacy(str(tmp_path))
-    text = "a = 1\n[aws_credentials]\n; aws_access_key_id = x\nregion: y\n  aws_access_key_id = continued\nother ; aws_secret_access_key = z\n"
-    assert guards.option_names(text) == {"aws_credentials": {"region"}}
-    (tmp_path / guards.FILE).write_text(text)
-    guards.refuse_legacy(str(tmp_path))
-    (tmp_path / guards.FILE).write_text(text + "aws_secret_access_key = z ; old\n")
-    with pytest.raises(control.LegacySettings) as e:
-        guards.refuse_legacy(str(tmp_path))
-    assert control.exit_code(e.value) == control.Exit.LEGACY_CONFIG
-
-    class Identity:
-        pages = [{"AccessKeyMetadata": [{"AccessKeyId": "k1", "Status": "Active"}], "IsTruncated": True, "Marker": "m"}, {"AccessKeyMetadata": [{"AccessKeyId": "k2", "Status": "Inactive"}, {"AccessKeyId": "k3", "Status": "New"}]}]
-
-        def get_user(self):
-            return {"User": {"UserName": "u"}}
-
-        def list_access_keys(self, UserName, Marker=None):  # noqa: N803
-            return self.pages[1 if Marker else 0]
-
-    out = io.StringIO()
-    assert [guards.check_key(Identity(), k, out) for k in ("k1", "k2", "k3", "k4")] == [1, 0, 1, 0]
-    assert guards.check_key(object(), "k", out) == 71 and out.getvalue().count("PASS") == 2
