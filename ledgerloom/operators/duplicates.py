@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.columns import expired, live, parse_iso, source_rank, to_millis, valid_hash, valid_size
+from .running import running_before
 
 
 def split_valid(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,32 +28,41 @@ def duplicate_groups(catalog: DataFrame) -> DataFrame:
     return out.where("copies >= 2").withColumn("total_bytes", F.col("size_bytes") * F.col("copies"))
 
 
-def _order(priority: Sequence[str], millis: bool = True) -> list[Column]:
+_PLACE = ("__rank", "__seen", "__key", "__source")
+
+
+def _placed(rows: DataFrame, priority: Sequence[str], millis: bool = True) -> DataFrame:
+    """Columns whose ascending order is that of canonical choice: place in the priority list, time last seen, key, source; what is missing comes last."""
     ts = parse_iso(F.col("last_seen_at"))
-    ts = to_millis(ts) if millis else ts
-    return [source_rank(F.col("source"), priority).asc_nulls_last(), ts.asc_nulls_last(), F.col("key").asc(), F.col("source").asc()]
+    ts = F.unix_micros(to_millis(ts) if millis else ts)
+    last = F.lit(2**63 - 1)
+    values = (F.coalesce(source_rank(F.col("source"), priority).cast("long"), last), F.coalesce(ts, last), F.col("key"), F.col("source"))
+    return rows.withColumns(dict(zip(_PLACE, values, strict=True)))
 
 
-def canonical_members(catalog: DataFrame, priority: Sequence[str] = ()) -> DataFrame:
-    """Members of duplicate groups with rn (1: canonical), copies and priority_warning.
+def duplicate_members(catalog: DataFrame, priority: Sequence[str] = ()) -> DataFrame:
+    """Members of duplicate groups with copies, canonical and priority_warning.
 
     Canonical is the first listed source's, then the earliest seen to the millisecond, then
-    the smallest key. Dealt by hash alone, so that windows over hash and size and later ones
-    over the hash share one shuffle.
+    the smallest key; rows are told apart by (source, key). A group's facts are aggregates,
+    which combine before they are shuffled, and join back, so no task sorts a group.
     """
     rows, _ = split_valid(catalog)
-    rows = rows.repartition("content_hash")
-    group = W.partitionBy("content_hash", "size_bytes")
-    rows = rows.withColumn("copies", F.count("*").over(group)).where("copies >= 2")
-    return (
-        rows.withColumn("rn", F.row_number().over(group.orderBy(*_order(priority))))
-        .withColumn("priority_warning", F.max(source_rank(F.col("source"), priority)).over(group).isNull())
-    )
+    rows = _placed(rows, priority)
+    facts = rows.groupBy("content_hash", "size_bytes").agg(F.count("*").alias("copies"), F.min(F.struct(*_PLACE)).alias("__first"), F.max(source_rank(F.col("source"), priority)).isNull().alias("priority_warning"))
+    rows = rows.join(facts.where("copies >= 2"), ["content_hash", "size_bytes"])
+    return rows.withColumn("canonical", F.struct(*_PLACE) == F.col("__first")).drop("__first")
+
+
+def canonical_members(catalog: DataFrame, priority: Sequence[str] = ()) -> DataFrame:
+    """``duplicate_members`` with rn, the place in the group (1: canonical)."""
+    rows = running_before(duplicate_members(catalog, priority), ("content_hash", "size_bytes"), _PLACE, F.lit(1), "rn", catalog.count())
+    return rows.withColumn("rn", (F.col("rn") + 1).cast("int")).drop(*_PLACE)
 
 
 def removal_plan(catalog: DataFrame, priority: Sequence[str] = ()) -> DataFrame:
     """Members that aren't canonical."""
-    return canonical_members(catalog, priority).where("rn > 1")
+    return duplicate_members(catalog, priority).where(~F.col("canonical")).drop(*_PLACE)
 
 
 def live_copies(catalog: DataFrame, scope: DataFrame | None = None) -> DataFrame:
@@ -72,9 +81,8 @@ def quarantine_decisions(catalog: DataFrame, priority: Sequence[str] = (), writa
     if dry_run:
         return rows.withColumns({"action": F.lit("quarantine"), "result": F.lit("planned")})
     eligible = F.col("source").isin(*writable) if writable else F.lit(False)
-    w = W.partitionBy("content_hash").orderBy("size_bytes", "source", "key").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.join(live_copies(catalog), "content_hash").withColumn("eligible", eligible)
-    rows = rows.withColumn("used", F.coalesce(F.sum(F.col("eligible").cast("int")).over(w), F.lit(0)))
+    rows = running_before(rows, ("content_hash",), ("size_bytes", "source", "key"), F.col("eligible").cast("int"), "used", catalog.count())
     guarded = F.col("used") >= F.greatest(F.col("live") - 1, F.lit(0))
     return rows.select(
         "source", "key", "content_hash", "size_bytes",

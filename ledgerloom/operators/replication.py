@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import live, renamed_key
-from .duplicates import _order
+from .duplicates import _PLACE, _placed
 
 
 def source_pairs(names: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
@@ -24,8 +24,10 @@ def replication_plan(catalog: DataFrame, names: Sequence[str], pairs: Sequence[t
     one anti join on (dst, hash) follows.
     """
     rows = catalog.where(live() & F.col("source").isin(*names))
-    w = W.partitionBy("source", "content_hash").orderBy(*_order((), millis=False)[1:])
-    best = rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    # The least row by an aggregate, which combines before the shuffle: a hash with very many copies is one row a task.
+    kept = [c for c in rows.columns if c not in ("source", "content_hash")]
+    least = F.min_by(F.struct(*kept), F.struct(*_PLACE[1:3])).alias("x")
+    best = _placed(rows, (), millis=False).groupBy("source", "content_hash").agg(least).select("source", "content_hash", "x.*")
     held = best.select(F.col("source").alias("dst"), "content_hash")
     to: dict[str, list[str]] = {}
     for a, b in source_pairs(names, pairs):

@@ -8,17 +8,20 @@ carrying them out again after a failure does the same.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import valid_hash
 from ..operators import deletion, drift, importing, replication, report
 from ..operators import duplicates as D
 from ..operators.catalog import resolve_hashes
 from ..operators.ledger import ledger_rows
+from ..operators.running import dealt_by_weight
 from ..schema import CATALOG
 from ..sources.listing import store_listing
 from ..sources.stores import FolderStore, Store, streamed_sha256
@@ -121,7 +124,7 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         return Outcome(Exit.COLD_START_LISTING_FAILED, run_id, rows, none, nothing, "", drift.drift_events(nothing, sources_of(spark, settings).selectExpr("source", "0L AS new", "0L AS removed")))
     # A store that couldn't be listed to its end is as the last run knew it, not empty.
     listed = found.where("list_error IS NULL").drop("list_error").where(~F.col("source").isin(*unlisted))
-    tried = kept(resolve_hashes(listed, before, _store_hashes(factory, settings.retries)), "hashed")
+    tried = kept(resolve_hashes(listed, before, _store_hashes(factory, settings.retries, kept)), "hashed")
     hashed = tried.where("content_hash IS NOT NULL")
     # An object that couldn't be read is as the last run knew it, not gone.
     unread = tried.where("content_hash IS NULL").select("source", "key", "hash_error")
@@ -199,7 +202,7 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         rows = rows.unionByName(more)
     rows = kept(rows, "ledger")
     if destructive:
-        left = resolve_hashes(after, catalog, _store_hashes(factory, settings.retries))
+        left = kept(resolve_hashes(after, catalog, _store_hashes(factory, settings.retries, kept)), "hashed-after")
         known = before.join(left.where("content_hash IS NULL"), ["source", "key"], "left_semi").select(*CATALOG.names)
         known = known.union(catalog.where(F.col("source").isin(*unlisted)).select(*CATALOG.names))
         _catalog(left.where("content_hash IS NOT NULL"), now).unionByName(known).write.mode("overwrite").parquet(f"{pointer}.new")
@@ -215,23 +218,39 @@ def sources_of(spark: SparkSession, settings: Settings) -> DataFrame:
     return spark.createDataFrame([(s.name, s.kind) for s in settings.sources], "source string, kind string")
 
 
-def _store_hashes(factory: Callable[[], dict[str, Store]], retries: RetrySettings) -> Callable[[DataFrame], DataFrame]:
-    """Adds content_hash and hash_error to rows, streaming each object in chunks; contents never leave the reader."""
+#: What opening an object costs, in bytes that could be read meanwhile; and bytes that a task reads, more or less.
+OPENING, TASK_BYTES = 1 << 18, 1 << 30
+
+
+def _store_hashes(factory: Callable[[], dict[str, Store]], retries: RetrySettings, kept: Callable[[DataFrame, str], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Adds content_hash and hash_error to rows, streaming each object in chunks; contents never leave the reader.
+
+    Objects are dealt to tasks by their bytes, not by their rows: a large one alone, small ones together.
+    """
 
     def hashes(rows: DataFrame) -> DataFrame:
+        rows = kept(rows, "to-hash") if kept else rows  # read more than once
+        spark = rows.sparkSession
+        load = F.greatest(F.coalesce("size_bytes", F.lit(0)), F.lit(0)) + OPENING if "size_bytes" in rows.columns else F.lit(OPENING)
+        total = rows.agg(F.sum(load)).first()[0] or 0
+        tasks = min(max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)), 50_000)
+        names = rows.columns
+        schema = T.StructType([*rows.schema, T.StructField("content_hash", T.StringType()), T.StructField("hash_error", T.StringType())])
+
         def one(stores: dict[str, Store], source: str, key: str) -> tuple[str | None, str | None]:
             try:
                 return retried(lambda: streamed_sha256(stores[source].read(key)), retries), None
             except Exception as e:  # noqa: BLE001  any failure is a row of the ledger
                 return None, f"{type(e).__name__}: {e}"
 
-        def run(parts):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stores = factory()
-            for part in parts:
-                found = [one(stores, s, k) for s, k in zip(part["source"], part["key"], strict=True)]
-                yield part[["source", "key"]].assign(content_hash=[h for h, _ in found], hash_error=[e for _, e in found])
+            for batch in batches:
+                at = {n: batch.column(i) for i, n in enumerate(names)}
+                found = [one(stores, s, k) for s, k in zip(at["source"].to_pylist(), at["key"].to_pylist(), strict=True)]
+                told = [pa.array([x[i] for x in found], pa.string()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*names, "content_hash", "hash_error"])
 
-        told = rows.select("source", "key").mapInPandas(run, "source string, key string, content_hash string, hash_error string")
-        return rows.join(told, ["source", "key"])
+        return dealt_by_weight(rows, load, ["source", "key"], tasks).mapInArrow(run, schema)
 
     return hashes

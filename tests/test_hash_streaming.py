@@ -37,3 +37,28 @@ def test_rows_without_content_stay(spark):
     contents = spark.createDataFrame([("a", "k", bytearray(b"z"))], "source string, key string, content binary")
     got = {r.key: (r.content_hash, r.hash_error) for r in resolve_hashes(listing, spark.createDataFrame([], CATALOG), contents).collect()}
     assert got == {"k": (hashlib.sha256(b"z").hexdigest(), None), "m": (None, "no content")}
+
+
+def test_objects_are_dealt_by_bytes_and_rows_are_computed_once(spark, tmp_path):
+    store = FolderStore(str(tmp_path / "a"))
+    sizes = {f"k{k:03d}": 1000 + k for k in range(300)} | {"huge": 60_000_000}
+    for k, n in sizes.items():
+        store.write(k, iter([b"x" * n]), {})
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("a", k, n, {"m": "1"}) for k, n in sizes.items()], "source string, key string, size_bytes long, user_metadata map<string,string>")
+    written = lambda df, name: df.write.parquet(str(tmp_path / name)) or spark.read.parquet(str(tmp_path / name))
+    hashes = _store_hashes(lambda: {"a": FolderStore(str(tmp_path / "a"))}, RetrySettings(), written)
+    out = hashes(rows.mapInArrow(counted, rows.schema))
+    got = out.withColumn("p", F.spark_partition_id()).collect()
+    assert seen.value == len(sizes)
+    assert {r.key: r.content_hash for r in got} == {k: hashlib.sha256(b"x" * n).hexdigest() for k, n in sizes.items()} and all(r.user_metadata == {"m": "1"} for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.p, []).append(r.key)
+    assert by[next(r.p for r in got if r.key == "huge")] == ["huge"] and max(len(v) for v in by.values()) <= 300 / spark.sparkContext.defaultParallelism + 1
