@@ -8,12 +8,54 @@ from pyspark.sql import functions as F
 from ..functions.redaction import redact_map, redact_text
 
 
+def payload(**values: Column) -> Column:
+    """A map of those values that aren't null."""
+    entries = F.array(*(F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in values.items()))
+    return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
+
+
+def protected(decisions: DataFrame, intended: str) -> DataFrame:
+    """Decisions about removals with their payload: a kept last copy names what was meant for it, a tombstone the object it follows."""
+    have = set(decisions.columns)
+    trigger = lambda c: F.when((F.col("action") == "tombstone") & (F.col("result") == "success"), F.col(c)) if c in have else F.lit(None)
+    extra = payload(intended_action=F.when(F.col("action") == "last-copy-protection", intended), triggering_source=trigger("triggering_source"), triggering_key=trigger("triggering_key"))
+    return decisions.withColumn("extra", extra)
+
+
+def import_decisions(plan: DataFrame, source: str, destination: str) -> DataFrame:
+    """All that the ledger says of an import plan: skipped and imported files, and a warning for each one that comes in without a sound time of creation."""
+    meta = lambda k: F.try_element_at("user_metadata", F.lit(k))
+    action = F.col("action")
+    unread = action.isin("drive-skip-native-doc", "drive-skip-unsupported")
+    coming = action == "drive-import-success"
+    told = {"drive_file_id": F.coalesce(F.nullif(meta("drive_file_id"), F.lit("")), F.col("key")), "drive_path": meta("drive_path")}
+    size = F.col("size_bytes") if "size_bytes" in plan.columns else F.lit(None).cast("bigint")
+    rows = plan.select(
+        "action", F.when(coming, "success").otherwise("skipped").alias("result"), F.lit(source).alias("source"), F.when(coming, destination).alias("target"), "key",
+        F.when(~unread, F.col("content_hash")).alias("content_hash"), size.alias("size_bytes"), F.when(coming, F.col("destination_key")).alias("done_key"),
+        payload(**told, mime_type=F.when(unread, F.coalesce("content_type", F.lit("")))).alias("extra"),
+    )
+    warned = plan.where(coming & F.col("time_warning")).select(
+        F.lit("drive-warning-missing-created-time").alias("action"), F.lit("skipped").alias("result"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("target"), "key",
+        "content_hash", size.alias("size_bytes"), F.lit(None).cast("string").alias("done_key"), payload(**told, createdTime=F.coalesce(meta("createdTime"), F.lit(""))).alias("extra"),
+    )
+    return rows.unionByName(warned)
+
+
+def rehashed(hashed: DataFrame, before: DataFrame) -> DataFrame:
+    """``hash-recomputed`` rows: objects read again whose hash isn't what the last catalog says."""
+    old = before.select("source", "key", F.col("content_hash").alias("old"))
+    rows = hashed.where("hash_from = 'content'").join(old, ["source", "key"]).where(F.col("content_hash") != F.col("old"))
+    return rows.select(F.lit("hash-recomputed").alias("action"), F.lit("success").alias("result"), "source", "key", "content_hash", "size_bytes", payload(previous_content_hash=F.col("old")).alias("extra"))
+
+
 def ledger_rows(decisions: DataFrame, *, run_id: str, timestamp: str, extra: Column | None = None, redact: bool = True) -> DataFrame:
     """Decisions as ledger rows; columns that they lack are null. ``extra``: a map of strings."""
     have = set(decisions.columns)
     text = lambda c: (F.col(c) if c in have else F.lit(None)).cast("string")
     error = text("error")
-    more = extra if extra is not None else F.create_map().cast("map<string,string>")
+    more = extra if extra is not None else F.col("extra") if "extra" in have else F.create_map().cast("map<string,string>")
+    more = F.coalesce(more, F.create_map().cast("map<string,string>"))
     more = F.map_filter(more, lambda k, v: v.isNotNull())
     size = (F.col("size_bytes") if "size_bytes" in have else F.lit(None)).cast("bigint")
     return decisions.select(

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import live, renamed_key
 from .duplicates import _PLACE, _placed
+from .ledger import payload
 
 
 def source_pairs(names: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
@@ -52,21 +54,69 @@ def loop_guard(plan: DataFrame) -> DataFrame:
 
 
 def _resolve(rows: DataFrame, key: str, first: str) -> DataFrame:
-    """action by the rule that keeps what is there; rows carry dst_exists and dst_hash for ``key``."""
+    """action and observed_content_hash by the rule that keeps what is there; rows carry dst_exists and dst_hash for ``key``.
+
+    A store has one object under a key, so at most one row of each source meets here."""
     w = W.partitionBy("dst", key).orderBy("src", "content_hash")
     there = F.when(F.col("dst_exists"), F.col("dst_hash")).otherwise(F.first("content_hash").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    same = F.coalesce(F.col("content_hash") == there, F.lit(False))
-    fresh = (F.row_number().over(w) == 1) & ~F.col("dst_exists")
-    return rows.withColumn("action", F.when(fresh, first).when(same, "replicate-skip-existing").otherwise("key-conflict"))
+    rows = rows.withColumns({"__there": there, "__fresh": (F.row_number().over(w) == 1) & ~F.col("dst_exists")})
+    same = F.coalesce(F.col("content_hash") == F.col("__there"), F.lit(False))
+    rows = rows.withColumn("action", F.when(F.col("__fresh"), first).when(same, "replicate-skip-existing").otherwise("key-conflict"))
+    return rows.withColumn("observed_content_hash", F.when(F.col("action") == "key-conflict", F.col("__there"))).drop("__there", "__fresh")
+
+
+_SUFFIX = r"([.][0-9a-f]{8})+\z"
+_OUT = ("src", "dst", "key", "content_hash", "action", "previous_content_hash", "renamed_key", "observed_content_hash")
+
+
+def _renamed(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """Conflicts under new names, for rows none of whose names is another's: two passes of the plain rule."""
+    none = F.lit(None).cast("string")
+    rows = _resolve(rows, "key", "replicate")
+    settled = rows.where("action <> 'key-conflict'").withColumn("renamed_key", none)
+    again = rows.where("action = 'key-conflict'").withColumn("renamed_key", renamed_key(F.col("key"), F.col("content_hash"))).drop("dst_exists", "dst_hash", "action")
+    taken = objects.select(F.col("source").alias("dst"), F.col("key").alias("renamed_key"), F.col("content_hash").alias("dst_hash"), F.lit(True).alias("dst_exists"))
+    again = again.join(taken, ["dst", "renamed_key"], "left").withColumn("dst_exists", F.coalesce("dst_exists", F.lit(False)))
+    return settled.select(*_OUT).unionByName(_resolve(again, "renamed_key", "rename").select(*_OUT))
+
+
+def _chained(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """The same for rows whose own key may be the new name of another: one after the other, in the order of (src, hash),
+    inside a destination's keys of one stem."""
+    taken = objects.select(F.col("source").alias("dst"), F.col("key").alias("__new"), F.col("content_hash").alias("__new_hash"), F.lit(True).alias("__new_exists"))
+    rows = rows.withColumn("__new", renamed_key(F.col("key"), F.col("content_hash"))).join(taken, ["dst", "__new"], "left")
+    rows = rows.select("src", "dst", "key", "content_hash", "dst_exists", "dst_hash", "__new", F.coalesce("__new_exists", F.lit(False)).alias("__new_exists"), "__new_hash", "__stem")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, str | None] = {}
+        for r in pdf.itertuples(index=False):
+            x = r._asdict() if hasattr(r, "_asdict") else dict(zip(pdf.columns, r, strict=True))
+            if x["dst_exists"]:
+                held[x["key"]] = x["dst_hash"]
+        for new, there, value in zip(pdf["__new"], pdf["__new_exists"], pdf["__new_hash"], strict=True):
+            if there:
+                held[new] = value
+        out = []
+        for src, dst, key, value, new in pdf.sort_values(["src", "content_hash"])[["src", "dst", "key", "content_hash", "__new"]].itertuples(index=False):
+            place, renamed, first = key, None, "replicate"
+            if key in held and held[key] != value:
+                place, renamed, first = new, new, "rename"
+            action = first if place not in held else "replicate-skip-existing" if held[place] == value else "key-conflict"
+            out.append((src, dst, key, value, action, None, renamed, held[place] if action == "key-conflict" else None))
+            held.setdefault(place, value)
+        return pd.DataFrame(out, columns=list(_OUT))
+
+    return rows.groupBy("dst", "__stem").applyInPandas(settle, ", ".join(f"{c} string" for c in _OUT))
 
 
 def resolve_conflicts(plan: DataFrame, objects: DataFrame, policy: str = "skip", allow_destructive: bool = True) -> DataFrame:
-    """src, dst, key, content_hash, action, previous_content_hash, renamed_key for each row that the loop guard lets through.
+    """src, dst, key, content_hash, action, previous_content_hash, renamed_key, observed_content_hash for each row that the
+    loop guard lets through.
 
     Rows for one destination key are settled in the order of (src, hash), by windows instead
-    of a running state.
+    of a running state. Under ``rename``, a row's key can be what another row would be renamed to; only such rows, found by
+    the stem of their keys, are settled one after the other.
     """
-    out = ("src", "dst", "key", "content_hash", "action", "previous_content_hash", "renamed_key")
     none = F.lit(None).cast("string")
     rows = with_destination(loop_guard(plan).where("guard IS NULL OR guard <> 'loop-skip'"), objects)
     if policy == "overwrite":
@@ -76,14 +126,38 @@ def resolve_conflicts(plan: DataFrame, objects: DataFrame, policy: str = "skip",
         rows = rows.withColumn("previous_content_hash", before).withColumn("first", first)
         action = F.when(F.col("first") & ~F.col("dst_exists"), "replicate").when(F.coalesce(F.col("content_hash") == F.col("previous_content_hash"), F.lit(False)), "replicate-skip-existing")
         rows = rows.withColumn("action", action.otherwise("overwrite" if allow_destructive else "key-conflict")).withColumn("renamed_key", none)
-        return rows.withColumn("previous_content_hash", F.when(F.col("action") == "overwrite", F.col("previous_content_hash"))).select(*out)
-    rows = _resolve(rows, "key", "replicate").withColumns({"previous_content_hash": none, "renamed_key": none})
+        rows = rows.withColumn("observed_content_hash", F.when(F.col("action") == "key-conflict", F.col("previous_content_hash")))
+        return rows.withColumn("previous_content_hash", F.when(F.col("action") == "overwrite", F.col("previous_content_hash"))).select(*_OUT)
+    rows = rows.withColumns({"previous_content_hash": none, "renamed_key": none})
     if policy == "skip":
-        return rows.select(*out)
-    settled = rows.where("action <> 'key-conflict'")
-    written = settled.where("action = 'replicate'").select(F.col("dst").alias("source"), "key", "content_hash")
-    taken = objects.select("source", "key", "content_hash").unionByName(written)
-    again = rows.where("action = 'key-conflict'").withColumn("renamed_key", renamed_key(F.col("key"), F.col("content_hash"))).drop("dst_exists", "dst_hash", "action")
-    taken = taken.select(F.col("source").alias("dst"), F.col("key").alias("renamed_key"), F.col("content_hash").alias("dst_hash"), F.lit(True).alias("dst_exists"))
-    again = again.join(taken, ["dst", "renamed_key"], "left").withColumn("dst_exists", F.coalesce("dst_exists", F.lit(False)))
-    return settled.select(*out).unionByName(_resolve(again, "renamed_key", "rename").select(*out))
+        return _resolve(rows, "key", "replicate").select(*_OUT)
+    rows = rows.withColumn("__stem", F.regexp_replace("key", _SUFFIX, ""))
+    mixed = rows.groupBy("dst", "__stem").agg(F.count("*").alias("n"), F.max(F.col("key") != F.col("__stem")).alias("longer")).where("n > 1 AND longer").select("dst", "__stem", F.lit(True).alias("__mixed"))
+    rows = rows.join(mixed, ["dst", "__stem"], "left")
+    plain = rows.where("__mixed IS NULL").drop("__mixed", "__stem")
+    return _renamed(plain, objects).unionByName(_chained(rows.where("__mixed"), objects))
+
+
+def replication_decisions(plan: DataFrame, objects: DataFrame, policy: str = "skip", allow_destructive: bool = True) -> DataFrame:
+    """All that the ledger says of a plan, with its payload: action, result, source, target, key, content_hash, size_bytes, done_key, extra.
+
+    Rows that the loop guard stops are ``loop-skip``; an object without origin gets a ``source-tagged`` row besides its own.
+    """
+    sizes = plan.select("src", "dst", "content_hash", "size_bytes")
+    decided = resolve_conflicts(plan, objects, policy, allow_destructive).join(sizes, ["src", "dst", "content_hash"])
+    action, conflict = F.col("action"), F.col("action") == "key-conflict"
+    done = decided.select(
+        "action", F.when(action.isin("replicate", "rename", "overwrite"), "success").otherwise("skipped").alias("result"), F.col("src").alias("source"), F.col("dst").alias("target"),
+        "key", "content_hash", "size_bytes", F.coalesce("renamed_key", "key").alias("done_key"),
+        payload(
+            original_key=F.when(action == "rename", F.col("key")), renamed_key=F.col("renamed_key"), previous_content_hash=F.col("previous_content_hash"),
+            expected_content_hash=F.when(conflict, F.col("content_hash")), observed_content_hash=F.when(conflict, F.coalesce("observed_content_hash", F.lit(""))),
+        ).alias("extra"),
+    )
+    guarded = loop_guard(plan).where("guard IS NOT NULL")
+    tagged = F.col("guard") == "source-tagged"
+    guarded = guarded.select(
+        F.col("guard").alias("action"), F.when(tagged, "success").otherwise("skipped").alias("result"), F.col("src").alias("source"), F.col("dst").alias("target"),
+        "key", "content_hash", "size_bytes", F.col("key").alias("done_key"), payload(origin=F.when(tagged, F.col("src"))).alias("extra"),
+    )
+    return done.unionByName(guarded)

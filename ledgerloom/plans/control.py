@@ -82,6 +82,7 @@ class RetrySettings:
 class RuntimeSettings:
     folder: str = "./catalog"
     max_concurrent_transfers: int = 4
+    keep_runs: int = 5  # of these last runs the intermediate tables stay
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,7 @@ class Settings:
         return [s.name for s in self.sources if s.kind in REPLICATED_KINDS]
 
 
-_RANGES = {"tombstone_retention_days": (1, 3650), "quarantine_retention_days": (1, 3650), "max_retries": (1, 10), "initial_backoff_ms": (100, 10_000), "max_backoff_ms": (1000, 300_000), "max_concurrent_transfers": (1, 64)}
+_RANGES = {"tombstone_retention_days": (1, 3650), "quarantine_retention_days": (1, 3650), "max_retries": (1, 10), "initial_backoff_ms": (100, 10_000), "max_backoff_ms": (1000, 300_000), "max_concurrent_transfers": (1, 64), "keep_runs": (1, 1000)}
 _CHOICES = {"kind": SOURCE_KINDS, "on_key_conflict": ("skip", "rename", "overwrite"), "delete_propagation": ("none", "soft", "hard")}
 MAX_BYTES = 1 << 20
 

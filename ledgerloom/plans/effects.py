@@ -1,23 +1,37 @@
 """Decisions carried out on stores, in one thin layer.
 
-Every effect is idempotent: a task that Spark runs again finds its work done. A copy is
-verified by size and announced hash, and removed again if it differs. A failure makes an
-error row; it never stops the run. Transfers run side by side as partitions do.
+Every effect is idempotent, and with a journal each one is written down as soon as it is
+done, so a task that Spark runs again finds its work done and told. A copy is verified by size and
+announced hash, and removed again if it differs. A failure makes an error row; it never
+stops the run. Effects are dealt to as many tasks as may run side by side, by their bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.running import dealt_by_weight
+from ..schema import OUTCOME
 from ..sources.stores import Store
-from .control import RetrySettings, retried
+from .control import RetriesExhausted, RetrySettings, retried
+from .journal import Journal
 
 HASH, ORIGIN, QUARANTINED, TOMBSTONED, WHEN = "content-sha256", "origin", "quarantined-at", "tombstoned-at", "replicated-at"
-OUT = "action string, result string, source string, target string, key string, content_hash string, size_bytes bigint, error string, done_key string"
+_ARROW = [pa.map_(pa.string(), pa.string()) if isinstance(f.dataType, T.MapType) else pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in OUTCOME]
+
+
+class Differs(OSError):
+    """A copy that isn't what was announced."""
+
+    def __init__(self, key: str, observed: str | None):
+        super().__init__(f"verification failed: {key}")
+        self.observed = observed
 
 
 def _copy(row, stores: dict[str, Store], now: str) -> None:
@@ -33,7 +47,7 @@ def _copy(row, stores: dict[str, Store], now: str) -> None:
     there = dst.head(key)
     if there is None or there["size_bytes"] != head["size_bytes"] or there["user_metadata"].get(HASH) != row.content_hash:
         dst.delete(key)
-        raise OSError(f"verification failed: {key}")
+        raise Differs(key, there["user_metadata"].get(HASH) if there else None)
 
 
 def _do(row, stores: dict[str, Store], now: str) -> None:
@@ -50,24 +64,57 @@ def _do(row, stores: dict[str, Store], now: str) -> None:
 _FAILED = {"drive-import-success": "drive-download-error", "replicate": "replication-error", "rename": "replication-error", "overwrite": "replication-error"}
 
 
-def carry_out(decisions: DataFrame, factory: Callable[[], dict[str, Store]], now: str, retries: RetrySettings = RetrySettings(), transfers: int = 4) -> DataFrame:
-    """The decisions (action, result, source, target, key, content_hash, size_bytes, done_key) with what came of them."""
+_TOUCHES = ("replicate", "rename", "overwrite", "drive-import-success", "quarantine", "tombstone", "physical-delete")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stores = factory()
-        for pdf in parts:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                action, result, error = row.action, row.result, row.error
-                try:
-                    retried(lambda r=row: _do(r, stores, now), retries)
-                except Exception as e:  # noqa: BLE001  any failure is a row of the ledger
-                    action, result, error = _FAILED.get(action, action), "error", f"{type(e).__name__}: {e}"
-                rows.append(row._replace(action=action, result=result, error=error))
-            yield pd.DataFrame(rows, columns=pdf.columns)
 
-    names = [f.split()[0] for f in OUT.split(", ")]
+def shaped(decisions: DataFrame) -> DataFrame:
+    """Decisions with all columns of OUTCOME; those that they lack are null, and an object keeps its key."""
     have = set(decisions.columns)
-    shaped = decisions.select(*((F.col(n) if n in have else F.lit(None).cast("string")).alias(n) for n in names)).withColumn("size_bytes", F.col("size_bytes").cast("bigint"))
-    shaped = shaped.withColumn("done_key", F.coalesce("done_key", "key"))
-    return shaped.repartition(transfers).mapInPandas(run, OUT)
+    out = decisions.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in OUTCOME))
+    return out.withColumn("done_key", F.coalesce("done_key", "key"))
+
+
+def carry_out(
+    decisions: DataFrame, factory: Callable[[], dict[str, Store]], now: str, retries: RetrySettings = RetrySettings(), transfers: int = 4, *, journal: str | None = None, told: dict[str, str] | None = None
+) -> DataFrame:
+    """The decisions (OUTCOME's columns) with what came of them; those that fail keep their payload, and one that ran out
+    of attempts has a ``retries-exhausted`` row more. ``journal``: a folder for outcomes, with what ``told`` adds to each."""
+    names = OUTCOME.names
+
+    def outcome(row: dict, stores: dict[str, Store]) -> list[dict]:
+        try:
+            retried(lambda: _do(SimpleNamespace(**row), stores, now), retries)
+            return [row]
+        except Exception as e:  # noqa: BLE001  any failure is a row of the ledger
+            error, extra = f"{type(e).__name__}: {e}", dict(row["extra"] or {})
+            action = _FAILED.get(row["action"], row["action"])
+            if action == "replication-error":
+                extra |= {"expected_content_hash": row["content_hash"] or "", "observed_content_hash": getattr(e, "observed", None) or ""}
+            out = [row | {"action": action, "result": "error", "error": error, "extra": extra, "size_bytes": None if action == "replication-error" else row["size_bytes"]}]
+            if isinstance(e, RetriesExhausted):
+                out.append(row | {"action": "retries-exhausted", "result": "error", "error": error, "extra": {"intended_action": row["action"]}})
+            return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores, notes = factory(), Journal(journal) if journal else None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist(maps_as_pydicts="lossy"):
+                effect = row.pop("__effect")
+                if row["action"] not in _TOUCHES or row["result"] in ("error", "skipped"):
+                    out.append(row)
+                    continue
+                done = notes.get(effect) if notes else None
+                if done is None:
+                    done = outcome(row, stores)
+                    if notes:
+                        notes.put(effect, [r | (told or {}) for r in done])
+                out += done
+            cols = [[list(r[n].items()) if isinstance(r[n], dict) else r[n] for r in out] for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ARROW, strict=True)], names=names)
+
+    rows = shaped(decisions)
+    rows = rows.withColumn("__effect", F.sha2(F.to_json(F.struct("action", "source", "target", "key", "content_hash", "done_key"), {"ignoreNullFields": "false"}), 256))
+    copied = F.col("action").isin(*_FAILED)
+    load = F.when(copied, F.greatest(F.coalesce("size_bytes", F.lit(0)), F.lit(0))).otherwise(0) + (1 << 18)
+    return dealt_by_weight(rows, load, ["__effect"], transfers).mapInArrow(run, OUTCOME)

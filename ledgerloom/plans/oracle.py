@@ -198,5 +198,41 @@ SQL |= {
 }
 
 
+_ROWS_OF = "SELECT action, result, source, target, key, content_hash, size_bytes, extra FROM"
+_KEPT_LAST = "CASE WHEN action = 'last-copy-protection' THEN 'intended_action={}' ELSE '' END AS extra"
+_GUARDED = f"""SELECT CASE WHEN coalesce(origin, '') = '' THEN 'source-tagged' ELSE 'loop-skip' END AS action, CASE WHEN coalesce(origin, '') = '' THEN 'success' ELSE 'skipped' END AS result,
+      src AS source, dst AS target, key, content_hash, size_bytes, CASE WHEN coalesce(origin, '') = '' THEN 'origin=' || src ELSE '' END AS extra FROM ({_ROWS.split(", rows_ AS")[0]} SELECT * FROM plan) WHERE coalesce(origin, '') IN ('', dst)"""
+
+
+def _copies(policy: str, observed: str, extra: str) -> str:
+    """Decisions about copies with what is there at the place in question (``seen``: dst, key, hash of objects and of what was written before)."""
+    return f"""SELECT d.action, CASE WHEN d.action IN ('replicate', 'rename', 'overwrite') THEN 'success' ELSE 'skipped' END AS result, d.src AS source, d.dst AS target, d.key, d.content_hash,
+      s.size_bytes, {extra} AS extra FROM ({SQL[f"conflict_{policy}"]}) d JOIN ({_W} SELECT DISTINCT content_hash, size_bytes FROM cat20) s USING (content_hash) {observed}"""
+
+
+# Where a new name is taken, the conflict names the hash under it: an object's, or that of the first row to come there.
+_HELD = f"""LEFT JOIN ({_W} SELECT source AS dst, key AS place, content_hash AS held FROM cat20) o ON o.dst = d.dst AND o.place = coalesce(d.renamed_key, d.key)
+      LEFT JOIN (SELECT dst, coalesce(renamed_key, key) AS place, min(struct_pack(s := src, h := content_hash)).h AS came FROM ({SQL["conflict_rename"]}) WHERE action IN ('replicate', 'rename') GROUP BY ALL) f
+        ON f.dst = d.dst AND f.place = coalesce(d.renamed_key, d.key)"""
+_RENAME_EXTRA = """CASE d.action WHEN 'rename' THEN 'original_key=' || d.key || ',renamed_key=' || d.renamed_key WHEN 'replicate-skip-existing' THEN coalesce('renamed_key=' || d.renamed_key, '')
+      WHEN 'key-conflict' THEN 'expected_content_hash=' || d.content_hash || ',observed_content_hash=' || coalesce(held, came, '') || coalesce(',renamed_key=' || d.renamed_key, '') ELSE '' END"""
+_PATH = "'drive_file_id=' || f.key || ',drive_path=' || f.key"
+SQL["ledger_payloads"] = f"""
+{_ROWS_OF} (SELECT *, NULL AS target, {_KEPT_LAST.format("quarantine")} FROM ({SQL["quarantine_decisions"]}))
+UNION ALL {_ROWS_OF} (SELECT *, NULL AS target, {_KEPT_LAST.format("physical-delete")} FROM ({SQL["tombstone_deletes"]}))
+UNION ALL {_ROWS_OF} (SELECT *, NULL AS target, NULL AS size_bytes, CASE WHEN action = 'last-copy-protection' THEN 'intended_action=tombstone'
+      WHEN result = 'success' THEN 'triggering_key=' || triggering_key || ',triggering_source=' || triggering_source ELSE '' END AS extra FROM ({SQL["tombstone_propagation"]}))
+UNION ALL {_ROWS_OF} (SELECT action, CASE WHEN action = 'drive-import-success' THEN 'success' ELSE 'skipped' END AS result, 'drive-folder' AS source, CASE WHEN action = 'drive-import-success' THEN 's3-prod' END AS target,
+      f.key, CASE WHEN action IN ('drive-import-success', 'drive-skip-existing') THEN f.content_hash END AS content_hash, NULL AS size_bytes,
+      {_PATH} || CASE WHEN action IN ('drive-skip-native-doc', 'drive-skip-unsupported') THEN ',mime_type=' || coalesce(f.content_type, '') ELSE '' END AS extra
+      FROM ({SQL["import_plan"]}) p JOIN ({_W} SELECT * FROM cat4 WHERE source = 'drive-folder') f USING (key))
+UNION ALL {_ROWS_OF} (SELECT 'drive-warning-missing-created-time' AS action, 'skipped' AS result, 'drive-folder' AS source, NULL AS target, f.key, f.content_hash, NULL AS size_bytes,
+      'createdTime=not-a-date,' || {_PATH} AS extra FROM ({SQL["import_plan"]}) p JOIN ({_W} SELECT * FROM cat4 WHERE source = 'drive-folder') f USING (key) WHERE action = 'drive-import-success' AND time_warning)
+UNION ALL {_ROWS_OF} ({_copies("rename", _HELD, _RENAME_EXTRA)})
+UNION ALL {_ROWS_OF} ({_copies("overwrite", "", "CASE WHEN d.action = 'overwrite' THEN coalesce('previous_content_hash=' || d.previous_content_hash, '') ELSE '' END")})
+UNION ALL {_ROWS_OF} ({_GUARDED}) UNION ALL {_ROWS_OF} ({_GUARDED})
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

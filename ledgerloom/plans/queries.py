@@ -110,7 +110,8 @@ def source_tagging(s, d):
 def _conflicts(policy: str) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
         c = V.catalog20(s, d)
-        return replication.resolve_conflicts(replication.replication_plan(c, V.FOUR), c, policy)
+        out = replication.resolve_conflicts(replication.replication_plan(c, V.FOUR), c, policy)
+        return out.select("src", "dst", "key", "content_hash", "action", "previous_content_hash", "renamed_key")
 
     _all[f"conflict_{policy}"] = run
 
@@ -132,8 +133,7 @@ def missing_records(s, d):
 
 @_query
 def tombstone_propagation(s, d):
-    # Four neighbours share a hash, so that vanished objects have copies elsewhere.
-    before, now = (x.withColumn("content_hash", F.sha2(F.encode(F.floor(F.col("doc_id") / 4).cast("string"), "UTF-8"), 256)) for x in _before_and_now(s, d))
+    before, now = map(_four_alike, _before_and_now(s, d))
     return deletion.tombstone_decisions(before, now, V.REPLICATED, ["s3-prod", "gcs-archive"])
 
 
@@ -315,6 +315,31 @@ def replication_counters(s, d):
     return L.replication_counters(rows)
 
 
+def _four_alike(df: DataFrame) -> DataFrame:
+    """Four neighbours share a hash, so that vanished objects have copies elsewhere."""
+    return df.withColumn("content_hash", F.sha2(F.encode(F.floor(F.col("doc_id") / 4).cast("string"), "UTF-8"), 256))
+
+
+@_query
+def ledger_payloads(s, d):
+    """The ledger of one catalog's decisions of all kinds, with what each action tells besides."""
+    c20, c4 = V.catalog20(s, d), V.catalog4(s, d)
+    before, now = map(_four_alike, _before_and_now(s, d))
+    decisions = [
+        L.protected(D.quarantine_decisions(c4, V.PRIORITY, V.REPLICATED), "quarantine"),
+        L.protected(D.tombstone_deletes(c4, V.NOW, 30), "physical-delete"),
+        L.protected(deletion.tombstone_decisions(before, now, V.REPLICATED, ["s3-prod", "gcs-archive"]), "tombstone"),
+        L.import_decisions(importing.import_plan(_files(s, d), c4, V.REPLICATED), "drive-folder", "s3-prod"),
+        *(replication.replication_decisions(replication.replication_plan(c20, V.FOUR), c20, policy) for policy in ("rename", "overwrite")),
+    ]
+    rows = [L.ledger_rows(x, run_id="r", timestamp=V.NOW) for x in decisions]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    extra = F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.select("action", "result", "source", "target", "key", "content_hash", "size_bytes", extra.alias("extra"))
+
+
 @_query
 def replication_error_hashes(s, d):
     return L.replication_error_hashes(V.ledger(s, d))

@@ -8,6 +8,7 @@ carrying them out again after a failure does the same.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,12 +21,12 @@ from ..functions.columns import valid_hash
 from ..operators import deletion, drift, importing, replication, report
 from ..operators import duplicates as D
 from ..operators.catalog import resolve_hashes
-from ..operators.ledger import ledger_rows
+from ..operators.ledger import import_decisions, ledger_rows, protected, rehashed
 from ..operators.running import dealt_by_weight
 from ..schema import CATALOG
 from ..sources.listing import store_listing
 from ..sources.stores import FolderStore, Store, streamed_sha256
-from . import effects
+from . import effects, journal
 from .control import Exit, RetrySettings, Settings, new_run_id, retried, run_file, write_whole, writer_lock
 
 
@@ -106,6 +107,8 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
+    runs, told = f"{folder}/runs", f"{folder}/ledger"
+    journal.recover(spark, runs, told)  # of runs that ended early
     pointer = f"{folder}/catalog"
     there = settled_catalog(spark, pointer)
     before = spark.read.schema(CATALOG).parquet(pointer) if there else spark.createDataFrame([], CATALOG)
@@ -149,16 +152,17 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     write_whole(f"{folder}/{run_file('reconciliation', now, run_id)}", text)
 
     reading = unread.select(F.lit("hash-error").alias("action"), F.lit("error").alias("result"), "source", "key", F.col("hash_error").alias("error"))
-    ledger: list[DataFrame] = [ledger_rows(reading, run_id=run_id, timestamp=now), ledger_rows(listing_errors, run_id=run_id, timestamp=now)]
+    ledger = [ledger_rows(x, run_id=run_id, timestamp=now) for x in (reading, listing_errors, rehashed(hashed, before))]
 
     def settle(decisions: DataFrame, name: str, act: bool, refused: bool = False) -> DataFrame:
         decisions = kept(decisions, f"{name}-planned")
         if act:
-            decisions = kept(effects.carry_out(decisions, factory, now, settings.retries, settings.runtime.max_concurrent_transfers), name)
+            notes = {"run_id": run_id, "timestamp": now}
+            done = effects.carry_out(decisions, factory, now, settings.retries, settings.runtime.max_concurrent_transfers, journal=f"{os.path.abspath(folder)}/runs/{run_id}/journal/{name}", told=notes)
+            decisions = kept(done, name)
         elif refused or not apply or not destructive:
             decisions = decisions.withColumn("result", F.when(F.col("result").isin("success", "quarantined", "deleted"), "planned").otherwise(F.col("result")))
-        extra = F.col("extra") if "extra" in decisions.columns else None
-        ledger.append(ledger_rows(decisions, run_id=run_id, timestamp=now, extra=extra))
+        ledger.append(ledger_rows(decisions, run_id=run_id, timestamp=now))
         return decisions
 
     policy, names = settings.replication, settings.replicated
@@ -169,21 +173,19 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     if destructive and confirm:
         batch = quarantine.where("result = 'quarantined'").agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
         go = not batch[0] or confirm(*batch)
-    settle(quarantine, "quarantine", destructive and go, destructive and not go)
-    settle(D.expired_quarantine_deletes(seen_now, now, settings.duplicates.quarantine_retention_days), "expired", destructive)
+    settle(protected(quarantine, "quarantine"), "quarantine", destructive and go, destructive and not go)
+    settle(protected(D.expired_quarantine_deletes(seen_now, now, settings.duplicates.quarantine_retention_days), "physical-delete"), "expired", destructive)
     plan = replication.replication_plan(catalog, names, policy.pairs or None)
-    decided = replication.resolve_conflicts(plan, catalog, policy.on_key_conflict, allow_destructive=destructive)
-    result = F.when(F.col("action").isin("replicate", "rename", "overwrite"), "success").otherwise("skipped")
-    copied = settle(decided.select("action", result.alias("result"), F.col("src").alias("source"), F.col("dst").alias("target"), "key", "content_hash", F.coalesce("renamed_key", "key").alias("done_key")), "replicate", apply)
+    decided = replication.replication_decisions(plan, catalog, policy.on_key_conflict, allow_destructive=destructive)
+    copied = settle(decided, "replicate", apply)
     if settings.imports.source:
         files = hashed.where(F.col("source") == settings.imports.source)
         imports = importing.import_plan(files, catalog, names)
-        result = F.when(F.col("action") == "drive-import-success", "success").otherwise("skipped")
-        settle(imports.select("action", result.alias("result"), "source", F.lit(settings.imports.destination).alias("target"), "key", "content_hash", "size_bytes", F.col("destination_key").alias("done_key")), "import", apply)
+        settle(import_decisions(imports, settings.imports.source, settings.imports.destination), "import", apply)
     if policy.delete_propagation != "none":
-        settle(deletion.tombstone_decisions(before, catalog, names, writable), "tombstones", destructive)
+        settle(protected(deletion.tombstone_decisions(before, catalog, names, writable), "tombstone"), "tombstones", destructive)
         if policy.delete_propagation == "hard":
-            settle(D.tombstone_deletes(seen_now, now, policy.tombstone_retention_days), "tombstone-deletes", destructive)
+            settle(protected(D.tombstone_deletes(seen_now, now, policy.tombstone_retention_days), "physical-delete"), "tombstone-deletes", destructive)
 
     found = kept(store_listing(spark, [*roots], factory, known=catalog), "after")
     unlisted = [r.source for r in found.where("list_error IS NOT NULL").select("source").distinct().collect()]
@@ -201,6 +203,7 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     for more in ledger[1:]:
         rows = rows.unionByName(more)
     rows = kept(rows, "ledger")
+    journal.close(spark, runs, run_id, rows, told, settings.runtime.keep_runs)
     if destructive:
         left = kept(resolve_hashes(after, catalog, _store_hashes(factory, settings.retries, kept)), "hashed-after")
         known = before.join(left.where("content_hash IS NULL"), ["source", "key"], "left_semi").select(*CATALOG.names)

@@ -17,6 +17,8 @@ CATALOG = _struct(
 )
 LISTING = _struct("source string, key string, size_bytes bigint, last_modified string, content_type string, user_metadata map, etag string, provider_hash string")
 LEDGER = _struct("timestamp string, run_id string, action string, result string, source string, target string, key string, content_hash string, size_bytes bigint, error string, extra map")
+#: A decision and what came of it; done_key: the key that the effect is about.
+OUTCOME = _struct("action string, result string, source string, target string, key string, content_hash string, size_bytes bigint, error string, done_key string, extra map")
 
 # Actions and results of ledger rows.
 ACTIONS = (
