@@ -16,6 +16,17 @@ def valid_hash(c: Column) -> Column:
     return F.coalesce(c.rlike(HASH), F.lit(False))
 
 
+def compact_hash(c: Column) -> Column:
+    """The string in about half the bytes, for shuffles: one byte of kind, then a sound hash's 32 bytes or any other text's UTF-8. One to one."""
+    return F.when(valid_hash(c), F.concat(F.lit(b"\x01"), F.unhex(c))).otherwise(F.concat(F.lit(b"\x00"), F.encode(c, "UTF-8")))
+
+
+def full_hash(c: Column) -> Column:
+    """What ``compact_hash`` was made of."""
+    rest = F.substring(c, 2, 2**31 - 1)
+    return F.when(F.substring(c, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def valid_size(c: Column) -> Column:
     return F.coalesce(c >= 0, F.lit(False))
 

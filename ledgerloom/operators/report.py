@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import compact_hash
+from ..schema import SOURCE_KINDS
 from .duplicates import split_valid
 
 
 def per_source_counts(catalog: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """source, objects, bytes, distinct_hashes; ``sources`` (source) adds those without rows."""
     size = F.coalesce(F.sum(F.when(F.col("size_bytes") >= 0, F.col("size_bytes"))), F.lit(0))
-    out = catalog.groupBy("source").agg(F.count("*").alias("objects"), size.alias("bytes"), F.count_distinct("content_hash").alias("distinct_hashes"))
+    out = catalog.groupBy("source").agg(F.count("*").alias("objects"), size.alias("bytes"), F.count_distinct(compact_hash(F.col("content_hash"))).alias("distinct_hashes"))
     return out if sources is None else sources.select("source").join(out, "source", "left").na.fill(0)
 
 
 def cross_kind_partition(catalog: DataFrame, sources: DataFrame) -> DataFrame:
     """One row: hashes held by one kind of store only, by two, by three. ``sources``: source, kind."""
     rows = catalog.join(sources.select("source", "kind"), "source")
-    has = {k: F.max(F.col("kind") == k) for k in ("s3", "gcs", "google_drive")}
-    by = rows.where(F.col("kind").isin(*has)).groupBy("content_hash").agg(*(c.cast("int").alias(k) for k, c in has.items()))
-    n = F.col("s3") + F.col("gcs") + F.col("google_drive")
-    only = lambda k: F.count_if((n == 1) & (F.col(k) == 1))
+    bit = {k: 1 << i for i, k in enumerate(SOURCE_KINDS)}
+    held = F.expr("CASE kind " + " ".join(f"WHEN '{k}' THEN {b}" for k, b in bit.items()) + " END")
+    by = rows.where(F.col("kind").isin(*bit)).groupBy(compact_hash(F.col("content_hash")).alias("hash")).agg(F.bit_or(held).alias("held"))
+    n = F.bit_count("held")
+    only = lambda k: F.count_if(F.col("held") == bit[k])
     return by.agg(only("s3").alias("s3_only"), only("gcs").alias("gcs_only"), only("google_drive").alias("drive_only"), F.count_if(n == 2).alias("exactly_two"), F.count_if(n == 3).alias("all_three"))
 
 

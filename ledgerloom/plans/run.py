@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +21,14 @@ from ..functions.columns import valid_hash
 from ..operators import deletion, drift, importing, replication, report
 from ..operators import duplicates as D
 from ..operators.catalog import resolve_hashes
-from ..operators.ledger import import_decisions, ledger_rows, protected, rehashed
+from ..operators.ledger import COUNTERS, import_decisions, ledger_rows, payload, protected, rehashed
 from ..operators.running import dealt_by_weight
 from ..schema import CATALOG
 from ..sources.listing import store_listing
 from ..sources.stores import FolderStore, Store, streamed_sha256
 from . import effects, journal
 from .control import Exit, RetrySettings, Settings, new_run_id, retried, run_file, write_whole, writer_lock
+from .observed import written
 
 
 @dataclass
@@ -39,6 +40,7 @@ class Outcome:
     divergent: DataFrame
     report: str
     events: DataFrame
+    counters: dict[str, int] = field(default_factory=dict)  # of the ledger, by COUNTERS
 
 
 def _catalog(listing: DataFrame, now: str) -> DataFrame:
@@ -102,10 +104,11 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     factory = stores or (lambda: {n: FolderStore(r, kinds[n] != "google_drive") for n, r in roots.items()})
     step = iter(range(100))
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = f"{folder}/runs/{run_id}/{next(step)}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    counts: dict[str, dict[str, int]] = {}  # counters of the tables, by name, taken in passing
+
+    def kept(df: DataFrame, name: str, **counters: Column) -> DataFrame:
+        out, counts[name] = written(df, f"{folder}/runs/{run_id}/{next(step)}-{name}", counters)
+        return out
 
     runs, told = f"{folder}/runs", f"{folder}/ledger"
     journal.recover(spark, runs, told)  # of runs that ended early
@@ -113,7 +116,7 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     there = settled_catalog(spark, pointer)
     before = spark.read.schema(CATALOG).parquet(pointer) if there else spark.createDataFrame([], CATALOG)
     before = kept(before, "before")
-    cold = before.isEmpty()
+    cold = not counts["before"]["rows"]
     destructive = apply and (confirmed or not cold)
 
     found = kept(store_listing(spark, [*roots], factory, known=None if cold else before), "listing")
@@ -168,11 +171,12 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     policy, names = settings.replication, settings.replicated
     # Duplicates in a store that nobody may write to are none of this run's business.
     quarantine = D.quarantine_decisions(seen_now, settings.duplicates.canonical_source_priority, writable)
-    quarantine = kept(quarantine.where(F.col("source").isin(*writable)), "quarantine-decided")
+    chosen = F.col("result") == "quarantined"
+    quarantine = kept(quarantine.where(F.col("source").isin(*writable)), "quarantine-decided", objects=F.count_if(chosen), bytes=F.sum(F.when(chosen, F.col("size_bytes"))))
     go = destructive
     if destructive and confirm:
-        batch = quarantine.where("result = 'quarantined'").agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
-        go = not batch[0] or confirm(*batch)
+        batch = counts["quarantine-decided"]
+        go = not batch["objects"] or confirm(batch["objects"], batch["bytes"])
     settle(protected(quarantine, "quarantine"), "quarantine", destructive and go, destructive and not go)
     settle(protected(D.expired_quarantine_deletes(seen_now, now, settings.duplicates.quarantine_retention_days), "physical-delete"), "expired", destructive)
     plan = replication.replication_plan(catalog, names, policy.pairs or None)
@@ -196,13 +200,15 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     divergent = kept(drift.divergent_hashes(seen, names, errors), "divergent")
     changes = sources.select("source").join(drift.new_and_removed(before, catalog), "source", "left").na.fill(0)
     events = kept(drift.drift_events(divergent, changes), "events")
-    counters = report.run_summary(catalog, cold_start=cold, dry_run=not apply, apply=apply, confirmed=confirmed, divergent=divergent)
-    extra = F.map_from_arrays(F.array(*map(F.lit, counters.columns)), F.array(*map(F.col, counters.columns)))
-    ledger.append(ledger_rows(counters.select(F.lit("summary").alias("action"), F.lit("success").alias("result"), extra.alias("extra")), run_id=run_id, timestamp=now, extra=F.col("extra")))
+    flags = {"cold_start": cold, "dry_run": not apply, "apply": apply, "first_pass_confirmed": confirmed}
+    summary = {"discovered": counts["catalog"]["rows"], "divergent_hashes_count": counts["divergent"]["rows"]} | {k: str(v).lower() for k, v in flags.items()}
+    summary = spark.range(1).select(F.lit("summary").alias("action"), F.lit("success").alias("result"), payload(**{k: F.lit(v) for k, v in summary.items()}).alias("extra"))
+    ledger.append(ledger_rows(summary, run_id=run_id, timestamp=now))
     rows = ledger[0]
     for more in ledger[1:]:
         rows = rows.unionByName(more)
-    rows = kept(rows, "ledger")
+    counted = {n: F.count_if((F.col("action") == a) & (F.col("result") == r)) for n, (a, r) in COUNTERS.items()}
+    rows = kept(rows, "ledger", failed=F.count_if(F.col("result") == "error"), conflicts=F.count_if(F.col("action") == "key-conflict"), **counted)
     journal.close(spark, runs, run_id, rows, told, settings.runtime.keep_runs)
     if destructive:
         left = kept(resolve_hashes(after, catalog, _store_hashes(factory, settings.retries, kept)), "hashed-after")
@@ -210,11 +216,11 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         known = known.union(catalog.where(F.col("source").isin(*unlisted)).select(*CATALOG.names))
         _catalog(left.where("content_hash IS NOT NULL"), now).unionByName(known).write.mode("overwrite").parquet(f"{pointer}.new")
         replace_catalog(spark, pointer)
-    failed = not rows.where("result = 'error'").isEmpty()
-    conflict = policy.fail_on_conflict and not rows.where("action = 'key-conflict'").isEmpty()
-    drifted = policy.fail_on_inconsistency and not divergent.isEmpty()
+    failed = counts["ledger"]["failed"] > 0
+    conflict = policy.fail_on_conflict and counts["ledger"]["conflicts"] > 0
+    drifted = policy.fail_on_inconsistency and counts["divergent"]["rows"] > 0
     code = Exit.FIRST_PASS_REVIEW_REQUIRED if apply and not destructive else Exit.INCONSISTENCY_DETECTED if drifted else Exit.CONFLICT_FAILURE if conflict else Exit.RUN_HAD_ERRORS if failed else Exit.OK
-    return Outcome(code, run_id, rows, catalog, divergent, text, events)
+    return Outcome(code, run_id, rows, catalog, divergent, text, events, {n: counts["ledger"][n] for n in COUNTERS})
 
 
 def sources_of(spark: SparkSession, settings: Settings) -> DataFrame:

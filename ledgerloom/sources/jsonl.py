@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors.exceptions.captured import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,21 +121,47 @@ def to_lines(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_file(lines: DataFrame, path: str) -> None:
-    """One file that appears at once: written beside its place, then renamed over it."""
+    """One file that appears at once, its lines in the order of the partitions: all tasks write their parts side by side, and
+    the file system puts them one behind the other (by itself where it can, else by copying bytes) before the result takes its place."""
     spark = lines.sparkSession
     beside = f"{path}.writing"
-    lines.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(beside)
-    at = spark._jvm.org.apache.hadoop.fs.Path(beside)
+    lines.write.mode("overwrite").option("lineSep", "\n").text(beside)
+    hadoop = spark._jvm.org.apache.hadoop
+    at, target, whole = (hadoop.fs.Path(p) for p in (beside, path, f"{beside}/whole"))
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    parts = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-") and x.getLen()]
+    parts.sort(key=lambda p: int(p.getName().split("-")[1]))
+    fs.create(whole, True).close()
+    if parts and not _concatenated(spark, fs, whole, parts):
+        out = fs.create(whole, True)
+        try:
+            for part in parts:
+                read = fs.open(part)
+                try:
+                    hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+                finally:
+                    read.close()
+        finally:
+            out.close()
     fs.delete(target, False)
-    fs.rename(part, target)
+    fs.rename(whole, target)
     fs.delete(at, True)
 
 
+def _concatenated(spark: SparkSession, fs, whole, parts: list) -> bool:
+    """Whether the file system has moved the parts' blocks behind each other, without reading them."""
+    array = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts))
+    for i, part in enumerate(parts):
+        array[i] = part
+    try:
+        fs.concat(whole, array)
+        return True
+    except UnsupportedOperationException:
+        return False
+
+
 def write_catalog(catalog: DataFrame, path: str) -> None:
-    """Rows in the order of (content_hash, source, key): equal catalogs give equal bytes."""
+    """Rows in the order of (content_hash, source, key): equal catalogs give equal bytes, however many tasks write them."""
     write_file(to_lines(catalog.orderBy("content_hash", "source", "key"), S.CATALOG), path)
 
 

@@ -25,6 +25,29 @@ def test_catalog_round_trip(spark, tmp_path, seed):
     assert open(a, "rb").read() == open(b, "rb").read()
 
 
+def test_export_by_many_tasks_is_the_export_of_one(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr(
+        "concat('s', id % 7) AS source", "concat('k', id) AS key", "sha2(CAST(id % 900 AS STRING), 256) AS content_hash", "id AS size_bytes", "'t' AS last_seen_at", "'t' AS last_modified",
+        "CAST(NULL AS STRING) AS content_type", "CAST(NULL AS STRING) AS quarantined_at", "CAST(NULL AS STRING) AS tombstoned_at", "'\"q\"' AS origin",
+    )
+    a, b, c = (str(tmp_path / n) for n in "abc")
+    lines = jsonl.to_lines(rows.orderBy("content_hash", "source", "key"), CATALOG)
+    jsonl.write_file(lines.coalesce(1), a)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        before = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup("export", "")
+        jsonl.write_catalog(rows.repartition(9), b)
+        stages = [before.getStageInfo(s) for j in before.getJobIdsForGroup("export") for s in before.getJobInfo(j).stageIds]
+        assert max(s.numTasks for s in stages if s) > 1 and stages[-1].numTasks > 1  # the writing stage too
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert open(a, "rb").read() == open(b, "rb").read() and os.listdir(tmp_path) and not os.path.exists(f"{b}.writing")
+    jsonl.write_catalog(rows.limit(0), c)
+    assert open(c, "rb").read() == b"" and jsonl.read_catalog(spark, b).count() == 20_000
+
+
 def test_bad_catalog_line_is_named(spark, tmp_path):
     p = tmp_path / "c.jsonl"
     good = json.dumps({f.name: 1 if f.name == "size_bytes" else "x" for f in CATALOG})
