@@ -24,6 +24,7 @@ from ..operators.catalog import resolve_hashes
 from ..operators.ledger import COUNTERS, import_decisions, ledger_rows, payload, protected, rehashed
 from ..operators.running import dealt_by_weight
 from ..schema import CATALOG
+from ..sources.bucketed import read_bucketed, write_bucketed
 from ..sources.listing import store_listing
 from ..sources.stores import FolderStore, Store, streamed_sha256
 from . import effects, journal
@@ -114,9 +115,9 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     journal.recover(spark, runs, told)  # of runs that ended early
     pointer = f"{folder}/catalog"
     there = settled_catalog(spark, pointer)
-    before = spark.read.schema(CATALOG).parquet(pointer) if there else spark.createDataFrame([], CATALOG)
-    before = kept(before, "before")
-    cold = not counts["before"]["rows"]
+    # Read where it lies: nothing replaces it before the run's last step.
+    before = read_bucketed(spark, os.path.abspath(pointer), CATALOG) if there else spark.createDataFrame([], CATALOG)
+    cold = before.isEmpty()
     destructive = apply and (confirmed or not cold)
 
     found = kept(store_listing(spark, [*roots], factory, known=None if cold else before), "listing")
@@ -214,7 +215,7 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         left = kept(resolve_hashes(after, catalog, _store_hashes(factory, settings.retries, kept)), "hashed-after")
         known = before.join(left.where("content_hash IS NULL"), ["source", "key"], "left_semi").select(*CATALOG.names)
         known = known.union(catalog.where(F.col("source").isin(*unlisted)).select(*CATALOG.names))
-        _catalog(left.where("content_hash IS NOT NULL"), now).unionByName(known).write.mode("overwrite").parquet(f"{pointer}.new")
+        write_bucketed(_catalog(left.where("content_hash IS NOT NULL"), now).unionByName(known), f"{os.path.abspath(pointer)}.new", counts["after"]["rows"])
         replace_catalog(spark, pointer)
     failed = counts["ledger"]["failed"] > 0
     conflict = policy.fail_on_conflict and counts["ledger"]["conflicts"] > 0
