@@ -7,7 +7,6 @@ was taken, so a run that was cut short goes on where it stopped and counts nothi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..schema import LEDGER
@@ -17,11 +16,6 @@ def ledger_stream(spark: SparkSession, folder: str, schema: StructType = LEDGER)
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def windowed_counts(rows: DataFrame, time: str, by: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Rows by window and value; a window is final once the watermark has passed it."""
-    return rows.withWatermark(time, late).groupBy(F.window(time, window), by).agg(F.count("*").alias("n"))
-
-
 def append_new(rows: DataFrame, target: str, checkpoint: str) -> None:
     """Adds what is new to a Parquet folder and returns."""
     rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", target).trigger(availableNow=True).start().awaitTermination()
