@@ -11,13 +11,13 @@ best lower bound, or below the k-th best exact score of earlier blocks, is out b
 batch's traversal ends only when this leaves few rows, or when no segment is left; all rows
 left are rescored exactly.
 
-Queries travel to the blocks in waves of about ``wave_rows``, one broadcast each; a task
-keeps k rows for each query of the wave over all its blocks, and a window the best k of all
+Queries travel to the blocks in waves of about ``wave_rows`` and of at most about
+``wave_numbers`` components, one broadcast each; a task keeps k rows for each query of the wave over all its blocks, and a window the best k of all
 tasks. So each row is shuffled once, and no pair of rows is ever made by Spark.
 
 Queries and rows are told apart by a number of their own. Defined results: a vector that is
-null, empty, of another length than the most common one, or holds a null or non-finite
-component takes no part, neither does a null id. Rows of equal id are queries and candidates
+null or empty, or holds a null or non-finite component, takes no part, neither does a null
+id. A query meets the rows of its own length, whatever lengths others have. Rows of equal id are queries and candidates
 of their own; only the query's own row is no candidate. Equal scores go to the smaller id.
 With fewer candidates than k all are returned. Components beyond 64 bits after scaling count
 as the largest number of 64 bits, scores likewise; blocks too large for exact sums of floats
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,6 +119,7 @@ def top_k(
     scale: int = 256,
     block_rows: int = 16_384,
     wave_rows: int = 65_536,
+    wave_numbers: int = 1 << 24,
 ) -> DataFrame:
     """query_id, rank (from 1), the id column and score (long) for every row where ``query`` holds."""
     spark = vectors.sparkSession
@@ -125,20 +127,24 @@ def top_k(
     sound = F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
     rows = scratch.table(rows.withColumn("r", F.monotonically_increasing_id()), "vectors")
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    rows = rows.where(F.size("v") == (lengths[0].d if lengths else 0))
-    total, asked = (rows.agg(F.count("*"), F.count_if("q")).first() if lengths else (0, 0))
-    n_blocks, waves = max(1, -(-total // block_rows)), max(1, -(-asked // wave_rows))
+    total, asked, numbers = rows.agg(F.count("*"), F.count_if("q"), F.sum(F.when(F.col("q"), F.size("v")))).first()
+    n_blocks, waves = max(1, -(-total // block_rows)), max(1, -(-asked // wave_rows), -(-(numbers or 0) // wave_numbers))
 
-    def matrix(column: pa.Array, n: int) -> np.ndarray:
-        return column.flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1), np.int64)
+    def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, matrix) of each length of vectors."""
+        size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        for d in np.unique(size).tolist():
+            at = np.flatnonzero(size == d)
+            yield d, at, column.take(pa.array(at)).flatten().to_numpy().reshape(len(at), d)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        blocks: dict[tuple[int, int], list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
-            b, v = batch.column(0).to_numpy(), matrix(batch.column(3), batch.num_rows)
-            for x in np.unique(b).tolist():
-                blocks.setdefault(x, []).append((*(batch.column(c).to_numpy()[b == x] for c in (1, 2)), v[b == x]))
+            b, ids, numbers = (batch.column(c).to_numpy() for c in range(3))
+            for d, at, v in by_length(batch.column(3)):
+                for x in np.unique(b[at]).tolist():
+                    some = b[at] == x
+                    blocks.setdefault((x, d), []).append((ids[at][some], numbers[at][some], v[some]))
         for parts in blocks.values():
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(p).astype("<i8").tobytes()], pa.binary()) for p in zip(*parts, strict=True)], names=["ids", "numbers", "v"])
 
@@ -148,26 +154,30 @@ def top_k(
     ask = rows.where("q").select("id", "r", "v", F.pmod(F.xxhash64("r", F.lit(1)), F.lit(waves)).alias("w"))
     found = None
     for wave in range(waves):
-        held = ask.where(F.col("w") == wave).select("id", "r", "v").collect()  # about wave_rows
-        ids, numbers = (np.array([r[c] for r in held], np.int64) for c in ("id", "r"))
-        sent = spark.sparkContext.broadcast((ids, numbers, np.array([r.v for r in held], np.int64).reshape(len(held), len(held[0].v) if held else 1)))
+        held = ask.where(F.col("w") == wave).select("id", "r", "v").toArrow().combine_chunks()  # bounded by the wave
+        column = held.column("v").combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int64()))
+        ids, numbers = (held.column(c).to_numpy() for c in ("id", "r"))
+        sent = spark.sparkContext.broadcast((ids, numbers, {d: (at, v) for d, at, v in by_length(column)}))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q_ids, q_numbers, q = sent.value
-            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)  # scores, ids, numbers
+            q_ids, q_numbers, of_length = sent.value
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)  # scores, ids, numbers
             for batch in batches:
                 for r in range(batch.num_rows):
                     ids, numbers, v = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in range(3))
+                    own, q = of_length.get(len(v) // len(ids), (np.zeros(0, np.int64), None))
+                    if not len(own):
+                        continue
                     index = ImpactIndex(ids, v.reshape(len(ids), -1), numbers)
-                    for lo in range(0, len(q), AT_ONCE):
-                        some = range(lo, min(lo + AT_ONCE, len(q)))
+                    for lo in range(0, len(own), AT_ONCE):
+                        some = own[lo : lo + AT_ONCE].tolist()
                         bar = np.array([float(best[j][0][-1]) if len(best[j][0]) == k else -np.inf for j in some])
-                        for j, (at, score) in zip(some, index.top(q[lo : lo + AT_ONCE], q_numbers[lo : lo + AT_ONCE], k, bar), strict=True):
+                        for j, (at, score) in zip(some, index.top(q[lo : lo + AT_ONCE], q_numbers[some], k, bar), strict=True):
                             s, i, x = (np.concatenate(c) for c in zip(best[j], (score, index.ids[at], index.numbers[at]), strict=True))
                             order = sorted(range(len(s)), key=lambda y: (-int(s[y]), i[y], x[y]))[:k]
                             best[j] = s[order], i[order], x[order]
             sizes = [len(s) for s, _, _ in best]
-            cols = [np.repeat(q_numbers, sizes), np.repeat(q_ids, sizes), *(np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*best, strict=True))] if len(q) else [np.zeros(0, np.int64)] * 5
+            cols = [np.repeat(q_numbers, sizes), np.repeat(q_ids, sizes), *(np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*best, strict=True))] if len(q_ids) else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["query", "query_id", "score", "id", "r"])
 
         part = data.mapInArrow(search, "query long, query_id long, score long, id long, r long")

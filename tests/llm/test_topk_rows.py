@@ -11,7 +11,7 @@ def brute(rows, k):
     out = []
     for n, i, v in good:
         if i % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), j, m) for m, j, w in good if m != n)[:k]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j, m) for m, j, w in good if m != n and len(v) == len(w))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j, _) in enumerate(best)]
     return sorted(out)
 
@@ -39,3 +39,15 @@ def test_large_components(spark):
     got = found(spark, huge)
     most = 2**63 - 1
     assert [(x[1], x[2]) for x in got] == [(1, 1), (2, 3), (3, 2)] and got[0][3] == most and got[2][3] == -most - 1
+
+
+def test_queries_meet_the_rows_of_their_own_length(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=[1, 2, 2, 5][i % 4] if i % 20 else i % 3 + 1)]) for i in range(200)]
+    for more in ({}, {"block_rows": 30, "wave_numbers": 5}):
+        assert found(spark, rows, **more) == brute(rows, 5)
+    few = [(0, [1.0, 2.0]), (1, [1.0]), (2, [3.0, 1.0]), (3, [2.0]), (20, [5.0])]  # the query's length isn't the most common one
+    assert found(spark, few) == brute(few, 5) and {x[0] for x in found(spark, few)} == {0, 20}
+    more = [("extra", [1.0])]
+    table = spark.createDataFrame([(20, [1.0], *more), (21, None, *more), (22, [], *more), (None, [1.0], *more), (23, [2.0], *more)], "vec_id long, embedding array<double>, QUERY_ID struct<a: string, b: array<double>>")
+    assert [tuple(x) for x in top_k(table, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 23, 512 * 256)]
