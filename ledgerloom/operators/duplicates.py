@@ -17,8 +17,15 @@ def split_valid(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     return catalog.where(good), catalog.where(~good)
 
 
+def group_facts(catalog: DataFrame) -> DataFrame:
+    """content_hash, size_bytes, copies, label, total_bytes: duplicate groups by aggregates alone, however many members they have."""
+    rows, _ = split_valid(catalog)
+    out = rows.groupBy("content_hash", "size_bytes").agg(F.count("*").alias("copies"), F.when(F.min("source") < F.max("source"), "cross-source").otherwise("same-source").alias("label"))
+    return out.where("copies >= 2").withColumn("total_bytes", F.col("size_bytes") * F.col("copies"))
+
+
 def duplicate_groups(catalog: DataFrame) -> DataFrame:
-    """content_hash, size_bytes, copies, label, total_bytes, members: groups of two rows and more of one hash and size."""
+    """``group_facts`` with members, an array: for groups whose members are wanted in one row. ``duplicate_members`` has them as rows."""
     rows, _ = split_valid(catalog)
     out = rows.groupBy("content_hash", "size_bytes").agg(
         F.count("*").alias("copies"),

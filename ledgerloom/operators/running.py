@@ -53,6 +53,12 @@ def running_before(rows: DataFrame, group: Sequence[str], order: Sequence[str],
     return rows.withColumn(out, F.col(out) + F.coalesce(_BEFORE, F.lit(0))).drop(*same, "__run_p", _PART, _BEFORE)
 
 
+def numbered(rows: DataFrame, order: Sequence[str], out: str, n: int) -> DataFrame:
+    """``rows`` with ``out`` (long): their place, from 1, in one order of the whole table, without sorting it in one task. ``n``: as above."""
+    rows = running_before(rows.withColumn("__run_all", F.lit(0)), ["__run_all"], order, F.lit(1), out, n)
+    return rows.withColumn(out, F.col(out) + 1).drop("__run_all")
+
+
 def dealt_by_weight(rows: DataFrame, weight: Column, key: Sequence[str], tasks: int) -> DataFrame:
     """``rows`` in partitions of about equal weight: what weighs as much as a task's share goes alone, the others by running sums.
 

@@ -234,5 +234,28 @@ UNION ALL {_ROWS_OF} ({_GUARDED}) UNION ALL {_ROWS_OF} ({_GUARDED})
 """
 
 
+_BROKEN = "CASE event_type WHEN 'view' THEN 'json_syntax' WHEN 'signup' THEN 'unknown_key' WHEN 'click' THEN 'missing_field' WHEN 'purchase' THEN 'unknown_enum' WHEN 'error' THEN 'invalid_value' ELSE 'none' END"
+_WHAT = "CASE event_type WHEN 'view' THEN '' WHEN 'signup' THEN 'more' WHEN 'click' THEN 'error' WHEN 'purchase' THEN 'action: dance' WHEN 'error' THEN 'source' ELSE event_type END"
+_TEXT = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ',')"
+SQL |= {
+    "catalog_round_trip": f"""{_W} SELECT source, key, content_hash, size_bytes, last_seen_at, last_modified, CASE WHEN doc_id % 3 = 0 THEN 'q"' || chr(92) || 'é' || chr(10) || lang END AS content_type,
+        quarantined_at, tombstoned_at, origin FROM cat4 JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""",
+    "ledger_line_errors": f"""SELECT CASE WHEN user_id % 2 = 0 THEN {_BROKEN} ELSE 'none' END AS category, CASE WHEN user_id % 2 = 0 THEN {_WHAT} ELSE event_type END AS message, count(*) AS n FROM events GROUP BY ALL""",
+    "merged_metadata": f"""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN lang END AS l, CASE WHEN doc_id % 7 <> 0 THEN source END AS a, CASE WHEN doc_id % 5 <> 0 THEN upper(source) END AS b, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS n FROM documents)
+        SELECT doc_id, {_TEXT.format("'lang=' || l, 'name=' || coalesce(b, a), 'size=' || n")} AS tags_win, {_TEXT.format("'lang=' || l, 'name=' || coalesce(a, b), 'size=' || n")} AS metadata_wins FROM m""",
+    "tree_paths": "SELECT 'c' || c_custkey AS key, r_name || '/' || n_name || '/' || c_name AS path FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey",
+    "divergent_without_errors": f"SELECT content_hash, present_in FROM ({SQL['divergent_hashes']}) WHERE content_hash NOT IN (SELECT content_hash FROM ({_W} SELECT content_hash FROM cat4 WHERE size_bytes % 3 = 0))",
+    "listing_projection": f"{_W} SELECT source, key, content_hash, size_bytes, '2024-02-10T12:00:00Z' AS last_seen_at, last_modified, content_type, quarantined_at, tombstoned_at, origin FROM cat4 WHERE doc_id % 6 > 1",
+    "streamed_bytes": f"""SELECT hash_from, count(*) AS objects, CAST(sum(CASE WHEN doc_id % 6 = 0 THEN size_bytes + 1 ELSE size_bytes END) AS BIGINT) AS bytes
+        FROM ({SQL["hash_resolution"]}) r JOIN ({_W} SELECT doc_id, source, key, size_bytes FROM cat4) c USING (source, key) GROUP BY hash_from""",
+    "plan_in_order": f"{_PLAN4} SELECT row_number() OVER (ORDER BY src, dst, content_hash) AS place, src, dst, content_hash, key FROM plan",
+    "groups_in_order": f"SELECT row_number() OVER (ORDER BY content_hash, size_bytes) AS place, content_hash, size_bytes, copies, label FROM ({SQL['dup_groups']})",
+    "divergence_in_order": f"SELECT row_number() OVER (ORDER BY content_hash) AS place, content_hash FROM ({SQL['divergent_hashes']})",
+    "streaming_catalog": """SELECT source, lang || '-' || (doc_id // 100) AS key, max(1700000000 + (doc_id * 37) % 1000) AS seen_at,
+        arg_max(sha256(text), struct_pack(t := (doc_id * 37) % 1000, h := sha256(text))) AS content_hash, arg_max(CAST(strlen(text) AS BIGINT), struct_pack(t := (doc_id * 37) % 1000, h := sha256(text))) AS size_bytes
+        FROM documents GROUP BY 1, 2""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

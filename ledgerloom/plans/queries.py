@@ -13,7 +13,14 @@ from ..operators import catalog as K
 from ..operators import deletion, drift, importing, replication, report
 from ..operators import duplicates as D
 from ..operators import ledger as L
+from ..operators.running import numbered
+from ..schema import CATALOG, LEDGER
+from ..sources import jsonl, stores
+from ..streaming import catalog as stream
 from . import views as V
+from .effects import HASH, ORIGIN, QUARANTINED, TOMBSTONED
+from .run import catalog_rows
+from .shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -363,5 +370,113 @@ def lineitem_dup_bench(s, d):
     return out.agg(F.count("*").alias("copies"), F.min("l_orderkey").alias("first_order"), F.count_distinct("l_shipdate").alias("dates")).where("copies >= 2")
 
 
+@_query
+def catalog_round_trip(s, d):
+    """The catalog out to one ordered file of lines, and back through the strict reader."""
+    c = V.catalog4(s, d).withColumn("content_type", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('q"\\é\n'), F.substring_index("key", "/", 1)))).select(*CATALOG.names)
+    path = f"{new_folder(s, 'export')}/catalog.jsonl"
+    jsonl.write_catalog(c, path)
+    return jsonl.read_catalog(s, path)
+
+
+@_query
+def ledger_line_errors(s, d):
+    """Lines of a ledger of which some are broken, by what is wrong with them; sound ones count under 'none'."""
+    key = F.concat_ws("/", "event_type", F.col("user_id").cast("string"))
+    told = V.read(s, d, "events").select(F.lit("replicate").alias("action"), F.lit("success").alias("result"), F.lit("a").alias("source"), key.alias("key"), F.col("event_id").alias("size_bytes"), L.payload(more=F.col("props")).alias("extra"))
+    lines = jsonl.to_lines(L.ledger_rows(told, run_id="r", timestamp=V.NOW), LEDGER)
+    kind, even = F.regexp_extract("value", '"key":"([a-z]+)', 1), F.regexp_extract("value", '"key":"[a-z]+/([0-9]+)', 1).cast("long") % 2 == 0
+    broken = (
+        F.when((kind == "view") & even, F.expr("substr(value, 1, length(value) - 1)")).when((kind == "signup") & even, F.regexp_replace("value", r"^\{", '{"more":1,')).when((kind == "click") & even, F.replace("value", F.lit('"error":null,'), F.lit("")))
+        .when((kind == "purchase") & even, F.replace("value", F.lit('"action":"replicate"'), F.lit('"action":"dance"'))).when((kind == "error") & even, F.replace("value", F.lit('"source":"a"'), F.lit('"source":5')))
+    )
+    path = new_folder(s, "ledger")
+    lines.select(F.coalesce(broken, "value").alias("value")).write.text(path)
+    good, bad = jsonl.read_ledger(s, path)
+    rows = good.select(F.lit("none").alias("category"), F.substring_index("key", "/", 1).alias("message")).unionByName(bad.select("category", "message"))
+    return rows.withColumn("message", F.when(F.col("category") == "json_syntax", "").otherwise(F.col("message"))).groupBy("category", "message").agg(F.count("*").alias("n"))
+
+
+@_query
+def merged_metadata(s, d):
+    """An object's metadata and tags as one map, as stores where tags win and where metadata wins tell it."""
+    docs = V.read(s, d, "documents")
+    metadata = F.when(F.col("doc_id") % 7 != 0, F.create_map(F.lit("lang"), F.col("lang"), F.lit("name"), F.col("source")))
+    tags = F.when(F.col("doc_id") % 5 != 0, F.create_map(F.lit("name"), F.upper("source"), F.lit("size"), F.col("n_chars").cast("string")))
+    text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return docs.select("doc_id", text(C.merged_metadata(metadata, tags)).alias("tags_win"), text(C.merged_metadata(metadata, tags, False)).alias("metadata_wins"))
+
+
+@_query
+def tree_paths(s, d):
+    """Paths of the files of a folder tree: regions hold nations, nations hold customers."""
+    part = lambda t, key, parent, name, folder: V.read(s, d, t).select(key.alias("id"), parent.alias("parent"), F.col(name).alias("name"), F.lit(folder).alias("is_folder"))
+    at = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    entries = part("region", at("r", "r_regionkey"), F.lit("root"), "r_name", True).union(part("nation", at("n", "n_nationkey"), at("r", "n_regionkey"), "n_name", True)).union(part("customer", at("c", "c_custkey"), at("n", "c_nationkey"), "c_name", False))
+    return stores.tree_paths(s, entries, "root")
+
+
+@_query
+def divergent_without_errors(s, d):
+    """Hashes that some stores lack, without those whose copying failed."""
+    c = V.catalog4(s, d)
+    failed = L.ledger_rows(c.where("size_bytes % 3 = 0").select(F.lit("replication-error").alias("action"), F.lit("error").alias("result"), "content_hash"), run_id="r", timestamp=V.NOW)
+    out = drift.divergent_hashes(c, V.REPLICATED, L.replication_error_hashes(failed))
+    return out.select("content_hash", F.array_join("present_in", ",").alias("present_in"))
+
+
+@_query
+def listing_projection(s, d):
+    """Listed objects whose announced hash is sound, as catalog rows: markers and origin come out of the metadata."""
+    c = V.catalog4(s, d)
+    told = F.when(F.col("doc_id") % 6 == 0, F.upper("content_hash")).when(F.col("doc_id") % 6 == 1, F.concat("content_hash", F.lit("\n"))).otherwise(F.col("content_hash"))
+    meta = L.payload(**{HASH: told, QUARANTINED: F.col("quarantined_at"), TOMBSTONED: F.col("tombstoned_at"), ORIGIN: F.col("origin")})
+    listed = c.select("source", "key", "size_bytes", "last_modified", "content_type", meta.alias("user_metadata")).withColumn("content_hash", F.try_element_at("user_metadata", F.lit(HASH)))
+    return catalog_rows(listed.where(C.valid_hash(F.col("content_hash"))), V.NOW)
+
+
+@_query
+def streamed_bytes(s, d):
+    """Bytes of the objects that neither a tag nor the last catalog resolves, by what resolved them."""
+    texts = V.read(s, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    contents = V.catalog4(s, d).select("doc_id", "source", "key").join(texts, "doc_id")
+    rows = K.resolve_hashes(_listing(s, d), V.catalog4(s, d), contents)
+    return rows.groupBy("hash_from").agg(F.count("*").alias("objects"), F.sum("size_bytes").alias("bytes"))
+
+
+@_query
+def plan_in_order(s, d):
+    """The replication plan with each row's place in it."""
+    c = V.catalog4(s, d)
+    return numbered(replication.replication_plan(c, V.REPLICATED), ("src", "dst", "content_hash"), "place", 3 * c.count()).select("place", "src", "dst", "content_hash", "key")
+
+
+@_query
+def groups_in_order(s, d):
+    """Duplicate groups with their place in the order of hash and size."""
+    c = V.catalog4(s, d)
+    return numbered(D.group_facts(c), ("content_hash", "size_bytes"), "place", c.count()).select("place", "content_hash", "size_bytes", "copies", "label")
+
+
+@_query
+def divergence_in_order(s, d):
+    """Divergent hashes with their place in the order of hashes."""
+    c = V.catalog4(s, d)
+    return numbered(drift.divergent_hashes(c, V.REPLICATED), ("content_hash",), "place", c.count()).select("place", "content_hash")
+
+
+@_query
+def streaming_catalog(s, d):
+    """The catalog that a stream of listings leads to: documents as they are read, versions of a few keys in any order."""
+    docs = s.readStream.schema(V.read(s, d, "documents").schema).parquet(f"{d}/documents.parquet*")
+    seen = docs.select(
+        "source", F.concat(F.col("lang"), F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string")).alias("key"), F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("doc_id") * 37) % 1000).alias("seen_at"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"),
+    )
+    folder = new_folder(s, "stream")
+    stream.follow(seen, folder).awaitTermination()
+    return stream.current(s, folder).withColumn("seen_at", F.unix_seconds("seen_at"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_all)

@@ -30,6 +30,7 @@ from ..sources.stores import FolderStore, Store, streamed_sha256
 from . import effects, journal
 from .control import Exit, RetrySettings, Settings, new_run_id, retried, run_file, write_whole, writer_lock
 from .observed import written
+from .shared import check_shared
 
 
 @dataclass
@@ -44,7 +45,8 @@ class Outcome:
     counters: dict[str, int] = field(default_factory=dict)  # of the ledger, by COUNTERS
 
 
-def _catalog(listing: DataFrame, now: str) -> DataFrame:
+def catalog_rows(listing: DataFrame, now: str) -> DataFrame:
+    """A listing with content_hash as CATALOG's rows; markers and origin are read out of its metadata."""
     meta = lambda k: F.try_element_at("user_metadata", F.lit(k))
     return listing.select(
         "source", "key", "content_hash", "size_bytes", F.lit(now).alias("last_seen_at"), "last_modified", "content_type",
@@ -68,6 +70,7 @@ def run(
     yes, that phase is planned only."""
     run_id = run_id or new_run_id()
     folder = settings.runtime.folder
+    check_shared(spark, folder)
     with writer_lock(f"{folder}/lock", run_id):
         return _run(spark, settings, now, apply, confirmed, run_id, folder, stores, confirm)
 
@@ -138,7 +141,7 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     known = before.join(unread.select("source", "key"), ["source", "key"], "left_semi").select(*CATALOG.names)
     known = known.union(before.where(F.col("source").isin(*unlisted)).select(*CATALOG.names))
     # Only copies that this run has seen protect others, or are removed.
-    seen_now = kept(_catalog(hashed, now), "seen")
+    seen_now = kept(catalog_rows(hashed, now), "seen")
     catalog = kept(seen_now.unionByName(known), "catalog")
     sources = sources_of(spark, settings)
     streamed = ~F.coalesce(F.col("hash_from").isin("tag", "cache"), F.lit(False))
@@ -215,7 +218,7 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
         left = kept(resolve_hashes(after, catalog, _store_hashes(factory, settings.retries, kept)), "hashed-after")
         known = before.join(left.where("content_hash IS NULL"), ["source", "key"], "left_semi").select(*CATALOG.names)
         known = known.union(catalog.where(F.col("source").isin(*unlisted)).select(*CATALOG.names))
-        write_bucketed(_catalog(left.where("content_hash IS NOT NULL"), now).unionByName(known), f"{os.path.abspath(pointer)}.new", counts["after"]["rows"])
+        write_bucketed(catalog_rows(left.where("content_hash IS NOT NULL"), now).unionByName(known), f"{os.path.abspath(pointer)}.new", counts["after"]["rows"])
         replace_catalog(spark, pointer)
     failed = counts["ledger"]["failed"] > 0
     conflict = policy.fail_on_conflict and counts["ledger"]["conflicts"] > 0
