@@ -22,6 +22,22 @@ def protected(decisions: DataFrame, intended: str) -> DataFrame:
     return decisions.withColumn("extra", extra)
 
 
+def with_store(decisions: DataFrame, sources: DataFrame) -> DataFrame:
+    """``decisions`` with error: those that name a source or a target outside the configured ``sources`` (source) have failed."""
+    known = sources.select(F.col("source").alias("__name")).distinct().withColumn("__there", F.lit(True))
+
+    def looked_up(rows: DataFrame, column: str) -> DataFrame:
+        rows = rows.join(F.broadcast(known), F.col(column) == F.col("__name"), "left")  # of configuration, few
+        lacking = F.col(column).isNotNull() & F.col("__there").isNull()
+        return rows.withColumn("__no", F.coalesce("__no", F.when(lacking, F.concat(F.lit("no store "), F.col(column))))).drop("__name", "__there")
+
+    rows = decisions.withColumn("__no", F.lit(None).cast("string"))
+    rows = looked_up(rows, "source")
+    rows = looked_up(rows, "target") if "target" in decisions.columns else rows
+    had = F.col("error") if "error" in decisions.columns else F.lit(None).cast("string")
+    return rows.withColumns({"result": F.when(F.col("__no").isNotNull(), "error").otherwise(F.col("result")), "error": F.coalesce("__no", had)}).drop("__no")
+
+
 def import_decisions(plan: DataFrame, source: str, destination: str) -> DataFrame:
     """All that the ledger says of an import plan: skipped and imported files, and a warning for each one that comes in without a sound time of creation."""
     meta = lambda k: F.try_element_at("user_metadata", F.lit(k))

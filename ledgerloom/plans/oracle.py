@@ -244,6 +244,11 @@ SQL |= {
     "merged_metadata": f"""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN lang END AS l, CASE WHEN doc_id % 7 <> 0 THEN source END AS a, CASE WHEN doc_id % 5 <> 0 THEN upper(source) END AS b, CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS n FROM documents)
         SELECT doc_id, {_TEXT.format("'lang=' || l, 'name=' || coalesce(b, a), 'size=' || n")} AS tags_win, {_TEXT.format("'lang=' || l, 'name=' || coalesce(a, b), 'size=' || n")} AS metadata_wins FROM m""",
     "tree_paths": "SELECT 'c' || c_custkey AS key, r_name || '/' || n_name || '/' || c_name AS path FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey",
+    "decisions_without_store": f"""SELECT action, CASE WHEN lost IS NOT NULL THEN 'error' ELSE result END AS result, source, target, key, content_hash, lost AS error FROM (
+        SELECT *, CASE WHEN source NOT IN ('s3-prod', 'gcs-archive') THEN 'no store ' || source WHEN target NOT IN ('s3-prod', 'gcs-archive') THEN 'no store ' || target END AS lost FROM (
+          SELECT action, result, source, NULL AS target, key, content_hash FROM ({SQL["quarantine_decisions"]})
+          UNION ALL SELECT CASE WHEN coalesce(origin, '') = '' THEN 'source-tagged' ELSE 'loop-skip' END, CASE WHEN coalesce(origin, '') = '' THEN 'success' ELSE 'skipped' END, src, dst, key, content_hash FROM ({_PLAN4} SELECT * FROM plan) WHERE coalesce(origin, '') IN ('', dst)
+          UNION ALL SELECT 'replicate', 'success', src, dst, key, content_hash FROM ({_PLAN4} SELECT * FROM plan) WHERE coalesce(origin, '') <> dst))""",
     "divergent_without_errors": f"SELECT content_hash, present_in FROM ({SQL['divergent_hashes']}) WHERE content_hash NOT IN (SELECT content_hash FROM ({_W} SELECT content_hash FROM cat4 WHERE size_bytes % 3 = 0))",
     "listing_projection": f"{_W} SELECT source, key, content_hash, size_bytes, '2024-02-10T12:00:00Z' AS last_seen_at, last_modified, content_type, quarantined_at, tombstoned_at, origin FROM cat4 WHERE doc_id % 6 > 1",
     "streamed_bytes": f"""SELECT hash_from, count(*) AS objects, CAST(sum(CASE WHEN doc_id % 6 = 0 THEN size_bytes + 1 ELSE size_bytes END) AS BIGINT) AS bytes

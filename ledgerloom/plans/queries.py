@@ -15,7 +15,7 @@ from ..operators import duplicates as D
 from ..operators import ledger as L
 from ..operators.running import numbered
 from ..schema import CATALOG, LEDGER
-from ..sources import jsonl, stores
+from ..sources import jsonl, trees
 from ..streaming import catalog as stream
 from . import views as V
 from .effects import HASH, ORIGIN, QUARANTINED, TOMBSTONED
@@ -413,7 +413,18 @@ def tree_paths(s, d):
     part = lambda t, key, parent, name, folder: V.read(s, d, t).select(key.alias("id"), parent.alias("parent"), F.col(name).alias("name"), F.lit(folder).alias("is_folder"))
     at = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     entries = part("region", at("r", "r_regionkey"), F.lit("root"), "r_name", True).union(part("nation", at("n", "n_nationkey"), at("r", "n_regionkey"), "n_name", True)).union(part("customer", at("c", "c_custkey"), at("n", "c_nationkey"), "c_name", False))
-    return stores.tree_paths(s, entries, "root")
+    return trees.tree_paths(s, entries, "root")
+
+
+@_query
+def decisions_without_store(s, d):
+    """Decisions of a catalog whose sources are only partly configured: those about other stores are errors."""
+    decisions = L.protected(D.quarantine_decisions(V.catalog4(s, d), V.PRIORITY, V.REPLICATED), "quarantine")
+    plan = replication.replication_decisions(replication.replication_plan(V.catalog4(s, d), V.REPLICATED), V.catalog4(s, d))
+    known = s.createDataFrame([("s3-prod",), ("gcs-archive",)], "source string")
+    columns = ("action", "result", "source", "target", "key", "content_hash")
+    both = decisions.withColumn("target", F.lit(None).cast("string")).select(*columns).unionByName(plan.select(*columns))
+    return L.with_store(both, known)
 
 
 @_query

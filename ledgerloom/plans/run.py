@@ -21,7 +21,7 @@ from ..functions.columns import valid_hash
 from ..operators import deletion, drift, importing, replication, report
 from ..operators import duplicates as D
 from ..operators.catalog import resolve_hashes
-from ..operators.ledger import COUNTERS, import_decisions, ledger_rows, payload, protected, rehashed
+from ..operators.ledger import COUNTERS, import_decisions, ledger_rows, payload, protected, rehashed, with_store
 from ..operators.running import dealt_by_weight
 from ..schema import CATALOG
 from ..sources.bucketed import read_bucketed, write_bucketed
@@ -100,9 +100,9 @@ def settled_catalog(spark: SparkSession, pointer: str) -> bool:
 
 
 def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirmed: bool, run_id: str, folder: str, stores: Callable | None, confirm: Callable | None) -> Outcome:
-    roots = {s.name: s.root for s in settings.sources}
+    named = {s.name: s for s in reversed(settings.sources)}  # of a repeated name the first one counts
+    roots, kinds = {n: s.root for n, s in named.items()}, {n: s.kind for n, s in named.items()}
     writable = settings.replicated
-    kinds = {s.name: s.kind for s in settings.sources}
     if stores:
         stores()  # a store that is out of reach as such ends the run before anything happens
     factory = stores or (lambda: {n: FolderStore(r, kinds[n] != "google_drive") for n, r in roots.items()})
@@ -162,7 +162,7 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     ledger = [ledger_rows(x, run_id=run_id, timestamp=now) for x in (reading, listing_errors, rehashed(hashed, before))]
 
     def settle(decisions: DataFrame, name: str, act: bool, refused: bool = False) -> DataFrame:
-        decisions = kept(decisions, f"{name}-planned")
+        decisions = kept(with_store(decisions, sources), f"{name}-planned")
         if act:
             notes = {"run_id": run_id, "timestamp": now}
             done = effects.carry_out(decisions, factory, now, settings.retries, settings.runtime.max_concurrent_transfers, journal=f"{os.path.abspath(folder)}/runs/{run_id}/journal/{name}", told=notes)
@@ -228,7 +228,8 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
 
 
 def sources_of(spark: SparkSession, settings: Settings) -> DataFrame:
-    return spark.createDataFrame([(s.name, s.kind) for s in settings.sources], "source string, kind string")
+    """source, kind: of a repeated name the first one counts."""
+    return spark.createDataFrame([*{s.name: s.kind for s in reversed(settings.sources)}.items()], "source string, kind string")
 
 
 #: What opening an object costs, in bytes that could be read meanwhile; and bytes that a task reads, more or less.

@@ -141,13 +141,3 @@ def contents(spark: SparkSession, source: str, path: str) -> DataFrame:
     """source, key, content: joined after the rows that need no bytes are gone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.select(F.lit(source).alias("source"), F.element_at(F.split("path", f"{path.rstrip('/')}/", 2), -1).alias("key"), "content")
-
-
-def tree_paths(spark: SparkSession, entries: DataFrame, root: str) -> DataFrame:
-    """key, path of files below a folder, from rows (id, parent, name, is_folder), by a recursive query."""
-    entries.createOrReplaceTempView("__tree_entries")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, path, is_folder) AS (
-          SELECT id, name, is_folder FROM __tree_entries WHERE parent = '{root.replace("'", "''")}'
-          UNION ALL SELECT e.id, concat(w.path, '/', e.name), e.is_folder FROM walk w JOIN __tree_entries e ON e.parent = w.id AND w.is_folder
-        ) SELECT id AS key, path FROM walk WHERE NOT is_folder""")

@@ -8,7 +8,7 @@ from test_operators import catalog, frame
 
 from ledgerloom.plans import control, run
 from ledgerloom.schema import CATALOG, LEDGER
-from ledgerloom.sources import jsonl, stores
+from ledgerloom.sources import jsonl, stores, trees
 from ledgerloom.streaming import ledger as stream
 
 NOW = "2024-06-15T12:00:00Z"
@@ -172,7 +172,26 @@ def test_listing_and_tree(spark, tmp_path):
     assert [(r.source, r.key, r.size_bytes) for r in rows] == [("here", "x/a.txt", 3)]
     assert stores.contents(spark, "here", f"file:{tmp_path}").collect()[0].content == b"abc"
     tree = spark.createDataFrame([("1", "root", "a", True), ("2", "1", "b.jpg", False), ("3", "1", "c", True), ("4", "3", "d.jpg", False)], "id string, parent string, name string, is_folder boolean")
-    assert {tuple(r) for r in stores.tree_paths(spark, tree, "root").collect()} == {("2", "a/b.jpg"), ("4", "a/c/d.jpg")}
+    assert {tuple(r) for r in trees.tree_paths(spark, tree, "root").collect()} == {("2", "a/b.jpg"), ("4", "a/c/d.jpg")}
+
+
+def test_paths_of_deep_trees(spark):
+    deep = [(f"f{i}", f"f{i - 1}" if i else "root", f"n{i}", True) for i in range(300)]
+    circle = [("x", "y", "x", True), ("y", "x", "y", True), ("lost", "nowhere", "l", True), ("root", "above", "not shown", True), ("nameless", "root", None, True)]
+    files = [("a", "f299", "a.jpg", False), ("b", "root", "b.jpg", False), ("c", "x", "c", False), ("d", "lost", "d", False), ("e", "f1", "e", False), ("e", "f0", "e", False), ("g", "nameless", None, False)]
+    got = {tuple(r) for r in trees.tree_paths(spark, spark.createDataFrame(deep + circle + files, "id string, parent string, name string, is_folder boolean").repartition(3), "root").collect()}
+    assert got == {("a", "/".join(f"n{i}" for i in range(300)) + "/a.jpg"), ("b", "b.jpg"), ("e", "n0/n1/e"), ("e", "n0/e"), ("g", "/")}
+
+
+def test_the_first_of_a_repeated_name_counts(spark, tmp_path):
+    import dataclasses
+
+    settings, s3, _ = seed(tmp_path)
+    again = control.SourceSettings("s3-prod", "google_drive", str(tmp_path / "elsewhere"))
+    out = run.run(spark, dataclasses.replace(settings, sources=(*settings.sources, again), imports=control.ImportSettings("drive-camera", "no-such-store")), now=NOW, apply=True, confirmed=True)
+    assert out.catalog.where("source = 's3-prod'").count() == len(list(s3.list())) - 1  # img.jpg came from the other store meanwhile
+    failed = out.ledger.where("target = 'no-such-store'").select("action", "result", "error").distinct().collect()
+    assert [tuple(r) for r in failed] == [("drive-import-success", "error", "no store no-such-store")]
 
 
 def test_stream_takes_each_row_once(spark, tmp_path):
