@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,11 @@ _FAILED = {"drive-import-success": "drive-download-error", "replicate": "replica
 _TOUCHES = ("replicate", "rename", "overwrite", "drive-import-success", "quarantine", "tombstone", "physical-delete")
 
 
+def touches() -> Column:
+    """Whether a decision does something to a store."""
+    return F.col("action").isin(*_TOUCHES) & ~F.col("result").isin("error", "skipped")
+
+
 def shaped(decisions: DataFrame) -> DataFrame:
     """Decisions with all columns of OUTCOME; those that they lack are null, and an object keeps its key."""
     have = set(decisions.columns)

@@ -162,12 +162,12 @@ def _run(spark: SparkSession, settings: Settings, now: str, apply: bool, confirm
     ledger = [ledger_rows(x, run_id=run_id, timestamp=now) for x in (reading, listing_errors, rehashed(hashed, before))]
 
     def settle(decisions: DataFrame, name: str, act: bool, refused: bool = False) -> DataFrame:
-        decisions = kept(with_store(decisions, sources), f"{name}-planned")
-        if act:
+        decisions = kept(with_store(decisions, sources), f"{name}-planned", effects=F.count_if(effects.touches()))
+        if act and counts[f"{name}-planned"]["effects"]:
             notes = {"run_id": run_id, "timestamp": now}
             done = effects.carry_out(decisions, factory, now, settings.retries, settings.runtime.max_concurrent_transfers, journal=f"{os.path.abspath(folder)}/runs/{run_id}/journal/{name}", told=notes)
             decisions = kept(done, name)
-        elif refused or not apply or not destructive:
+        elif not act and (refused or not apply or not destructive):
             decisions = decisions.withColumn("result", F.when(F.col("result").isin("success", "quarantined", "deleted"), "planned").otherwise(F.col("result")))
         ledger.append(ledger_rows(decisions, run_id=run_id, timestamp=now))
         return decisions
