@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import plain_names
 from .text import ALNUM, text_slices, words
 
 OWN = T.StructType(
@@ -249,6 +250,7 @@ def shard_hits(raw: np.ndarray, offsets: np.ndarray, sets: list[TestSet]) -> Ite
         yield b - a, n, len(found), sorted(found - {None}), spans
 
 
+@plain_names(*OWN.names)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20, shard_bytes: int = 1 << 21) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items (long), items (sorted strings) and spans (of word positions, merged).
 

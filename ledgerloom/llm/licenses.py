@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import LOWER, UPPER
+from .names import plain_names
 from .scratch import Scratch
 
 
@@ -82,6 +83,7 @@ def _words(t: Template) -> str:
     return _array([f"'{w}'" for w in t.words])
 
 
+@plain_names("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
 def scan_licenses(docs: DataFrame, *, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """``docs`` without its text, with n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 

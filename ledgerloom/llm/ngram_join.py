@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
+from .names import plain_names
 from .scratch import Scratch
 from .text import NOT_SPACE, U64, mix, text_slices, words
 
@@ -289,6 +290,7 @@ def _early(n: str, m: str, p: str, q: str, percent: int) -> Column:
     return ((F.col(n) - F.col(p)) * (100 + percent) >= need) & ((F.col(m) - F.col(q)) * (100 + percent) >= need)
 
 
+@plain_names("n_shingles", "component_id")
 def ngram_jaccard(
     docs: DataFrame,
     *,

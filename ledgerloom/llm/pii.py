@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import plain_names
 from .text import text_slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -293,6 +294,7 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     return out
 
 
+@plain_names("spans")
 def find_pii(docs: DataFrame, *, text_col: str = "text", field: Field | None = None) -> DataFrame:
     """``docs`` with spans: (kind, start, end, base), by kind as in KINDS, then start."""
     sent = docs.sparkSession.sparkContext.broadcast(field or fit(training_rows()))

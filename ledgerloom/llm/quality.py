@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import plain_names
 from .scratch import Scratch
 from .text import NOT_SPACE, text_slices, words
 from .toxicity import held_out
@@ -121,6 +122,7 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return 1 / min(max(rho, 1e-3), 0.5) - 1
 
 
+@plain_names("evidence", "host_posterior", "path_posterior", "score", "keep", columns=("host", "path"))
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], *, host: Column, path: Column, text_col: str = "text", damp: float = 0.5) -> DataFrame:
     """``docs`` without its text, with evidence (log ratio), host_posterior, path_posterior, score (0 to 1) and keep.
 

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import plain_names
 from .scratch import Scratch
 from .text import ALNUM, U64, Vocabulary, text_slices, words
 
@@ -256,6 +257,7 @@ def fit(
     return model
 
 
+@plain_names("score", "predicted", "evidence")
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1), predicted (0 or 1) and evidence (the nearest examples)."""
     own = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", EVIDENCE)])
