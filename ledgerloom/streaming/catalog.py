@@ -1,57 +1,44 @@
 """An extension: a catalog that follows listings as they arrive, in any order, some more than once.
 
-For each (source, key) the state holds what was seen last. A row that is newer replaces it and goes
-on as a change; an older one or a repeated one ends there. State goes once the watermark has
-passed it: whatever could still be older is then dropped as late. Each micro-batch writes
-its changes to a folder named by its number, so a batch that is done again after a failure
-replaces its own changes. The catalog is the base and the changes behind it, the last of
-each key; ``compact`` makes a new base, and the changes that it holds go.
-
-Ties of one key and time go to the greater hash, then the greater size. Rows without source, key or
-time are no objects and are left out.
+The state holds what was seen last of each (source, key), in stretches of time: an aggregate of
+Spark's own, so no Python runs for a key. A row that is newer replaces it and goes on as a
+change; one that is older by ``late`` at most, or repeated, ends there. A stretch's state goes
+once the watermark has passed it, and what still comes for it is dropped as late. Each
+micro-batch writes its changes to a folder named by its number, so a batch that is done again after
+a failure replaces its own changes. The catalog is the base and the changes behind it, the last of
+each key, so a change too many changes nothing; ``compact`` makes a new base, and the changes that
+it holds go.
+
+Ties of one key and time go to the greater hash, then the greater size; null is the least. Rows
+without source, key or time are no objects and are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.catalog import upsert
 
 KEYS = ["source", "key"]
 SEEN = T.StructType([T.StructField("source", T.StringType()), T.StructField("key", T.StringType()), T.StructField("seen_at", T.TimestampType()), T.StructField("content_hash", T.StringType()), T.StructField("size_bytes", T.LongType())])
-_STATE = "seen long, content_hash string, size_bytes long"
-
-
-def _newer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    place = lambda x: (x[0], x[1] or "", -1 if x[2] is None else x[2])
-    held = state.get if state.exists else None
-    best = held
-    for part in parts:
-        micros = part["seen_at"].astype("datetime64[us]").astype("int64")
-        for seen, value, size in zip(micros, part["content_hash"], part["size_bytes"], strict=True):
-            row = (int(seen), value, None if pd.isna(size) else int(size))
-            if best is None or place(row) > place(best):
-                best = row
-    if best is not held:
-        state.update(best)
-        yield pd.DataFrame({"source": [key[0]], "key": [key[1]], "seen_at": [pd.Timestamp(best[0], unit="us")], "content_hash": [best[1]], "size_bytes": pd.array([best[2]], "Int64")})
-    state.setTimeoutTimestamp(max(best[0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-
-def changes(listings: DataFrame, late: str = "1 day") -> DataFrame:
-    """The rows of a stream (SEEN) that are newer than all before them of their key. A row older than the newest time less ``late`` is dropped."""
-    rows = listings.select(*SEEN.names).where("source IS NOT NULL AND key IS NOT NULL AND seen_at IS NOT NULL").withWatermark("seen_at", late)
-    return rows.groupBy(*KEYS).applyInPandasWithState(_newer, SEEN, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def changes(listings: DataFrame, late: str = "1 day", days: int = 5) -> DataFrame:
+    """The rows of a stream (SEEN, in update mode) that are newer than all of their key before them. Of rows further apart than ``late``, an older one may go on too.
+
+    A stretch is ``days`` long and also holds the rows of the next one's first ``late``, so a row lies in
+    ``1 + late / days`` of them in the mean. It closes when the newest time less ``late`` has reached its end,
+    ``days`` and ``late`` after its start, so no row within ``late`` of the newest time is dropped.
+    """
+    arrived = -F.unix_micros(F.current_timestamp())  # one time for a whole batch; of equal rows the first to arrive stays
+    rows = listings.select(*SEEN.names, arrived.alias("arrived")).where("source IS NOT NULL AND key IS NOT NULL AND seen_at IS NOT NULL").withWatermark("seen_at", late)
+    best = F.max(F.struct("seen_at", "content_hash", "size_bytes", "arrived")).alias("best")
+    held = rows.groupBy(*KEYS, F.window("seen_at", f"{late} {days} days", f"{days} days")).agg(best)
+    own = F.unix_micros("best.seen_at") - F.unix_micros("window.start") < days * 86_400_000_000  # else the next stretch has it too
+    return held.where((F.col("best.arrived") == arrived) & own).select(*KEYS, "best.seen_at", "best.content_hash", "best.size_bytes")
 
 
 def follow(listings: DataFrame, folder: str, late: str = "1 day") -> StreamingQuery:
@@ -60,7 +47,7 @@ def follow(listings: DataFrame, folder: str, late: str = "1 day") -> StreamingQu
     def merge(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    return changes(listings, late).writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    return changes(listings, late).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
 def _fs(spark: SparkSession, path: str):
